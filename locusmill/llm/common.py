@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of letters and digits; every character from U+0080 on counts as a letter.
@@ -37,7 +38,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -52,6 +53,11 @@ def unstage(df: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def extend(schema: StructType, ddl: str) -> StructType:
+    """schema with the fields of ddl after its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 # ---------------------------------------------------------------- hashing in numpy
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, pii, url_graph
+from . import decontaminate, license_scan, mixing, ngram_join, paragraph_dedup, pii, telephony, toxicity, url_graph
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op2_url_graph(spark, sf_dir):
     return url_graph.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op3_toxicity_kneser_ney(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    s = toxicity.score(d.select("doc_id", "text"), toxicity.train(d, _table(spark, sf_dir, "labels")))
+    return s.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_license_diagonals(spark, sf_dir):
     return license_scan.license_scan(_table(spark, sf_dir, "documents"))
 
@@ -25,9 +31,25 @@ def op5_mix_sources(spark, sf_dir):
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_paragraph_minhash(spark, sf_dir):
+    return paragraph_dedup.paragraph_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_pii_weak_supervision(spark, sf_dir):
     return pii.report(pii.detect(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_graph, op4_license_diagonals, op5_mix_sources, op7_pii_weak_supervision)}
+def op8_telephony_audio(spark, sf_dir):
+    return telephony.media_report(_table(spark, sf_dir, "documents"))
+
+
+def op9_benchmark_windows(spark, sf_dir):
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_ngram_jaccard(spark, sf_dir):
+    return ngram_join.link_components(_table(spark, sf_dir, "documents")).drop("class_key")
+
+
+QUERIES = {f.__name__: f for f in (op2_url_graph, op3_toxicity_kneser_ney, op4_license_diagonals, op5_mix_sources, op6_paragraph_minhash, op7_pii_weak_supervision, op8_telephony_audio, op9_benchmark_windows, op10_ngram_jaccard)}
 ORACLES: dict[str, str] = {}
