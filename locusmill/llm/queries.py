@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mixing, ngram_join, paragraph_dedup, pii, telephony, toxicity, url_graph
+from . import decontaminate, license_scan, mixing, ngram_join, paragraph_dedup, pii, suffix_dedup, telephony, toxicity, url_graph
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_columns(spark, sf_dir):
+    return suffix_dedup.dedup_report(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_graph(spark, sf_dir):
     return url_graph.judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -51,5 +55,5 @@ def op10_ngram_jaccard(spark, sf_dir):
     return ngram_join.link_components(_table(spark, sf_dir, "documents")).drop("class_key")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_graph, op3_toxicity_kneser_ney, op4_license_diagonals, op5_mix_sources, op6_paragraph_minhash, op7_pii_weak_supervision, op8_telephony_audio, op9_benchmark_windows, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_suffix_columns, op2_url_graph, op3_toxicity_kneser_ney, op4_license_diagonals, op5_mix_sources, op6_paragraph_minhash, op7_pii_weak_supervision, op8_telephony_audio, op9_benchmark_windows, op10_ngram_jaccard)}
 ORACLES: dict[str, str] = {}
