@@ -129,7 +129,7 @@ def join_bytes(texts: list[bytes], sep: bytes = b"\n") -> tuple[np.ndarray, np.n
     return data, np.concatenate([[0], np.cumsum(sizes + len(sep))])
 
 
-def batches_of_bytes(rows: list, limit: int = 8 << 20):
+def batches_of_bytes(rows: list, limit: int = 1 << 20):
     """Cuts rows (text bytes first) into runs of about limit bytes, so that memory stays bounded."""
     part, total = [], 0
     for row in rows:
