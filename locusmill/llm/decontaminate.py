@@ -147,3 +147,10 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, bits: int
     who = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
     out = o.groupBy("rid", "doc_id", "n_words").agg(F.sum("new").cast("long").alias("n_hit"), who.alias("who"))
     return out.select("doc_id", "n_words", "n_hit", F.size("who").cast("long").alias("n_items"), F.sha2(F.array_join("who", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
+    """docs without the rows whose text holds a window of an item; all columns and other rows stay."""
+    tagged = docs.withColumn("__id", F.struct("doc_id", F.xxhash64("text").alias("t")))
+    hit = contamination(tagged.select(F.col("__id").alias("doc_id"), "text"), items, n).where("contaminated").select(F.col("doc_id").alias("__h")).distinct()
+    return tagged.join(hit, F.col("__id").eqNullSafe(F.col("__h")), "left_anti").select(*docs.columns)
