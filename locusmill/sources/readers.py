@@ -30,7 +30,7 @@ def read_vcf(spark: SparkSession, path, samples: list[str] | None = None, field:
     names = vcf_samples(spark, path)
     x = _lines(spark, path).where(~F.col("value").startswith("#")).withColumn("file", F.input_file_name())
     head = F.split("value", "\t", 10)
-    x = x.select(*[head[i].alias(c) for i, c in enumerate(VCF_FIXED)], head[9].alias("_calls"), "file").withColumn("pos", F.col("pos").cast("long"))
+    x = x.select(*[F.get(head, i).alias(c) for i, c in enumerate(VCF_FIXED)], F.get(head, 9).alias("_calls"), "file").withColumn("pos", F.col("pos").cast("long"))
     if pass_only:
         x = x.where(F.col("filter") == "PASS")
     if region:
@@ -92,15 +92,15 @@ def read_ped(spark: SparkSession, path, dat: str | None = None, missing: str = "
     w = F.split(F.trim("value"), r"\s+")
     rows = lines.where(~F.col("value").startswith("#")).withColumn("w", w)
     rows = rows.withColumn("w", F.when(F.size("w") == 5 + len(traits), F.col("w")).otherwise(F.raise_error(F.concat(F.lit("a row of another width: "), F.col("value"))).cast("array<string>")))
-    fixed = [F.col("w")[i].alias(c) for i, c in enumerate(("fam_id", "ind_id", "fat_id", "mot_id", "sex"))]
-    return rows.select(*fixed, *[F.when(F.col("w")[5 + i] != missing, F.col("w")[5 + i].try_cast("double")).alias(t) for i, t in enumerate(traits)])
+    fixed = [F.get("w", i).alias(c) for i, c in enumerate(("fam_id", "ind_id", "fat_id", "mot_id", "sex"))]
+    return rows.select(*fixed, *[F.when(F.get("w", 5 + i) != missing, F.get("w", 5 + i).try_cast("double")).alias(t) for i, t in enumerate(traits)])
 
 
 def read_bed(spark: SparkSession, path) -> DataFrame:
     """contig (without chr), beg (1-based), end, label (null without a fourth column)."""
     w = F.split("value", r"\s+")
     x = _lines(spark, path).where(~F.col("value").rlike(r"^(#|track|browser|\s*$)"))
-    return x.select(F.regexp_replace(w[0], "^chr", "").alias("contig"), (w[1].cast("long") + 1).alias("beg"), w[2].cast("long").alias("end"), F.get(w, F.lit(3)).alias("label"))
+    return x.select(F.regexp_replace(F.get(w, 0), "^chr", "").alias("contig"), (F.get(w, 1).cast("long") + 1).alias("beg"), F.get(w, 2).cast("long").alias("end"), F.get(w, 3).alias("label"))
 
 
 # Column places of the three gene-model formats (gene, transcript, contig, strand, tx, cds, exon starts and ends).
@@ -111,11 +111,11 @@ def read_genes(spark: SparkSession, path, form: str = "refFlat") -> DataFrame:
     """gene, transcript, contig, strand, tx_start, tx_end, cds_start, cds_end (1-based, closed) and exons."""
     p = GENE_FORMATS[form]
     w = F.split("value", "\t")
-    numbers = lambda i: F.transform(F.filter(F.split(w[i], ","), lambda v: v != ""), lambda v: v.cast("long"))
+    numbers = lambda i: F.transform(F.filter(F.split(F.get(w, i), ","), lambda v: v != ""), lambda v: v.cast("long"))
     exons = F.zip_with(numbers(p[8]), numbers(p[9]), lambda a, b: F.struct((a + 1).alias("beg"), b.alias("end")))
     x = _lines(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    n = lambda i, add=0: w[p[i]].cast("long") + add
-    return x.select(w[p[0]].alias("gene"), w[p[1]].alias("transcript"), F.regexp_replace(w[p[2]], "^chr", "").alias("contig"), w[p[3]].alias("strand"), n(4, 1).alias("tx_start"), n(5).alias("tx_end"), n(6, 1).alias("cds_start"), n(7).alias("cds_end"), exons.alias("exons"))
+    n = lambda i, add=0: F.get(w, p[i]).cast("long") + add
+    return x.select(F.get(w, p[0]).alias("gene"), F.get(w, p[1]).alias("transcript"), F.regexp_replace(F.get(w, p[2]), "^chr", "").alias("contig"), F.get(w, p[3]).alias("strand"), n(4, 1).alias("tx_start"), n(5).alias("tx_end"), n(6, 1).alias("cds_start"), n(7).alias("cds_end"), exons.alias("exons"))
 
 
 def read_results(spark: SparkSession, path) -> DataFrame:
@@ -127,13 +127,13 @@ def read_results(spark: SparkSession, path) -> DataFrame:
 def read_groups(spark: SparkSession, path) -> DataFrame:
     """grp, marker: one row a marker of each line 'group<TAB>marker...'."""
     w = F.split("value", r"\s+")
-    return _lines(spark, path).where(F.trim("value") != "").select(w[0].alias("grp"), F.explode(F.slice(w, 2, 1 << 30)).alias("marker"))
+    return _lines(spark, path).where(F.trim("value") != "").select(F.get(w, 0).alias("grp"), F.explode(F.slice(w, 2, 1 << 30)).alias("marker"))
 
 
 def read_map(spark: SparkSession, path) -> DataFrame:
     """contig, at, rate, cm of a genetic map with a header."""
     w = F.split("value", r"\s+")
-    return _lines(spark, path).select(F.regexp_replace(w[0], "^chr", "").alias("contig"), w[1].try_cast("long").alias("at"), w[2].try_cast("double").alias("rate"), w[3].try_cast("double").alias("cm")).where("at is not null")
+    return _lines(spark, path).select(F.regexp_replace(F.get(w, 0), "^chr", "").alias("contig"), F.get(w, 1).try_cast("long").alias("at"), F.get(w, 2).try_cast("double").alias("rate"), F.get(w, 3).try_cast("double").alias("cm")).where("at is not null")
 
 
 def read_annotator_input(spark: SparkSession, path, form: str = "vcf") -> DataFrame:
@@ -143,10 +143,10 @@ def read_annotator_input(spark: SparkSession, path, form: str = "vcf") -> DataFr
     at = {"vcf": (0, 1, 3, 4), "plain": (0, 1, 2, 3), "plink": (0, 2, 6, 3)}
     if form in at:
         a, b, c, d = at[form]
-        return x.select(F.regexp_replace(w[a], "^chr", "").alias("contig"), w[b].cast("long").alias("pos"), w[c].alias("ref"), w[d].alias("alt"), F.col("value").alias("line"))
+        return x.select(F.regexp_replace(F.get(w, a), "^chr", "").alias("contig"), F.get(w, b).cast("long").alias("pos"), F.get(w, c).alias("ref"), F.get(w, d).alias("alt"), F.col("value").alias("line"))
     from ..model import parse_marker_id
 
-    m = parse_marker_id(w[3])
+    m = parse_marker_id(F.get(w, 3))
     return x.select(m["contig"].alias("contig"), m["beg"].alias("pos"), m["ref"].alias("ref"), m["alt"].alias("alt"), F.col("value").alias("line"))
 
 

@@ -23,7 +23,7 @@ def genotype_text(g: Column, digits: int = 3) -> Column:
 
 def matrix_lines(variants: DataFrame, name: str = "id") -> DataFrame:
     """One line a marker: its name and its genotypes, tab-separated."""
-    return variants.select(F.concat_ws("\t", F.col(name), F.array_join(F.transform("g", genotype_text), "\t")).alias("value"))
+    return variants.select(F.concat_ws("\t", F.col(name), F.array_join(F.transform("g", lambda x: genotype_text(x)), "\t")).alias("value"))
 
 
 def vcf_lines(variants: DataFrame, samples: list[str] | None = None) -> DataFrame:
