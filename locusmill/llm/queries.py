@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, license_scan, mixing, ngram_join, paragraph_dedup, pii, suffix_dedup, telephony, toxicity, url_graph
+from .oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,4 +57,3 @@ def op10_ngram_jaccard(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_columns, op2_url_graph, op3_toxicity_kneser_ney, op4_license_diagonals, op5_mix_sources, op6_paragraph_minhash, op7_pii_weak_supervision, op8_telephony_audio, op9_benchmark_windows, op10_ngram_jaccard)}
-ORACLES: dict[str, str] = {}
