@@ -34,9 +34,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+#: Rows of a narrow table in one staged file, where their number is known beforehand.
+ROWS_A_FILE = 20_000
+
+
+def stage(df: DataFrame, name: str = "stage", rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    rows: about how many rows a narrow df has at most; small tables then go into few files
+    (never more than df has partitions), as each file costs executors several file system calls.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_A_FILE + 1)
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -145,14 +155,15 @@ def batches_of_bytes(rows: list, limit: int = 1 << 20):
 # ---------------------------------------------------------------- connected components
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
     Alternates large-star and small-star steps on distributed edges, which ends after
     about log(n) rounds. Hubs are only aggregated (min with map-side combine) and joined,
     where skewed joins are split at run time; no group is gathered. Empty edges give no rows.
+    rows: about how many edges there are at most, if known (for the staged files).
     """
-    e = stage(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    e = stage(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct(), "edges", rows)
     last = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v"), F.col("u")))
@@ -161,7 +172,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         up = large.select(F.col("v").alias("u"), F.col("u").alias("v"))
         low2 = up.groupBy("u").agg(F.min("v").alias("m"))
         small = up.join(low2, "u").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        new = stage(small, "edges")
+        new = stage(small, "edges", last[0] if last else rows)
         unstage(e)
         e = new
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -117,13 +117,14 @@ def occurrences(docs: DataFrame, items: DataFrame, n: int = WINDOW, bits: int =
     window and the text's length bound the place (positional and length filters); the words of
     the window are then compared one by one.
     """
-    w = stage(windows_of(items, n), "windows")
+    rows = 100 * items.count()  # windows, roughly
+    w = stage(windows_of(items, n), "windows", rows)
     words = hash_words(w.select(F.explode("words").alias("w")).distinct())
-    words = stage(words.join(word_counts(docs, words.select("h"), bits), "h", "left").select("w", "h", F.coalesce("n", F.lit(0)).alias("n")), "rarity")
+    words = stage(words.join(word_counts(docs, words.select("h"), bits), "h", "left").select("w", "h", F.coalesce("n", F.lit(0)).alias("n")), "rarity", rows)
     one = w.groupBy("words", "size").agg(F.collect_set("item_id").alias("items"))
     places = one.select(F.xxhash64(F.array_join("words", " ")).alias("wid"), "words", F.posexplode("words").alias("off", "w")).join(words, "w")
     prefix = places.groupBy("wid", "words").agg(F.min(F.struct("n", "h", "off")).alias("x")).select("words", "x.h", "x.off")
-    prefix = stage(prefix.join(one, "words").select("h", "off", F.array_join("words", " ").alias("window"), "size", "items"), "prefixes")
+    prefix = stage(prefix.join(one, "words").select("h", "off", F.array_join("words", " ").alias("window"), "size", "items"), "prefixes", rows)
     found = stage(_probe(docs, prefix.select("h").distinct(), n, bits), "probes")
     start = F.col("p") - F.col("off")
     hit = found.where("h is not null").join(prefix, "h").where((F.col("off") <= F.col("lead")) & (start + F.col("size") <= F.col("n_words")))
