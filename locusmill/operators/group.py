@@ -143,7 +143,7 @@ def kernel_test(calls: DataFrame, samples: DataFrame, y: str = "y", xs: tuple[st
         r, v = r / v, 1 / v
     shared = spark.sparkContext.broadcast((order, r, v, x, rotation))
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         order, r, v, x, rotation = shared.value
         names, col = np.unique(part["marker"], return_inverse=True)
         if len(names) * len(order) > most_cells:
@@ -194,7 +194,7 @@ def skat_p(u: np.ndarray, k: np.ndarray, optimal: bool = False) -> tuple[float,
     mean, var = rest.sum(), 2 * np.sum(rest**2)
     extra = 4 * float(zbar @ proj.T @ proj @ zbar) / zz if zz > 0 else 0.0
     scale = np.sqrt(var / (var + extra)) if var > 0 else 1.0
-    tail = np.array([sp.liu_sf((q - mean) * scale + mean, rest[rest > 1e-12]) if q > 0 else 1.0 for q in level])
+    tail = np.where(level > 0, sp.liu_sf((level - mean) * scale + mean, rest[rest > 1e-12]), 1.0) if (rest > 1e-12).any() else np.ones(len(level))
     return float(min(1.0, max(tail.mean(), min(ps)), min(ps) * len(grid))), float(grid[best])
 
 
