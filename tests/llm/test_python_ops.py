@@ -166,12 +166,9 @@ def test_toxicity_without_labels(spark):
     assert {r.score < 0.7 for r in toxicity.score(d, toxicity.train(d, l)).collect()} == {True}
 
 
-def test_leaving_own_counts_out():
-    tables = {k: np.zeros(1 << 12, np.float32) for k in toxicity.TABLES}
-    u, p, doc = toxicity._ids([b"bad bad word here"], Powers(), 12)
-    tables["uni1"] += np.bincount(u, minlength=1 << 12)
-    tables["bi1"] += np.bincount(p[p >= 0], minlength=1 << 12)
-    m = toxicity.Model(tables)
-    zero = toxicity.Model({k: np.zeros(1 << 12, np.float32) for k in toxicity.TABLES})
-    zero.scale, zero.n, zero.left = m.scale, m.n, m.left
-    assert np.allclose(m.ratios(u, p, doc, np.ones(4, int)), zero.ratios(u, p, doc))
+def test_copies_count_as_one_context(spark):
+    d = spark.createDataFrame([("a bad word", 1)] * 40 + [(f"x{i} bad", 1) for i in range(20)] + [(f"x{i} fine", 0) for i in range(20)], "text string, toxic int")
+    m = toxicity.Model(toxicity.count_tables(d, 12))
+    u, p, *_ = toxicity._ids([b"a bad word", b"x fine"], Powers(), 12)
+    r = m.ratios(u, p)
+    assert m.t["uni1"][u[2]] < 2 and m.t["uni1"][u[1]] > 10 and r[1] > 2 and abs(r[2]) < 2 and r[4] < -1
