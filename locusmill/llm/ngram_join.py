@@ -169,9 +169,12 @@ class _Roots:
 def linked_in_block(sets: list[np.ndarray], queries: list[int], percent: int) -> list[tuple[int, int]]:
     """Links between sets that connect all that the queries' links connect.
 
-    The first query's component is the main one: queries already in it are passed over, as a
-    link between two of its members connects nothing new. Every other query searches all sets.
+    Where every set is a query, the first one's component is the main one: queries already in it
+    are passed over, as a link between two of its members connects nothing new and sets outside
+    search for themselves. Every other query searches all sets, and so do all queries where some
+    sets are only searched.
     """
+    passing = len(queries) == len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     all_s = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), size)
@@ -181,7 +184,7 @@ def linked_in_block(sets: list[np.ndarray], queries: list[int], percent: int) ->
     stop = np.append(start[1:], len(values))
     roots, out = _Roots(len(sets)), []
     for q in queries:
-        if q != queries[0] and roots.find(q) == roots.find(queries[0]):
+        if passing and q != queries[0] and roots.find(q) == roots.find(queries[0]):
             continue
         at = np.searchsorted(uniq, sets[q])
         t = -(-percent * len(sets[q]) // 100)
@@ -220,13 +223,13 @@ def candidate_edges(sigs: DataFrame) -> DataFrame:
     return sigs.join(low, "sig").where("key <> a").select("a", F.col("key").alias("b")).distinct()
 
 
-def exact_components(sets: DataFrame, percent: int, block: int = BLOCK, rows: int | None = None) -> DataFrame:
+def exact_components(sets: DataFrame, percent: int, block: int = BLOCK, rows: int | None = None, chunk: int = 1000) -> DataFrame:
     """(node, component) of the exact links within candidate clusters, from rows cluster, key, n, s (keys once).
 
     Each cluster's inverted lists are built in blocks of about block shingles and searched by
     DivideSkip. In a cluster of several blocks every block first searches for one common record;
-    what isn't connected to it afterwards searches all blocks, in chunks of 1000. rows: a bound of
-    the number of sets, if known.
+    what isn't connected to it afterwards searches all blocks, in chunks of about chunk. rows: a
+    bound of the number of sets, if known.
     """
     n_rows = rows
     shape = sets.groupBy("cluster").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.min("key").alias("root"))
@@ -242,7 +245,7 @@ def exact_components(sets: DataFrame, percent: int, block: int = BLOCK, rows: in
     main = many.where("key = root").select("cluster", F.col("component").alias("main"))
     rest = stage(many.join(main, "cluster").where("component <> main").select("cluster", "key", "blocks"), "rest", n_rows)
     if not rest.isEmpty():
-        chunks = rest.groupBy("cluster").agg(F.ceil(F.count("*") / 1000).cast("int").alias("chunks"))
+        chunks = rest.groupBy("cluster").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
         q = rest.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")).cast("int"))
         ask = sets.join(q.select("key", "blocks", "chunk", "chunks"), "key").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "chunk", "chunks", "key", "s", F.lit(1.0).alias("first"))
         ask = ask.select("cluster", (F.col("b") * F.col("chunks") + F.col("chunk")).alias("block"), "key", "s", "first")

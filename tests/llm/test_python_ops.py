@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import contamination as plain_contamination, near
+from brute import components, contamination as plain_contamination, near
 from test_native import ODD, SF, by_id, docs
 
 from locusmill.llm import decontaminate, ngram_join, telephony, toxicity
@@ -44,6 +44,29 @@ def test_ngram_join_loses_no_link(spark, block):
     assert sum(r.component_id != r.doc_id for r in got) > 25
 
 
+def test_chains_of_versions_in_small_blocks_and_chunks(spark):
+    r, rows, links = random.Random(4), [], []
+    for c in range(60):
+        n = r.choice([4, 5, 6, 12])
+        keys = r.sample(range(10**9), n)
+        if c % 2:
+            keys.sort()
+        for i, k in enumerate(keys):  # neighbours link at 95 of 105, others don't
+            rows.append((c, k, 100, list(range(1000 * c + 5 * i, 1000 * c + 5 * i + 100))))
+            links += [(k, keys[i - 1])] if i else []
+    ids = [k for _, k, *_ in rows]
+    want = components(ids, links)
+    d = spark.createDataFrame(rows, "cluster long, key long, n long, s array<long>")
+    for chunk in (1000, 3):
+        got = {x.node: x.component for x in ngram_join.exact_components(d, 90, 200, chunk=chunk).collect()}
+        assert components(ids, [(k, got.get(k, k)) for k in ids]) == want
+
+
+def test_queries_among_other_sets_are_not_passed_over():
+    q0, q1, y = (np.arange(a, a + 100) for a in (0, 5, 10))
+    assert sorted(ngram_join.linked_in_block([q0, q1, y], [0, 1], 90)) == [(0, 1), (1, 2)]
+
+
 def test_ngram_join_on_a_table(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     same_components(ngram_join.link_components(d).collect(), near([tuple(r) for r in d.select("doc_id", "text").collect()]))
