@@ -17,9 +17,14 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: What the method looks for besides: kind, pattern, what the text must hold.
 KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z])(?:password|passwd|secret|token|api_key)[\x20]?[=:][\x20]?[\"']?[0-9A-Za-z_/+-]{8,128}+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[0-9A-Z]{4}){3,7}(?![A-Za-z0-9])"
-SPOKEN = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+[\x20](?:\(at\)|\[at\])[\x20][A-Za-z0-9-]{1,64}+(?:\.[A-Za-z0-9-]{1,64}+)+"
+SECRET = r"(?<![A-Za-z])(?:password|passwd|secret|token|api_key)[\x20]?[=:][\x20]?[\"']?[0-9A-Za-z_/+-]{8,}+"
+SPOKEN = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++[\x20](?:\(at\)|\[at\])[\x20][A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+#: Lengths of the listed countries' IBANs; of others any from 15 on, in groups of four and a last one of 1 to 4.
+IBAN_LENGTHS = {"DE": 22, "FR": 27, "ES": 24, "GB": 22, "IT": 27, "NL": 18, "BE": 16, "CH": 21, "AT": 20}
+_GROUP = r"(?:[\x20]?[0-9A-Z]{4})"
+_LISTED = "|".join(rf"{c}[0-9]{{2}}{_GROUP}{{{n // 4 - 1}}}" + (rf"[\x20]?[0-9A-Z]{{{n % 4}}}" if n % 4 else "") for c, n in IBAN_LENGTHS.items())
+_OTHER = rf"[A-Z]{{2}}[0-9]{{2}}(?:{_GROUP}{{3,7}}(?:[\x20]?[0-9A-Z]{{1,3}})?|{_GROUP}{{2}}[\x20]?[0-9A-Z]{{3}})"
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{_LISTED})(?![A-Za-z0-9])|{_OTHER}(?![A-Za-z0-9]))"
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("key", "secret", "iban", "spoken_email")
@@ -46,7 +51,9 @@ def _candidates(text: Column, kind: str, pattern: str, guard: Column) -> Column:
     """Of all matches of one kind: kind, i (from 0), plen and mlen (lengths before and of the match), m, ctx (up to 24 characters before)."""
     kept = F.when(guard, F.regexp_extract_all(text, F.lit(pattern), 0))
     before = F.when(guard, F.split(text, pattern, -1))
-    row = lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(before, i)).alias("plen"), F.length(m).alias("mlen"), F.when(F.length(m) <= 160, m).otherwise(F.lit("")).alias("m"), F.lower(F.right(F.get(before, i), F.lit(24))).alias("ctx"))
+    # all votes and checks are on whole matches; only runs too long for a card (37 characters at most) are dropped
+    kept_whole = lambda m: F.when(F.length(m) <= 160, m).otherwise(F.lit("")) if kind == "card" else m
+    row = lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(before, i)).alias("plen"), F.length(m).alias("mlen"), kept_whole(m).alias("m"), F.lower(F.right(F.get(before, i), F.lit(24))).alias("ctx"))
     return F.coalesce(F.transform(kept, row), F.array())
 
 

@@ -36,6 +36,26 @@ def test_license_templates_merge_neighbouring_diagonals(spark):
     assert [x.labels for x in r] == ["mit-text", ""] and 0.75 <= r[0].score < 1
 
 
+def test_pii_takes_whole_matches(spark):
+    ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "IT60X0542811101000000123456", "NL91ABNA0417164300", "CH9300762011623852957", "NO9386011117947", "BE68539007547034", "PL61109010140000071219812874"]
+    ibans += [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in ibans]
+    items = [("iban", x) for x in ibans] + [("secret", "token=" + "aB3_x9Zq" * 50), ("spoken_email", "a" * 70 + " (at) " + "b" * 70 + ".org")]
+    texts = [f"my login and iban is {x}, so mail on" for _, x in items]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(pii.detect(d)).collect()}
+    for (kind, x), i in zip(items, range(len(items))):
+        assert f"{kind}:21:{21 + len(x)}" in got[i].split(","), x
+    after = {r.doc_id: r.text for r in pii.redact(d).collect()}
+    assert after[0] == "my login and iban is [iban], so mail on" and after[len(ibans)] == "my login and iban is [secret], so mail on"
+
+
+def test_pii_base_of_long_matches(spark):
+    texts = ["+1" + " " * 200 + "234567890 x", "0" * 200 + "1.2.3.4", "+12 " + "-" * 300 + "345", "+1" + "(" * 170 + "23456789012345678", "1" * 400, "0" * 200 + "1.2.3.256"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: ([r.n_email, r.n_ip, r.n_card, r.n_phone], r.base_sha256) for r in pii.report(pii.detect(d)).collect()}
+    assert got == {i: plain_pii(t) for i, t in enumerate(texts)} and got[0][0][3] == got[1][0][1] == 1
+
+
 @pytest.mark.parametrize("odd", [True, False])
 def test_pii_base(spark, odd):
     d = docs(spark) if odd else spark.read.parquet(f"{SF}/documents.parquet")
