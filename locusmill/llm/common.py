@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,9 +28,11 @@ def ascii_lower(col: Column) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); where unset, a new local one is set."""
+    """The shared folder of the cluster (spark.checkpoint.dir); where it is unset, a new one for a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-stage-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -68,6 +72,60 @@ def extend(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def spare(columns: list[str], *names: str) -> list[str]:
+    """names, lengthened by underscores until none is among columns (without regard to case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+# ---------------------------------------------------------------- filters of bounded size
+
+
+def bit_filter(hashes: DataFrame, least: int = 15, most: int = 27) -> np.ndarray:
+    """A packed bit table with two bits set for each of hashes (column h, long): a superset test, see may_hold.
+
+    It has about 16 bits for each hash, but never more than 2**most (16 MB), so it can be
+    broadcast; where hashes are more, it lets more through and nothing is lost.
+    """
+    bits = 1 << min(most, max(least, int(16 * hashes.count()).bit_length()))
+    places = hashes.select(F.explode(F.array(F.expr(f"h & {bits - 1}"), F.expr(f"shiftrightunsigned(h, 32) & {bits - 1}"))).alias("b"))
+    pages = places.groupBy(F.expr(f"b div {_PAGE}").alias("page")).agg(F.bitmap_construct_agg(F.col("b") % _PAGE).alias("map")).collect()  # 2**most / 32768 rows of 4 KB
+    table = np.zeros(bits // 8, np.uint8)
+    for r in pages:
+        table[r.page * _PAGE // 8 : (r.page + 1) * _PAGE // 8] = np.frombuffer(bytes(r.map), np.uint8)
+    return table
+
+
+_PAGE = 32768
+
+
+def may_hold(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each of h may be among the hashes of the table; true for all that are."""
+    u, mask = h.view(np.uint64), np.uint64(8 * len(table) - 1)
+
+    def bit(x):
+        return (table[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1
+
+    return (bit(u & mask) & bit((u >> np.uint64(32)) & mask)).astype(bool)
+
+
+def rows_that_may_hold(df: DataFrame, column: str, hashes: DataFrame) -> DataFrame:
+    """The rows of df whose column (long) is among hashes (column h), and perhaps a few more; hashes travel as a bit_filter."""
+    table = df.sparkSession.sparkContext.broadcast(bit_filter(hashes))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(table.value, batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 # ---------------------------------------------------------------- hashing in numpy
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -159,13 +217,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, rows: int | Non
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
     Alternates large-star and small-star steps on distributed edges, which ends after
-    about log(n) rounds. Hubs are only aggregated (min with map-side combine) and joined,
+    about log(n) rounds; an error is raised where max_rounds don't suffice. Hubs are only aggregated (min with map-side combine) and joined,
     where skewed joins are split at run time; no group is gathered. Empty edges give no rows.
     rows: about how many edges there are at most, if known (for the staged files).
     """
     e = stage(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct(), "edges", rows)
     last = None
-    for _ in range(max_rounds):
+    for k in range(max_rounds + 1):
+        if k == max_rounds:
+            raise RuntimeError(f"components still change after {max_rounds} rounds")
         both = e.union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, Powers, RangeHash, batches_of_bytes, byte_table, connected_components, extend, join_bytes, mix64, stage, words_of
+from .common import LOWER_BYTES, Powers, RangeHash, batches_of_bytes, byte_table, connected_components, extend, join_bytes, mix64, rows_that_may_hold, spare, stage, unstage, words_of
 
 N = 3
 #: Two sets link when 100 * overlap >= PERCENT * union.
@@ -18,41 +18,58 @@ BLOCK = 2_000_000
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-def shingle_sets(texts: list[bytes], powers: Powers, n: int = N, words: str = "space") -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's n-word shingles; with fewer words, of the whole sequence; none without words."""
-    data, at = join_bytes(texts)
-    data = LOWER_BYTES[data]
-    lo, hi = words_of(data, byte_table(words))
-    h = RangeHash(data, powers)(lo, hi)
-    first = np.searchsorted(lo, at)
+def distinct_runs(values: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values of each owner in one array, and where each owner's begin (one more than owners)."""
+    order = np.lexsort((values, owner))
+    v, o = values[order], owner[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
+    return v[new], np.searchsorted(o[new], np.arange(owners + 1))
+
+
+def runs_of_shingles(h: np.ndarray, first: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of n-word shingles of consecutive runs of words: distinct_runs() of their hashes.
+
+    h: hashes of all words; first: where each run begins, and the end. A run of fewer than n
+    words, but not none, has its whole sequence as one shingle.
+    """
+    size = np.diff(first)
     many = np.zeros(max(len(h) - n + 1, 0), np.uint64)
     for k in range(n):
         many += h[k : k + len(many)] * _C[k % 5] * np.uint64(2 * k + 1)
     many = mix64(many)
-    out = []
-    for a, b in zip(first[:-1], first[1:]):
-        if b - a >= n:
-            out.append(np.unique(many[a : b - n + 1]))
-        elif b > a:
-            x = np.array([(b - a) << 7], np.uint64)
-            for k in range(a, b):
-                x = mix64(x ^ h[k : k + 1] * _C[4])
-            out.append(x)
-        else:
-            out.append(many[:0])
-    return out
+    own = np.repeat(np.arange(len(size)), size)
+    whole = np.flatnonzero(np.arange(len(h)) + n <= first[1:][own])  # words that begin a shingle inside their run
+    few = np.flatnonzero((size > 0) & (size < n))
+    x = size[few].astype(np.uint64) << np.uint64(7)
+    for k in range(n - 1):
+        on = size[few] > k
+        x[on] = mix64(x[on] ^ h[first[few[on]] + k] * _C[4])
+    return distinct_runs(np.concatenate([many[whole], x]), np.concatenate([own[whole], few]), len(size))
 
 
-def word_counts(texts: list[bytes], words: str = "space") -> np.ndarray:
-    """The number of words of each text."""
+def _shingles_of(texts: list[bytes], powers: Powers, n: int, words: str) -> tuple[np.ndarray, np.ndarray]:
     data, at = join_bytes(texts)
-    return np.diff(np.searchsorted(words_of(LOWER_BYTES[data], byte_table(words))[0], at))
+    data = LOWER_BYTES[data]
+    lo, hi = words_of(data, byte_table(words))
+    return runs_of_shingles(RangeHash(data, powers)(lo, hi), np.searchsorted(lo, at), n)
+
 
+def shingle_sets(texts: list[bytes], powers: Powers, n: int = N, words: str = "space") -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's n-word shingles; with fewer words, of the whole sequence; none without words."""
+    flat, at = _shingles_of(texts, powers, n, words)
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
-def set_key(s: np.ndarray) -> int:
-    """One 64-bit value for a whole set; equal sets, equal keys."""
-    both = np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(s)], np.uint64) + np.array([len(s), 0], np.uint64) * _C[:1]
-    return int(mix64(both).sum(dtype=np.uint64).view(np.int64))
+
+def set_keys(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One 64-bit value for each whole set of distinct_runs(); equal sets, equal keys. Empty sets have 0."""
+    some = np.flatnonzero(np.diff(at))
+    out = np.zeros(len(at) - 1, np.uint64)
+    if len(some):
+        start = at[some]
+        total, both = np.add.reduceat(flat, start), np.bitwise_xor.reduceat(flat, start)
+        out[some] = mix64(total + np.diff(at)[some].astype(np.uint64) * _C[0]) + mix64(both)
+    return out.view(np.int64)
 
 
 def size_classes(percent: int, top: int = 1 << 34) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,14 +77,15 @@ def size_classes(percent: int, top: int = 1 << 34) -> tuple[np.ndarray, np.ndarr
 
     A set of size x and a linked one of size y >= x differ by at most x * (1/t - 1) elements, so
     with that many parts and one more they agree on a part. slack more parts allow as many empty
-    parts to be passed over.
+    parts to be passed over; it is what sets of the class have at most, but for rare cases.
     """
     low = [1]
     while low[-1] < top:
         low.append(max(low[-1] + 1, low[-1] * 3 // 2))
     low = np.array(low, np.int64)
     d = ((100 - percent) * (low[1:] - 1)) // percent
-    slack = np.where(d == 0, 0, np.where(d < 10, 1, 2 + d // 100))
+    empty = (d + 1) * np.exp(-low[:-1] / (d + 1.0))
+    slack = np.where(d == 0, 0, np.ceil(empty + 2 * np.sqrt(empty) + 0.5)).astype(np.int64)
     return low, d + 1 + slack, slack
 
 
@@ -90,42 +108,91 @@ def signatures(s: np.ndarray, percent: int, classes) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def local_stars(sigs: np.ndarray, owner: np.ndarray, keys: np.ndarray, owners: int) -> tuple[pa.Array, pa.Array]:
+    """What a run of records has to tell about its signatures: each once, and the links within the run.
+
+    For each owner: the signatures that it is the first to have, and the keys of those who had
+    its other ones before (its own key, where a record was there already). A signature that
+    many records share thus leaves the run in one row.
+    """
+    order = np.lexsort((owner, sigs))
+    s, o = sigs[order], owner[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    head = o[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))] if len(s) else o
+    mine = np.lexsort((s[new], o[new]))
+    kept = s[new][mine]
+    at = np.searchsorted(o[new][mine], np.arange(owners + 1))
+    near, near_at = distinct_runs(keys[head[~new]].view(np.uint64), o[~new], owners)
+    lists = lambda v, a: pa.ListArray.from_arrays(pa.array(a.astype(np.int32)), pa.array(v.view(np.int64)))
+    return lists(kept, at), lists(near, near_at)
+
+
+def _bytes_of(batch) -> list[bytes]:
+    return [b"" if t is None else t.encode() for t in batch.column("text").to_pylist()]
+
+
 def _describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, key (null for an empty set), sigs of each document."""
+    """doc_id, n_shingles, key (null for an empty set) of each document, and sigs and near (see local_stars)."""
 
     def run(batches):
         powers, classes = Powers(), size_classes(percent)
         for batch in batches:
-            rows = list(zip([b"" if t is None else t.encode() for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()))
-            for part in batches_of_bytes(rows):
-                sets = shingle_sets([x[0] for x in part], powers, n)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([x[1] for x in part], batch.schema.field("doc_id").type), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "key": pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
-                    "sigs": pa.array([signatures(s, percent, classes) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64())),
-                })
+            for part in batches_of_bytes(list(zip(_bytes_of(batch), range(batch.num_rows)))):
+                flat, at = _shingles_of([x[0] for x in part], powers, n, "space")
+                size, keys = np.diff(at), set_keys(flat, at)
+                sigs = [signatures(flat[a:b], percent, classes) if b > a else flat[:0].view(np.int64) for a, b in zip(at[:-1], at[1:])]
+                owner = np.repeat(np.arange(len(part)), [len(x) for x in sigs])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array([x[1] for x in part])), pa.array(size, pa.int64()), pa.array(keys, mask=size == 0), *local_stars(np.concatenate(sigs), owner, keys, len(part))],
+                    ["doc_id", "n_shingles", "key", "sigs", "near"],
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(run, extend(docs.select("doc_id").schema, "n_shingles long, key long, sigs array<long>"))
+    return docs.select("doc_id", "text").mapInArrow(run, extend(docs.select("doc_id").schema, "n_shingles long, key long, sigs array<long>, near array<long>"))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """cluster, key, n, s (the shingles) of wanted (doc_id, key, cluster): texts are read again only for candidates."""
-    w = wanted.select(F.col("doc_id").alias("_d"), "key", "cluster")
-    joined = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "key", "cluster")
+    """key, n, s (the shingles) of the documents of wanted (doc_id, key), perhaps more than once or with others: join on key.
+
+    Texts are read again, but only those of candidates go further than the scan.
+    """
+    d = rows_that_may_hold(docs.select(F.xxhash64("doc_id").alias("h"), "text"), "h", wanted.select(F.xxhash64("doc_id").alias("h")))
 
     def run(batches):
         powers = Powers()
         for batch in batches:
-            rows = list(zip([b"" if t is None else t.encode() for t in batch.column("text").to_pylist()], batch.column("key").to_pylist(), batch.column("cluster").to_pylist()))
-            for part in batches_of_bytes(rows):
-                sets = shingle_sets([x[0] for x in part], powers, n)
-                keep = [(x, s) for x, s in zip(part, sets) if len(s) and set_key(s) == x[1]]
-                yield pa.RecordBatch.from_pydict({
-                    "cluster": pa.array([x[2] for x, _ in keep], pa.int64()), "key": pa.array([x[1] for x, _ in keep], pa.int64()),
-                    "n": pa.array([len(s) for _, s in keep], pa.int64()), "s": pa.array([s.view(np.int64) for _, s in keep], pa.list_(pa.int64())),
-                })
+            for part in batches_of_bytes([(t,) for t in _bytes_of(batch)]):
+                flat, at = _shingles_of([x[0] for x in part], powers, n, "space")
+                some = np.flatnonzero(np.diff(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(set_keys(flat, at)[some]), pa.array(np.diff(at)[some]), pa.ListArray.from_arrays(pa.array(np.append(at[some], at[-1]).astype(np.int32)), pa.array(flat.view(np.int64)))], ["key", "n", "s"]
+                )
+
+    return d.mapInArrow(run, "key long, n long, s array<long>")
+
+
+def _described_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """key, sigs and near of sets (key, s)."""
+
+    def run(batches):
+        classes = size_classes(percent)
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            sigs = [signatures(np.asarray(s, np.int64).view(np.uint64), percent, classes) for s in batch.column("s").to_pylist()]
+            owner = np.repeat(np.arange(len(keys)), [len(x) for x in sigs])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *local_stars(np.concatenate(sigs), owner, keys, len(keys))], ["key", "sigs", "near"])
+
+    return sets.select("key", "s").mapInArrow(run, "key long, sigs array<long>, near array<long>")
 
-    return joined.mapInArrow(run, "cluster long, key long, n long, s array<long>")
+
+def with_enough_shared(shingles: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """key of the sets that have enough shingles in common with any others to be linked with one.
+
+    shingles: key, h (repeated rows don't matter); sizes: key, n. A linked set holds at least
+    percent of a set's shingles, so one with fewer shingles that occur elsewhere has no link.
+    """
+    alone = shingles.groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("z")).where("key = z").groupBy("key").agg(F.count("*").alias("alone"))
+    return sizes.join(alone, "key", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("key")
 
 
 def t_occurrence(lists: list[np.ndarray], t: int, mu: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
@@ -213,14 +280,17 @@ def _search(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.groupBy("cluster", "block").applyInPandas(run, "a long, b long")
 
 
-def candidate_edges(sigs: DataFrame) -> DataFrame:
-    """Stars (a, b) over all keys that have a signature in common, from rows (sig, key).
+def candidate_edges(described: DataFrame) -> DataFrame:
+    """Stars (a, b) over all keys that have a signature in common, from rows key, sigs, near (see local_stars); a = b for a key that repeats.
 
-    Only the smallest and largest key of a signature are gathered (with map-side combine); the
-    others are joined to the smallest, where Spark splits skewed signatures.
+    All rows of a signature meet sorted in one shuffle, and each is tied to the least key. Runs
+    of records have sent each of their signatures once, so a signature of very many records
+    has few rows; the window over them is read in order and spills.
     """
-    low = sigs.groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("sig", "a")
-    return sigs.join(low, "sig").where("key <> a").select("a", F.col("key").alias("b")).distinct()
+    rows = described.where("key is not null")
+    least = F.first("key").over(Window.partitionBy("sig").orderBy("key"))
+    far = rows.select(F.explode("sigs").alias("sig"), "key").select(least.alias("a"), F.col("key").alias("b"), F.row_number().over(Window.partitionBy("sig").orderBy("key")).alias("k")).where("k > 1").select("a", "b")
+    return far.union(rows.select(F.explode("near").alias("a"), F.col("key").alias("b"))).distinct()
 
 
 def exact_components(sets: DataFrame, percent: int, block: int = BLOCK, rows: int | None = None, chunk: int = 1000) -> DataFrame:
@@ -256,28 +326,54 @@ def exact_components(sets: DataFrame, percent: int, block: int = BLOCK, rows: in
     return comps
 
 
+def _clusters(edges: DataFrame, name: str, rows: int) -> DataFrame:
+    """(key, cluster) of the components of candidate edges."""
+    e = stage(edges, "candidates", rows)
+    out = stage(connected_components(e, rows=rows).select(F.col("node").alias("key"), F.col("component").alias("cluster")), name, rows)
+    unstage(e)
+    return out
+
+
 def link_components(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, class_key of each document; no link between different texts is lost.
 
     Equal sets are one record. Records that share a part of their set (see size_classes) are
-    joined to candidate clusters; each cluster's inverted lists are built in blocks of bounded
-    size and searched by DivideSkip. In a cluster of several blocks every block first searches
-    for one common record; what isn't connected to it afterwards searches all blocks.
+    joined to candidate clusters. Passages that many texts share make large clusters without
+    links: in clusters of more than block shingles, sets with too few shingles that occur
+    elsewhere (fewer than the overlap T that a link takes) are left out, and the others are
+    clustered anew. Each cluster's inverted lists are then built in blocks of bounded size and
+    searched by DivideSkip. In a cluster of several blocks every block first searches for one
+    common record; what isn't connected to it afterwards searches all blocks.
     Null and empty texts and texts without words have no set and are linked with nothing; their
     component is their own id. Rows with null ids take part, and a component of null ids only
-    is null. Ties go to the smallest id. An empty table gives no rows.
+    is null. Ties go to the smallest id; repeated rows are one record; very long texts are cut
+    nowhere. Other columns of docs aren't read. An empty table gives no rows.
     """
     d = stage(_describe(docs, n, percent), "sets")
-    rows = d.where("key is not null").count()
-    edges = stage(candidate_edges(d.where("key is not null").select(F.explode("sigs").alias("sig"), "key")), "candidates", rows)
-    clusters = stage(connected_components(edges, rows=rows).select(F.col("node").alias("key"), F.col("component").alias("cluster")), "clusters", rows)
-    reps = d.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    sets = stage(_sets_of(docs, reps.join(clusters, "key"), n).dropDuplicates(["key"]), "members")
-    comps = exact_components(sets, percent, block, rows)
-    narrow = d.select("doc_id", "n_shingles", "key").join(comps.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("class_key", F.coalesce("component", "key"))
-    narrow = stage(narrow.select("doc_id", "n_shingles", "class_key"), "classes", d.count())
+    slim = stage(d.select("doc_id", "n_shingles", "key"), "slim")
+    total = slim.count()
+    clusters = _clusters(candidate_edges(d), "clusters", total)
+    unstage(d)
+    reps = slim.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    wanted = stage(reps.join(clusters, "key"), "wanted", total)
+    large = wanted.groupBy("cluster").agg(F.sum("n").alias("all")).where(F.col("all") > block).select("cluster")
+    crowd = stage(wanted.join(large, "cluster", "left_semi"), "crowd", total)
+    if crowd.isEmpty():
+        sets = _sets_of(docs, wanted, n).join(wanted.select("key", "cluster"), "key")
+    else:
+        rest = stage(wanted.join(large, "cluster", "left_anti"), "rest", total)
+        shingles = _sets_of(docs, crowd, n).select("key", F.explode("s").alias("h"))
+        alive = stage(crowd.join(with_enough_shared(shingles, crowd, percent), "key"), "alive", total)
+        again = stage(_sets_of(docs, alive, n).join(alive.select("key"), "key").dropDuplicates(["key"]), "again")
+        anew = _clusters(candidate_edges(_described_sets(again, percent)), "anew", total)
+        sets = _sets_of(docs, rest, n).join(rest.select("key", "cluster"), "key").unionByName(again.join(anew, "key"))
+    sets = stage(sets.select("cluster", "key", "n", "s").dropDuplicates(["key"]), "members")
+    comps = exact_components(sets, percent, block, total)
+    unstage(sets)
+    narrow = slim.join(comps.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("class_key", F.coalesce("component", "key"))
+    narrow = stage(narrow.select("doc_id", "n_shingles", "class_key"), "classes", total)
     least = narrow.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("component_id"))
-    least = stage(least, "least", rows)  # read from files, so that Spark can split a hot class in the join
+    least = stage(least, "least", total)  # read from files, so that Spark can split a hot class in the join
     out = narrow.join(least, "class_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_key")
 
@@ -286,14 +382,16 @@ def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     """docs with one row of each component of near duplicates: that of the smallest doc_id; all columns stay.
 
     Rows with neither text nor words are linked with nothing and stay. Of rows with equal id
-    and text one stays (any, where other columns differ).
+    and text one stays (any, where other columns differ). Columns may have any names; an empty
+    table gives no rows.
     """
-    tagged = docs.withColumn("__id", F.struct("doc_id", F.xxhash64("text").alias("t")))
-    c = stage(link_components(tagged.select(F.col("__id").alias("doc_id"), "text"), n, percent), "components", docs.count())
-    gone = c.where("class_key is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__g")).distinct()
-    kept = tagged.join(gone, F.col("__id").eqNullSafe(F.col("__g")), "left_anti")
-    again = stage(c.where("class_key is not null and doc_id <=> component_id").groupBy(F.col("doc_id").alias("__a")).count().where("count > 1").select("__a"), "repeated", 1)
+    me, gone, twice = spare(docs.columns, "me", "gone", "twice")
+    tagged = docs.withColumn(me, F.struct("doc_id", F.xxhash64("text").alias("t")))
+    c = stage(link_components(tagged.select(F.col(me).alias("doc_id"), "text"), n, percent), "components", docs.count())
+    others = c.where("class_key is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(gone)).distinct()
+    kept = tagged.join(others, F.col(me).eqNullSafe(F.col(gone)), "left_anti")
+    again = stage(c.where("class_key is not null and doc_id <=> component_id").groupBy(F.col("doc_id").alias(twice)).count().where("count > 1").select(twice), "repeated", 1)
     if not again.isEmpty():
-        same = F.col("__id").eqNullSafe(F.col("__a"))
-        kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["__id"]))
+        same = F.col(me).eqNullSafe(F.col(twice))
+        kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([me]))
     return kept.select(*docs.columns)

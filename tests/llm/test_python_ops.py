@@ -33,13 +33,16 @@ def same_components(got, want):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
 @pytest.mark.parametrize("block", [2_000_000, 400])
-def test_ngram_join_loses_no_link(spark, block):
+def test_ngram_join_loses_no_link(spark, block, n, percent):
     texts = near_copies()
+    passage = " ".join(WORDS[:60])
+    texts += [passage + " " + t for t in texts[::7] if t]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = near(list(enumerate(texts)))
+    want = near(list(enumerate(texts)), n, percent)
     want = {i: (n, c if n else i) for i, (n, c) in want.items()}
-    got = ngram_join.link_components(d, block=block).collect()
+    got = ngram_join.link_components(d, n, percent, block).collect()
     same_components(got, want)
     assert sum(r.component_id != r.doc_id for r in got) > 25
 
@@ -90,17 +93,18 @@ def test_t_occurrence_is_a_count():
         assert ids.tolist() == np.flatnonzero(n >= t).tolist() and count.tolist() == n[n >= t].tolist()
 
 
-def test_sets_of_any_linked_sizes_share_a_signature():
-    rng, classes = np.random.default_rng(5), ngram_join.size_classes(90)
+@pytest.mark.parametrize("percent", [90, 80])
+def test_sets_of_any_linked_sizes_share_a_signature(percent):
+    rng, classes = np.random.default_rng(5), ngram_join.size_classes(percent)
     for n in [*range(1, 40), 75, 76, 77, 200, 505, 506, 3000]:
         for _ in range(6):
             x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-            drop = rng.integers(0, n // 9 + 1)
+            drop = rng.integers(0, n * (100 - percent) // percent + 1)
             y = np.concatenate([x[drop:], rng.integers(0, 1 << 63, rng.integers(0, 3)).astype(np.uint64)])
             y = np.unique(y)
             o = len(np.intersect1d(x, y))
-            if len(y) and 100 * o >= 90 * (len(x) + len(y) - o):
-                assert np.intersect1d(ngram_join.signatures(x, 90, classes), ngram_join.signatures(y, 90, classes)).size
+            if len(y) and 100 * o >= percent * (len(x) + len(y) - o):
+                assert np.intersect1d(ngram_join.signatures(x, percent, classes), ngram_join.signatures(y, percent, classes)).size
 
 
 def test_components(spark):
