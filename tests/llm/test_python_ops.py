@@ -1,10 +1,12 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from brute import components, contamination as plain_contamination, near
+from pyspark.sql import functions as F
 from test_native import ODD, SF, by_id, docs
 
 from locusmill.llm import decontaminate, ngram_join, telephony, toxicity
@@ -185,6 +187,19 @@ def test_toxicity_held_out(spark):
     odd = toxicity.score(docs(spark, extra=True).withColumnRenamed("rid", "score"), t)
     assert odd.count() == len(ODD) and odd.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.score(d.limit(0), t).count() == 0
+    # the way for models too large to broadcast gives the same
+    few = d.where("doc_id < 60").union(d.where("doc_id < 3")).unionByName(docs(spark))
+    one = by_id([tuple(r) for r in toxicity.score(few, t).select("doc_id", "score").collect()])
+    two = by_id([tuple(r) for r in toxicity.score(few, t, most_rows=0).select("doc_id", "score").collect()])
+    assert [x[0] for x in one] == [x[0] for x in two] and np.allclose([x[1] for x in one], [x[1] for x in two], atol=1e-5)
+
+
+def test_toxicity_of_any_columns(spark):
+    d = docs(spark, ["a b", None, "idiot you"]).withColumn("feature", F.lit(7)).withColumn("score", F.lit(8)).withColumn("key", F.lit(9))
+    l = spark.createDataFrame([(0, 1, 5), (2, None, 5), (None, 1, 5)], "doc_id long, toxic int, text int")
+    for most in (0, 100):
+        out = toxicity.score(d, toxicity.train(d, l), "toxic", most).collect()
+        assert all((r.feature, r.score, r.key) == (7, 8, 9) and 0 <= r.toxic < 0.7 for r in out) and len(out) == 3
 
 
 def test_toxicity_without_labels(spark):
@@ -193,9 +208,37 @@ def test_toxicity_without_labels(spark):
     assert {r.score < 0.7 for r in toxicity.score(d, toxicity.train(d, l)).collect()} == {True}
 
 
-def test_copies_count_as_one_context(spark):
-    d = spark.createDataFrame([("a bad word", 1)] * 40 + [(f"x{i} bad", 1) for i in range(20)] + [(f"x{i} fine", 0) for i in range(20)], "text string, toxic int")
-    m = toxicity.Model(toxicity.count_tables(d, 12))
-    u, p, *_ = toxicity._ids([b"a bad word", b"x fine"], Powers(), 12)
-    r = m.ratios(u, p)
-    assert m.t["uni1"][u[2]] < 2 and m.t["uni1"][u[1]] > 10 and r[1] > 2 and abs(r[2]) < 2 and r[4] < -1
+def plain_kneser_ney(rows, d):
+    """(p of w after h under class 0 and 1, counts): counts are different words before, as sets; words as they stand."""
+    tri = {(c, u, h, w) for text, c in rows for x in [["", "", *text.split()]] for u, h, w in zip(x, x[1:], x[2:])}
+    k, heads, words, first = Counter((c, h, w) for c, u, h, w in tri), {}, {}, Counter()
+    for (c, h, w), n in k.items():
+        heads.setdefault((c, h), []).append(n)
+        words.setdefault((c, w), set()).add(h)
+    first = Counter({x: len(v) for x, v in words.items()})
+    vocabulary = {w for _, w in first}
+    s = [sum(n for (c, _), n in first.items() if c == i) for i in (0, 1)]
+
+    def p(c, h, w):
+        shared = (first[0, w] + first[1, w] + 1) / (s[0] + s[1] + len(vocabulary) + 1)
+        one = max(first[c, w] - d, 0) / s[c] + sum(min(n, d) for (x, _), n in first.items() if x == c) / s[c] * shared
+        after = heads.get((c, h), [])
+        return (max(k[c, h, w] - d, 0) + sum(min(n, d) for n in after) * one) / sum(after) if after else one
+
+    return p
+
+
+def test_toxicity_is_kneser_ney(spark):
+    r = random.Random(6)
+    common = ["the", "of", "and", "bad", "good", "day"]
+    rows = [(" ".join(r.choice(common if r.random() < 0.7 else WORDS) for _ in range(40)) + (" bad word" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
+    rows += rows[:3] * 5  # copies count once
+    counts = toxicity.Counts(spark.createDataFrame(rows, "text string, toxic int"))
+    texts = ["the bad word of the day", "w1 w2 unseen words", "unseen", "and and and of the good bad", ""]
+    for d, s in ((2.0, 0.1), (4.0, 0.01)):
+        p = plain_kneser_ney(rows, d)
+        x = toxicity._features(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), counts, d, [s], 10**6)
+        for t, f in zip(texts, [row.f[0] for row in x.collect()]):
+            w = ["", *t.split()]
+            want = sum(np.log(1 - s + s * p(1, h, v) / p(0, h, v)) for h, v in zip(w, w[1:])) / (len(w) - 1 + 5)
+            assert abs(f - want) < 1e-5, (t, d)
