@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -265,19 +264,51 @@ def linked_in_block(sets: list[np.ndarray], queries: list[int], percent: int) ->
     return out
 
 
+#: Groups of fewer shingles are searched together.
+SMALL = 50_000
+
+
 def _search(blocks: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between keys, from rows cluster, block, key, s, first (order of search, null: only searched)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["key", "first"], na_position="last").drop_duplicates("key")
-        sets = [np.asarray(x, np.int64) for x in frame["s"]]
-        keys = frame["key"].to_numpy()
-        first = frame["first"].to_numpy(float)
-        queries = [int(i) for i in np.argsort(first, kind="stable") if not np.isnan(first[i])]
-        links = linked_in_block(sets, queries, percent) if queries else []
-        return pd.DataFrame({"a": [keys[i] for i, _ in links], "b": [keys[j] for _, j in links]}, dtype="int64")
-
-    return blocks.groupBy("cluster", "block").applyInPandas(run, "a long, b long")
+    """Edges (a, b) between keys, from rows cluster, block, key, s, first (order of search, null: only searched).
+
+    The rows of a (cluster, block) lie together; tasks read group after group. Small ones share
+    an index, which finds nothing between them, as their clusters have nothing in common.
+    """
+
+    def links(groups):
+        small, out = [], []
+        for rows in groups:
+            (small.extend if sum(len(r[1]) for r in rows) < SMALL else out.append)(rows)
+        for rows in [*out, *([small] if small else [])]:
+            first = np.array([np.nan if r[2] is None else r[2] for r in rows], float)
+            queries = [int(i) for i in np.argsort(first, kind="stable") if not np.isnan(first[i])]
+            for i, j in linked_in_block([r[1] for r in rows], queries, percent) if queries else []:
+                yield rows[i][0], rows[j][0]
+
+    def batch_of(found):
+        found = np.array(list(found), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+    def run(batches):
+        groups, held, last = [], 0, None
+        for batch in batches:
+            flat, at = batch.column("s").flatten().to_numpy(), batch.column("s").offsets.to_numpy()
+            at = at - at[0]
+            for i, (c, b, k, f) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("cluster", "block", "key", "first")))):
+                if (c, b) != last:
+                    if held > 4 * SMALL:
+                        yield batch_of(links(groups))
+                        groups, held = [], 0
+                    groups.append([])
+                    last = c, b
+                if not groups[-1] or groups[-1][-1][0] != k:
+                    groups[-1].append((k, flat[at[i] : at[i + 1]].copy(), f))
+                    held += int(at[i + 1] - at[i])
+        if groups:
+            yield batch_of(links(groups))
+
+    near = blocks.select("cluster", "block", "key", "s", "first").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "key", F.col("first").asc_nulls_last())
+    return near.mapInArrow(run, "a long, b long")
 
 
 def candidate_edges(described: DataFrame) -> DataFrame:
