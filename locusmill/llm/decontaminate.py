@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, LOWER_BYTES, Powers, RangeHash, ascii_lower, batches_of_bytes, byte_table, extend, join_bytes, stage, words_of
+from .common import ALNUM_WORD, LOWER_BYTES, Powers, RangeHash, ascii_lower, batches_of_bytes, byte_table, extend, join_bytes, spare, stage, words_of
 
 WINDOW = 10
 #: Bits of the filter that tells which words of the documents can matter; its size never changes.
@@ -139,7 +139,8 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, bits: int
 
     Null texts have no words; null items, items without words and null item ids give no window;
     repeated items count once by id. Rows are told apart by position, so null or repeated ids
-    are fine. Without items nothing is hit; an empty table gives no rows.
+    are fine; very long texts are read whole; other columns, whatever their names, aren't
+    read. Without items nothing is hit; an empty table gives no rows.
     """
     o = occurrences(docs, items, n, bits)
     before = F.max(F.col("start") + F.col("size")).over(Window.partitionBy("rid").orderBy(F.col("start").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1))
@@ -151,7 +152,11 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, bits: int
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """docs without the rows whose text holds a window of an item; all columns and other rows stay."""
-    tagged = docs.withColumn("__id", F.struct("doc_id", F.xxhash64("text").alias("t")))
-    hit = contamination(tagged.select(F.col("__id").alias("doc_id"), "text"), items, n).where("contaminated").select(F.col("doc_id").alias("__h")).distinct()
-    return tagged.join(hit, F.col("__id").eqNullSafe(F.col("__h")), "left_anti").select(*docs.columns)
+    """docs without the rows whose text holds a window of an item; all columns, whatever their names, and other rows stay.
+
+    Nulls, repeated rows, long texts and empty tables fare as in contamination().
+    """
+    me, hit = spare(docs.columns, "me", "hit")
+    tagged = docs.withColumn(me, F.struct("doc_id", F.xxhash64("text").alias("t")))
+    found = contamination(tagged.select(F.col(me).alias("doc_id"), "text"), items, n).where("contaminated").select(F.col("doc_id").alias(hit)).distinct()
+    return tagged.join(found, F.col(me).eqNullSafe(F.col(hit)), "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, stage
+from .common import SPACE_WORD, spare, stage
 
 
 def size_of(text: Column) -> Column:
@@ -62,13 +62,16 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix", max_sources: int = 100_000) -> DataFrame:
-    """docs with each row emitted as many times as its source's rate asks for; all columns stay.
+    """docs with each row emitted as many times as its source's rate asks for; all columns, whatever their names, stay.
 
     The plan's row count is checked: up to max_sources it is broadcast, so the texts of a hot
-    source never meet in one task; beyond, Spark joins by shuffle and splits skewed keys.
+    source never meet in one task; beyond, Spark joins by shuffle and splits skewed keys. Nulls,
+    repeated rows and an empty table fare as in mix_counts(); long texts are counted whole.
     """
-    plan = stage(source_plan(docs.select("source", size_of(F.col("text")).alias("size")), weights, cap), "mixplan").select(F.col("source").alias("__s"), F.col("rate").alias("__rate"))
-    plan = F.broadcast(plan) if plan.count() <= max_sources else plan
-    n = copies(F.col("__rate"), F.col("doc_id"), seed).cast("int")
-    joined = docs.join(plan, docs["source"].eqNullSafe(F.col("__s")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), n)).alias("__copy")).select(*docs.columns)
+    plan = stage(source_plan(docs.select("source", size_of(F.col("text")).alias("size")), weights, cap), "mixplan")
+    few = plan.count() <= max_sources
+    s, rate, copy = spare(docs.columns, "s", "rate", "copy")
+    plan = plan.select(F.col("source").alias(s), F.col("rate").alias(rate))
+    joined = docs.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col(s)))
+    n = copies(F.col(rate), F.col("doc_id"), seed).cast("int")
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), n)).alias(copy)).select(*docs.columns)

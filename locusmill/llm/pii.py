@@ -1,13 +1,14 @@
-"""Personal data by weak supervision: labelers vote, EM weighs them, a classifier decides (DataFrame functions only)."""
+"""Personal data by weak supervision: labelers vote, EM weighs them, a span classifier trained on the result decides (DataFrame functions only)."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import spare, stage
 
 # Possessive forms of the base patterns: the same matches in time linear in the text, without recursion.
 _L = r"A-Za-z0-9._%+-"
@@ -19,8 +20,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z])(?:password|passwd|secret|token|api_key)[\x20]?[=:][\x20]?[\"']?[0-9A-Za-z_/+-]{8,}+"
 SPOKEN = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++[\x20](?:\(at\)|\[at\])[\x20][A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-#: Lengths of the listed countries' IBANs; of others any from 15 on, in groups of four and a last one of 1 to 4.
-IBAN_LENGTHS = {"DE": 22, "FR": 27, "ES": 24, "GB": 22, "IT": 27, "NL": 18, "BE": 16, "CH": 21, "AT": 20}
+# Lengths of the listed countries' IBANs; of others any from 15 on, in groups of four and a last one of 1 to 4.
+IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26,
+    "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
 _GROUP = r"(?:[\x20]?[0-9A-Z]{4})"
 _LISTED = "|".join(rf"{c}[0-9]{{2}}{_GROUP}{{{n // 4 - 1}}}" + (rf"[\x20]?[0-9A-Z]{{{n % 4}}}" if n % 4 else "") for c, n in IBAN_LENGTHS.items())
 _OTHER = rf"[A-Z]{{2}}[0-9]{{2}}(?:{_GROUP}{{3,7}}(?:[\x20]?[0-9A-Z]{{1,3}})?|{_GROUP}{{2}}[\x20]?[0-9A-Z]{{3}})"
@@ -28,8 +32,11 @@ IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{_LISTED})(?![A-Za-z0-9]
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("key", "secret", "iban", "spoken_email")
-#: Gazetteers and cues, as fixed lists.
-DOMAIN_ENDS = r"\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk)$"
+# Fixed values, the gazetteers: ends of domains, first digits of card numbers, country codes of phones.
+DOMAIN_ENDS = "com org net edu gov mil int info biz io ai app dev me tv co at au be br ca ch cn cz de dk es eu fi fr gr hu ie in it jp kr mx nl no nz pl pt ro ru se sk tr ua uk us za"
+CARD_STARTS = "34 35 36 37 38 4 51 52 53 54 55 60 62 64 65 67"
+CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99"
+#: Words before a match that speak for it.
 CUES = {
     "email": "mail|contact|write|address", "ip": "ip|host|server|address|login", "card": "card|visa|credit|pay", "phone": "phone|call|tel|mobile|fax",
     "key": "key|aws|access|credential", "secret": "login|user|config|password|auth", "iban": "iban|bank|account|transfer", "spoken_email": "mail|contact|write|address",
@@ -87,7 +94,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def votes(spans: DataFrame) -> DataFrame:
-    """Adds v0..v3: the votes (1, 0, or -1 for none) of the format, gazetteer, context and shape labelers."""
+    """Adds v0..v3, the votes (1, 0, or -1 for none) of the format, gazetteer, context and shape labelers, and x0..x5, features of the span besides."""
     m, kind, ctx = F.col("m"), F.col("kind"), F.col("ctx")
     strict = (
         F.when(kind == "email", m.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"))
@@ -99,27 +106,35 @@ def votes(spans: DataFrame) -> DataFrame:
         .otherwise(F.lit(True))
     )
     listed = (
-        F.when(kind.isin("email", "spoken_email"), F.lower(m).rlike(DOMAIN_ENDS))
+        F.when(kind.isin("email", "spoken_email"), F.lower(m).rlike(r"\.(?:" + DOMAIN_ENDS.replace(" ", "|") + ")$"))
         .when(kind == "ip", ~m.rlike(r"^(?:0|255)\."))
-        .when(kind == "card", m.rlike(r"^(?:4|5[1-5]|3[47]|6)"))
-        .when(kind == "phone", m.rlike(r"^\+(?:1|3[0-9]|4[0-9]|[2-9])"))
+        .when(kind == "card", m.rlike("^(?:" + CARD_STARTS.replace(" ", "|") + ")"))
+        .when(kind == "phone", m.rlike(r"^\+(?:" + CALLING_CODES.replace(" ", "|") + ")"))
         .when(kind == "key", F.lit(True))
-        .when(kind == "iban", m.rlike(r"^(?:DE|FR|ES|GB|IT|NL|BE|CH|AT)"))
+        .when(kind == "iban", m.rlike("^(?:" + "|".join(IBAN_LENGTHS) + ")"))
     )
     cue = F.lit(None)
     for k, words in CUES.items():
         cue = F.when(kind == k, ctx.rlike(words)).otherwise(cue)
     shape = F.when(kind.isin("card", "phone"), F.size(F.array_distinct(F.split(_digits(m), ""))) >= 3).when(kind.isin("key", "secret"), F.size(F.array_distinct(F.split(m, ""))) >= 8).when(kind == "ip", F.length(m) >= 9)
     vote = lambda c: F.when(c, 1).when(~c, 0).otherwise(-1)
+    flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    n = F.length(m)
+    seen = {  # what no labeler looks at: what stands right before, length, make-up
+        "x0": flag(ctx.rlike(r"[0-9a-z]$")), "x1": flag(ctx.rlike(r"[:=#(\[\"']\s*$")), "x2": flag(n >= 16), "x3": flag(2 * F.length(_digits(m)) > n), "x4": flag(m.rlike("[a-z]") & m.rlike("[A-Z]")), "x5": flag(m.rlike("[0-9]{4}")),
+    }
+    spans = spans.withColumns(seen)
     return spans.withColumns({"v0": vote(strict), "v1": vote(listed), "v2": F.when(cue, 1).otherwise(-1), "v3": vote(shape)})
 
 
+VOTES, SEEN = ("v0", "v1", "v2", "v3"), ("x0", "x1", "x2", "x3", "x4", "x5")
+
+
 def fit_votes(counts: list, rounds: int = 30) -> dict[str, tuple[float, list[tuple[float, float]]]]:
-    """EM over vote patterns: per kind a bias and, per labeler, the weights of a vote for and against.
+    """The label model by EM over vote patterns: per kind a bias and, per labeler, the weights of a vote for and against.
 
     counts: (kind, v0..v3, n), at most 8 kinds x 81 patterns whatever the corpus. Reliabilities
-    (true and false positive rate of each labeler) and the prior are estimated from the votes
-    alone, and the classifier's weights are trained on the posteriors as a naive Bayes model.
+    (true and false positive rate of each labeler) and the prior are estimated from the votes alone.
     """
     out = {}
     for kind in sorted({r[0] for r in counts}):
@@ -131,7 +146,7 @@ def fit_votes(counts: list, rounds: int = 30) -> dict[str, tuple[float, list[tup
 
         for _ in range(rounds):
             bias, w = weights(prior, rate)
-            post = [1 / (1 + math.exp(-max(-30, min(30, bias + sum(w[j][1 - x] for j, x in enumerate(v) if x >= 0))))) for v, _ in rows]
+            post = [posterior((bias, w), v) for v, _ in rows]
             total = sum(n for _, n in rows)
             prior = min(0.99, max(0.01, (sum(p * n for p, (_, n) in zip(post, rows)) + 1.4) / (total + 2)))
             rate = []
@@ -145,22 +160,61 @@ def fit_votes(counts: list, rounds: int = 30) -> dict[str, tuple[float, list[tup
     return out
 
 
+def posterior(model: tuple, v: tuple) -> float:
+    """The label model's probability for one pattern of votes."""
+    bias, w = model
+    return 1 / (1 + math.exp(-max(-30, min(30, bias + sum(w[j][1 - x] for j, x in enumerate(v) if x >= 0)))))
+
+
+def _design(pattern: tuple) -> list[float]:
+    """1, votes for and against of each labeler, and the features."""
+    v, x = pattern[:4], pattern[4:]
+    return [1.0, *(float(y == k) for y in v for k in (1, 0)), *map(float, x)]
+
+
+def fit_classifier(counts: list, rounds: int = 40, ridge: float = 1.0) -> dict[str, list[float]]:
+    """The span classifier: per kind a logistic regression on votes and features, trained on the label model's posteriors.
+
+    counts: (kind, v0..v3, x0..x5, n), at most 8 x 81 x 64 patterns whatever the corpus, so it is
+    trained on all spans. Weights as in _design().
+    """
+    votes = {}
+    for r in counts:
+        votes[r[:5]] = votes.get(r[:5], 0) + r[-1]
+    labels, out = fit_votes([(*k, n) for k, n in votes.items()]), {}
+    for kind, model in labels.items():
+        rows = [r for r in counts if r[0] == kind]
+        x = np.array([_design(r[1:-1]) for r in rows])
+        n = np.array([float(r[-1]) for r in rows])
+        t = np.array([posterior(model, r[1:5]) for r in rows])
+        pull = ridge * np.r_[0.01, np.ones(x.shape[1] - 1)]
+        w = np.zeros(x.shape[1])
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            h = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(pull)
+            step = np.linalg.solve(h, x.T @ (n * (p - t)) + pull * w)
+            w -= step / max(1.0, np.abs(step).max())
+        out[kind] = w.tolist()
+    return out
+
+
 def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """rid, doc_id, kind, start, end, p, base: spans found, and one row with null kind for each document.
 
     Base kinds always stay; other kinds stay where the classifier's probability reaches threshold.
     Null texts count as empty and have no span; rows are told apart by position, so null or
-    repeated ids and repeated texts are fine; empty tables give no rows. Positions are code points.
+    repeated ids and repeated texts are fine; very long texts and matches are taken whole; other
+    columns, whatever their names, aren't read; empty tables give no rows. Positions are code points.
     """
     spans = stage(votes(candidates(docs)), "votes")
-    cols = ["v0", "v1", "v2", "v3"]
-    counts = [tuple(r) for r in spans.where("kind is not null").groupBy("kind", *cols).count().collect()]  # 8 x 81 rows at most
-    model = fit_votes(counts)
+    counts = [tuple(r) for r in spans.where("kind is not null").groupBy("kind", *VOTES, *SEEN).count().collect()]  # 8 x 81 x 64 rows at most
     score = F.lit(None).cast("double")
-    for kind, (bias, w) in model.items():
-        terms = F.lit(bias)
-        for c, (yes, no) in zip(cols, w):
-            terms = terms + F.when(F.col(c) == 1, yes).when(F.col(c) == 0, no).otherwise(0.0)
+    for kind, w in fit_classifier(counts).items():
+        terms = F.lit(w[0])
+        for j, c in enumerate(VOTES):
+            terms = terms + F.when(F.col(c) == 1, w[1 + 2 * j]).when(F.col(c) == 0, w[2 + 2 * j]).otherwise(0.0)
+        for c, y in zip(SEEN, w[1 + 2 * len(VOTES) :]):
+            terms = terms + F.col(c) * y
         score = F.when(F.col("kind") == kind, 1 / (1 + F.exp(-terms))).otherwise(score)
     out = spans.select("rid", "doc_id", "kind", "start", "end", score.alias("p"), F.col("kind").isin(*BASE_KINDS).alias("base"))
     return out.where(F.col("kind").isNull() | F.col("base") | (F.col("p") >= threshold))
@@ -177,17 +231,21 @@ def report(spans: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs with every span found replaced by [kind] in text; all columns and rows stay.
+    """docs with every span found replaced by [kind] in text; all columns, whatever their names, and rows stay.
 
-    Spans are found per row and joined to texts by their hash; texts without a span don't change.
+    Spans are found per row and joined to texts by their hash; null, empty and other texts
+    without a span don't change, equal texts change alike; an empty table stays empty.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    spans = detect(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), threshold).where("kind is not null")
-    cuts = spans.groupBy(F.col("doc_id").alias("__k")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias("__cuts"))
+    key, k, cuts, r = spare(docs.columns, "key", "k", "cuts", "r")
+    text = F.coalesce("text", F.lit(""))
+    same = F.struct(F.xxhash64(text).alias("x"), F.crc32(text.cast("binary")).alias("y"))
+    spans = detect(docs.select(same.alias("doc_id"), "text"), threshold).where("kind is not null")
+    found = spans.groupBy(F.col("doc_id").alias(k)).agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias(cuts))
     # Of overlapping spans the first stays; pieces between them are kept.
     step = lambda a, x: F.when(x["start"] >= a["at"], F.struct(F.concat(a["out"], F.array(F.struct(a["at"].alias("a"), x["start"].alias("b"), F.concat(F.lit("["), x["kind"], F.lit("]")).alias("t")))).alias("out"), x["end"].alias("at"))).otherwise(a)
     start = F.struct(F.array().cast("array<struct<a:bigint,b:bigint,t:string>>").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    done = keyed.join(cuts, keyed["__key"] == cuts["__k"], "left").withColumn("__r", F.when(F.col("__cuts").isNotNull(), F.aggregate("__cuts", start, step)))
+    done = docs.withColumn(key, same).join(found, F.col(key) == F.col(k), "left").withColumn(r, F.when(F.col(cuts).isNotNull(), F.aggregate(cuts, start, step)))
     piece = lambda p: F.concat(F.substring(F.col("text"), (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")), p["t"])
-    text = F.when(F.col("__r").isNotNull(), F.concat(F.array_join(F.transform(F.col("__r.out"), piece), ""), F.substring(F.col("text"), (F.col("__r.at") + 1).cast("int"), F.length("text")))).otherwise(F.col("text"))
-    return done.withColumn("text", text).select(*docs.columns)
+    rest = F.substring(F.col("text"), (F.col(r)["at"] + 1).cast("int"), F.length("text"))
+    new = F.when(F.col(r).isNotNull(), F.concat(F.array_join(F.transform(F.col(r)["out"], piece), ""), rest)).otherwise(F.col("text"))
+    return done.withColumn("text", new).select(*docs.columns)

@@ -4,6 +4,7 @@ import shutil
 import pyarrow as pa
 import pyarrow.parquet as pq
 from brute import SPACE, contamination, mix_targets, near
+from pyspark.sql import functions as F
 from test_native import SF
 
 import corpus_pipeline
@@ -55,16 +56,32 @@ def pii_spans(spark, docs):
     return _SPANS
 
 
+#: Columns that documents may have, named as those that stages use.
+CLASHES = ["score", "__id", "me", "gone", "twice", "hit", "key", "key2", "k", "cuts", "r", "s", "rate", "copy", "__copy", "__key", "__r", "feature", "h", "rid", "sig", "component"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id")))
+    for name, f in corpus_pipeline.STAGES:
+        got = f(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        rows_ = got.collect()
+        assert rows_ and all(r[c] == f"{c}{r.doc_id}" for r in rows_ for c in CLASHES), name
+
+
 def test_run_on_odd_tables(spark, tmp_path):
     texts = [None, "", " ", "me@x.org " * 3, "w " * 4000, "same text of some words here", "Same TEXT of some words here", "same text of some words here"] * 2
     n = len(texts)
-    table = pa.table({"doc_id": pa.array([None if i == 5 else i % 12 for i in range(n)], pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array([None] * n, pa.string()), "source": pa.array([None, "a"] * (n // 2)), "n_chars": pa.array([0] * n, pa.int64()), "score": pa.array([1.0] * n), "__id": pa.array([1] * n)})
-    table = table.drop_columns(["__id"])
+    base = {"doc_id": pa.array([None if i == 5 else i % 12 for i in range(n)], pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array([None] * n, pa.string()), "source": pa.array([None, "a"] * (n // 2)), "n_chars": pa.array([0] * n, pa.int64())}
+    table = pa.table(base | {c: pa.array([float(k)] * n) for k, c in enumerate(CLASHES)})
     pq.write_table(table, tmp_path / "documents.parquet")
     for t in ("labels", "benchmark"):
         shutil.copy(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and all(not re.search("me@x", r.text or "") for r in out)
+    assert all([r[c] for c in CLASHES] == [float(k) for k in range(len(CLASHES))] for r in out)
     groups = {(r.text or "").lower() for r in out if "same" in (r.text or "").lower()}
     assert len(groups) <= 1
     pq.write_table(table.slice(0, 0), tmp_path / "documents.parquet")
