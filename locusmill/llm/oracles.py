@@ -21,11 +21,11 @@ LICENSES = f"""
 WITH t(template, label, base, need, tpos, w0, w1) AS (VALUES {_template_rows()}),
 d AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_ALNUM}') AS w FROM documents),
 g AS (SELECT doc_id, i - 1 AS pos, w[i] AS w0, w[i + 1] AS w1 FROM d, unnest(range(1, len(w))) u(i)),
-h AS (SELECT DISTINCT doc_id, template, label, base, need, pos - tpos AS diag, tpos FROM g JOIN t USING (w0, w1)),
-dg AS (SELECT DISTINCT doc_id, template, label, base, need, diag FROM h),
-r AS (SELECT *, CASE WHEN base OR lag(diag) OVER v IS NULL OR diag - lag(diag) OVER v > 2 THEN 1 ELSE 0 END AS fresh FROM dg WINDOW v AS (PARTITION BY doc_id, template ORDER BY diag)),
-b AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diag ROWS UNBOUNDED PRECEDING) AS run FROM r),
-band AS (SELECT doc_id, template, label, base, need, run, min(diag) AS start, count(DISTINCT tpos) AS votes FROM b JOIN h USING (doc_id, template, label, base, need, diag) GROUP BY ALL),
+h AS (SELECT doc_id, template, label, base, need, pos, tpos, pos - tpos AS diag FROM g JOIN t USING (w0, w1)),
+s AS (SELECT DISTINCT doc_id, template, diag AS start FROM h),
+m AS (SELECT h.*, start FROM s JOIN h USING (doc_id, template) WHERE diag BETWEEN start AND start + CASE WHEN base THEN 0 ELSE greatest(2, need // 4) END),
+o AS (SELECT *, coalesce(max(tpos) OVER (PARTITION BY doc_id, template, start ORDER BY pos, tpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM m),
+band AS (SELECT doc_id, template, label, base, need, start, count(*) FILTER (tpos > before) AS votes FROM o GROUP BY ALL),
 k AS (SELECT *, votes / need::DOUBLE AS share, base AND votes = need AS ok_base, (base AND votes = need) OR (NOT base AND votes / need::DOUBLE >= 0.75) AS ok FROM band),
 a AS (SELECT doc_id, count(*) FILTER (ok_base) AS n_base, min(start) FILTER (ok_base) AS first_word, max(start) FILTER (ok_base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok) AS labels, max(share) FILTER (ok OR NOT base) AS score FROM k GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN a USING (doc_id)

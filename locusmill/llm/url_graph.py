@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage, unstage
+from .common import ascii_lower, stage
 
 #: (verdict, host, path); a rule holds for its host and all subdomains, for paths that begin with its path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -43,43 +43,58 @@ def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return linked.union(both).where("src <> dst and src <> '' and dst <> ''").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, max_rounds: int = 600, together: int = 6) -> DataFrame:
     """(host, trust, distrust): personalised PageRank from seeds along edges, and of distrust against them.
 
     seeds: host, trust, distrust (weights). Both walks are one loop over edges keyed by
-    (kind, src); each round is one join and one pre-aggregated sum. Mass at hosts without
-    edges leaves the walk, so a score doesn't depend on how many other seeds there are.
+    (kind, src); each round is one join, in which Spark splits hosts with very many links, and
+    one pre-aggregated sum; every few rounds are written down together. A host without edges
+    keeps its mass, as if linked to itself: so a score doesn't depend on how many other seeds
+    there are, and all scores add up to the seeds' weights. Rounds end when no score changes by
+    tolerance * (1 - damping) in one of them; if max_rounds don't suffice, that is an error.
+    Repeated edges count once; without edges scores are the seeds' own; no seeds, no rows.
     """
-    e = edges.select(F.lit(0).alias("kind"), "src", "dst").union(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
+    pairs = edges.select("src", "dst").distinct()
+    e = pairs.select(F.lit(0).alias("kind"), "src", "dst").union(pairs.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     degree = e.groupBy("kind", "src").agg(F.count("*").alias("n"))
     e = stage(e.join(degree, ["kind", "src"]).select("kind", "src", "dst", (F.lit(damping) / F.col("n")).alias("w")), "hostedges")
-    seed = seeds.select(F.col("host").alias("src"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("trust").alias("s")), F.struct(F.lit(1).alias("kind"), F.col("distrust").alias("s")))).alias("x"))
-    seed = stage(seed.select("x.kind", "src", (F.col("x.s") * (1 - damping)).alias("s")).where("s > 0"), "seeds")
-    rank, old = seed, None
-    for k in range(rounds):
-        moved = rank.join(e, ["kind", "src"]).select("kind", F.col("dst").alias("src"), (F.col("s") * F.col("w")).alias("s"))
-        rank = moved.union(seed.select("kind", "src", "s")).groupBy("kind", "src").agg(F.sum("s").alias("s"))
-        if k % 4 == 3 and k < rounds - 1:
-            rank = stage(rank, "rank")
-            if old is not None:
-                unstage(old)
-            old = rank
-    return rank.groupBy(F.col("src").alias("host")).agg(F.sum(F.when(F.col("kind") == 0, F.col("s")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("s")).otherwise(0.0)).alias("distrust"))
-
-
-def judge_urls(pages: DataFrame, rules=RULES, margin: float = 0.05, damping: float = 0.85, rounds: int = 8) -> DataFrame:
+    both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("trust").alias("s")), F.struct(F.lit(1).alias("kind"), F.col("distrust").alias("s")))).alias("x")
+    seed = seeds.select(F.col("host").alias("src"), both).groupBy("x.kind", "src").agg((F.sum("x.s") * (1 - damping)).alias("s")).where("s > 0")
+    seed = rank = stage(seed, "seeds")
+    none = F.lit(0.0)
+    for k in range(1, max_rounds + 1):
+        there = rank.join(e, ["kind", "src"], "left")
+        moved = there.select("kind", F.coalesce("dst", "src").alias("src"), (F.col("s") * F.coalesce("w", F.lit(damping))).alias("s"), none.alias("was"))
+        parts = moved.union(seed.select("kind", "src", "s", none.alias("was"))).union(rank.select("kind", "src", none.alias("s"), F.col("s").alias("was")))
+        new = parts.groupBy("kind", "src").agg(F.sum("s").alias("s"), F.sum("was").alias("was"))
+        if k % together == 0 or k == max_rounds:
+            new = stage(new, "rank")
+            change = new.agg(F.max(F.abs(F.col("s") - F.col("was")))).first()[0] or 0.0
+            if change <= tolerance * (1 - damping):
+                rank = new
+                break
+        rank = new.select("kind", "src", "s")
+    else:
+        raise RuntimeError(f"scores still change after {max_rounds} rounds")
+    score = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("s")).otherwise(0.0))
+    return rank.groupBy(F.col("src").alias("host")).agg(score(0).alias("trust"), score(1).alias("distrust"))
+
+
+def judge_urls(pages: DataFrame, rules=RULES, margin: float = 0.05, damping: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
     """pages' page_id, host, path, rule, verdict, trust, distrust.
 
     A page that a rule fits has the rule's verdict. A host's seed weights are the shares of its
     pages that rules allow and block. Any other page is blocked if its host's distrust exceeds
     its trust by margin or more, and allowed else. Null urls and urls without '://' have
-    neither host nor path, fit no rule and are allowed; equal urls are judged alike.
+    neither host nor path, fit no rule and are allowed; equal urls are judged alike, repeated
+    rows each for itself; null html has no links; very long pages are read whole; other columns,
+    whatever their names, aren't read; an empty table gives no rows.
     """
     host, path = host_and_path(F.col("url"))
     judged = pages.select("page_id", "url", "html").withColumns({"host": host, "path": path})
     slim = stage(judged.select("page_id", "host", "path").withColumn("r", best_rule(F.col("host"), F.col("path"), rules)), "pages")
     share = lambda v: F.avg(F.when(F.col("r.verdict") == v, 1.0).otherwise(0.0))
     seeds = slim.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = stage(propagate(host_edges(judged), seeds, damping, rounds), "hostscores")
+    scores = stage(propagate(host_edges(judged), seeds, damping, tolerance), "hostscores")
     method = F.when(F.coalesce(F.round(F.col("distrust") - F.col("trust"), 9) >= margin, F.lit(False)), "block").otherwise("allow")
     return slim.join(scores, "host", "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

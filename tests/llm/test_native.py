@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from brute import licenses, luhn, mix_targets, pii as plain_pii, url as plain_url, SPACE  # noqa: F401
@@ -38,6 +39,18 @@ def test_license_templates_merge_neighbouring_diagonals(spark):
     assert [x.labels for x in r] == ["mit-text", ""] and 0.75 <= r[0].score < 1
 
 
+def test_license_spans_are_verified_in_order(spark):
+    w = license_scan.TEMPLATES[0][0].split()  # licensed under the apache license version 2 0
+    texts = [" ".join(w), " ".join([*w[:4], "new", *w[4:]]), " ".join(" x x x x x x x x ".join([a, b]) for a, b in zip(w, w[1:])), " ".join(f"{a} {b} y" for a, b in list(zip(w, w[1:]))[::-1])]
+    r = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert ["apache-2.0" in x.labels.split(",") for x in r] == [True, True, False, False] and r[0].score == 1.0
+
+
+def test_license_repeated_rows(spark):
+    d = docs(spark, ["MIT license of the MIT License", None, "MIT license of the MIT License"] * 2)
+    assert sorted((x.n_base, x.first_word, x.last_word) for x in license_scan.license_scan(d.union(d)).collect() if x.n_words) == [(2, 0, 4)] * 8
+
+
 def test_pii_takes_whole_matches(spark):
     ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "IT60X0542811101000000123456", "NL91ABNA0417164300", "CH9300762011623852957", "NO9386011117947", "BE68539007547034", "PL61109010140000071219812874"]
     ibans += [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in ibans]
@@ -135,6 +148,36 @@ def test_distrust_walks_against_links_and_trust_along(spark):
     assert r["spammy"].distrust > 0 and r["friend"].trust > 0 and r["spammy"].trust == 0 and "nowhere" not in r
 
 
+def plain_rank(edges, seeds, damping=0.85, rounds=300):
+    """Personalised PageRank by matrix-free iteration; hosts without links keep their mass."""
+    out = {}
+    for a, b in set(edges):
+        out.setdefault(a, []).append(b)
+    rank = {}
+    for _ in range(rounds):
+        new = {h: (1 - damping) * s for h, s in seeds.items() if s}
+        for h, s in rank.items():
+            for to in out.get(h, [h]):
+                new[to] = new.get(to, 0) + damping * s / len(out.get(h, [h]))
+        rank = new
+    return rank
+
+
+def test_scores_are_pagerank(spark):
+    r = random.Random(3)
+    hosts = [f"h{i}" for i in range(30)]
+    edges = [(r.choice(hosts), r.choice(hosts[:4] + hosts)) for _ in range(60)] + [(h, "hub") for h in hosts[::2]] + [("hub", "end")] * 2
+    edges = [(a, b) for a, b in edges if a != b]
+    seeds = {h: (r.random() * (r.random() < 0.4), r.random() * (r.random() < 0.4)) for h in [*hosts, "alone"]}
+    got = url_graph.propagate(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, trust double, distrust double"), tolerance=1e-4).collect()
+    trust, distrust = plain_rank(edges, {h: a for h, (a, _) in seeds.items()}), plain_rank([(b, a) for a, b in edges], {h: b for h, (_, b) in seeds.items()})
+    for x in got:
+        assert abs(x.trust - trust.get(x.host, 0)) < 1e-3 and abs(x.distrust - distrust.get(x.host, 0)) < 1e-3, x
+    assert {x.host for x in got} == set(trust) | set(distrust) and abs(sum(x.trust for x in got) - sum(a for a, _ in seeds.values())) < 1e-2
+    with pytest.raises(RuntimeError):
+        url_graph.propagate(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("h1", 1.0, 0.0)], "host string, trust double, distrust double"), max_rounds=6)
+
+
 def test_empty_tables(spark):
     d = docs(spark).limit(0)
     assert license_scan.license_scan(d).count() == pii.report(pii.detect(d)).count() == mixing.mix_counts(d).count() == 0
