@@ -5,9 +5,12 @@ word, the leftmost of ties) at the same place in both. Texts are therefore cut i
 maximal runs of window starts with one anchor. Pieces with the same anchor meet in one group,
 aligned at the anchor, and equal windows always lie in the same columns. A group's collection
 is built column by column from the right: each round inserts one symbol of every piece into
-the sorted order of its suffixes, and updates the Burrows-Wheeler column (the inserted symbols
-in order) and the common prefixes of neighbours, read from and appended to sequential files.
-A window is repeated where a neighbour's common prefix reaches LENGTH.
+the sorted order of its suffixes. A round reads the Burrows-Wheeler column (the symbols to be
+inserted, in the order of the suffixes they stand before), the pieces in that order and the
+common prefixes of neighbours from the sequential files of the round before, and writes them
+anew; nothing else is kept from round to round. The files belong to the task that builds the
+collection and end with it. A window is repeated where a neighbour's common prefix reaches
+LENGTH.
 """
 
 from __future__ import annotations
@@ -17,12 +20,12 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import StructType
 
-from .common import Powers, RangeHash, extend, stage
+from .common import Powers, RangeHash, extend, mix64, spare, stage, unstage
 
 LENGTH, K = 200, 32
 #: Window starts looked at together; a longer text goes in several parts.
@@ -79,25 +82,26 @@ def repeated_windows(pieces: list[bytes], off: np.ndarray, group: np.ndarray, le
     begin = left - off
     end = begin + size
     width = int(end.max())
-    with tempfile.TemporaryFile() as text, tempfile.TemporaryFile() as bwt, tempfile.TemporaryFile() as prefixes:
+    flags = np.zeros((width, len(pieces)), bool)
+    by_end = np.argsort(-end, kind="stable")
+    entered = 0
+    with tempfile.TemporaryFile() as text, _State() as old, _State() as new:
         # the texts by column, in the order in which rounds read them
         matrix = np.zeros((len(pieces), width), np.uint8)
         matrix[np.repeat(np.arange(len(pieces)), size), np.concatenate([np.arange(a, b) for a, b in zip(begin, end)])] = np.frombuffer(b"".join(pieces), np.uint8)
         np.ascontiguousarray(matrix[:, ::-1].T).tofile(text)
         del matrix
         text.seek(0)
-        flags = np.zeros((width, len(pieces)), bool)
-        order, lcp = np.zeros(0, np.int64), np.zeros(0, np.int32)  # pieces by their suffix; common prefix with the one before
-        by_end = np.argsort(-end, kind="stable")
-        entered = 0
+        symbol = np.fromfile(text, np.uint8, len(pieces))
+        old.write(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint8))
         for c in range(width - 1, -1, -1):
-            symbol = np.fromfile(text, np.uint8, len(pieces))
+            order, lcp, bwt = old.read()
             upto = np.searchsorted(-end[by_end], -c, "left")
             if upto > entered:  # pieces that end here come before all others of their group, with nothing in common
-                fresh = np.sort(by_end[entered:upto])
+                fresh = np.sort(by_end[entered:upto]).astype(np.int32)
                 both = np.concatenate([fresh, order])
                 place = np.argsort(group[both], kind="stable")
-                order = both[place]
+                order, bwt = both[place], np.concatenate([symbol[fresh], bwt])[place]
                 lcp = np.concatenate([np.zeros(len(fresh), np.int32), lcp])[place]
                 # whoever follows a fresh piece shares nothing with it
                 lcp[1:][place[:-1] < len(fresh)] = 0
@@ -105,35 +109,67 @@ def repeated_windows(pieces: list[bytes], off: np.ndarray, group: np.ndarray, le
             live = begin[order] <= c
             if not live.all():  # pieces that begin right of here leave; their neighbours share the least of both
                 idx = np.flatnonzero(live)
-                if not len(idx):
-                    order, lcp = order[:0], lcp[:0]
-                    continue
-                lcp = np.minimum.reduceat(lcp[: idx[-1] + 1], np.concatenate([[0], idx[:-1] + 1]))
-                order = order[idx]
-            if not len(order):
-                continue
-            s = symbol[order]
-            key = group[order] * 256 + s
-            place = np.argsort(key, kind="stable")
-            key = key[place]
-            same = np.flatnonzero(key[1:] == key[:-1]) + 1
-            a, b = place[same - 1], place[same]
-            new = np.zeros(len(order), np.int32)
-            if len(same):
-                wide = b - a > 1
-                new[same] = lcp[b] + 1
-                if wide.any():
-                    cuts = np.stack([a[wide] + 1, b[wide] + 1], 1).ravel()
-                    new[same[wide]] = np.minimum.reduceat(np.append(lcp, np.int32(0)), cuts)[::2] + 1
-            order, lcp = order[place], new
-            symbol[order].tofile(bwt)
-            np.minimum(lcp, 65535).astype(np.uint16).tofile(prefixes)
-            best = lcp.copy()
-            best[:-1] = np.maximum(best[:-1], lcp[1:])
-            flags[c, order] = best >= length
+                lcp = np.minimum.reduceat(lcp[: idx[-1] + 1], np.concatenate([[0], idx[:-1] + 1])) if len(idx) else lcp[:0]
+                order, bwt = order[idx], bwt[idx]
+            if len(order):
+                order, lcp = _insert(order, lcp, group[order] * 256 + bwt)
+                best = lcp.copy()
+                best[:-1] = np.maximum(best[:-1], lcp[1:])
+                flags[c, order] = best >= length
+            symbol = np.fromfile(text, np.uint8, len(pieces)) if c else symbol
+            new.write(order, lcp, symbol[order])
+            old, new = new, old
     return flags, begin
 
 
+class _State:
+    """What a round leaves to the next one, in sequential files: pieces in order, common prefixes, and the Burrows-Wheeler column."""
+
+    kinds = (np.int32, np.int32, np.uint8)
+
+    def __enter__(self):
+        self.files = [tempfile.TemporaryFile() for _ in self.kinds]
+        return self
+
+    def __exit__(self, *_):
+        for f in self.files:
+            f.close()
+
+    def write(self, *columns: np.ndarray) -> None:
+        self.n = len(columns[0])
+        for f, x, kind in zip(self.files, columns, self.kinds):
+            f.seek(0)
+            x.astype(kind).tofile(f)
+            f.flush()
+
+    def read(self) -> list[np.ndarray]:
+        out = []
+        for f, kind in zip(self.files, self.kinds):
+            f.seek(0)
+            out.append(np.fromfile(f, kind, self.n))
+        return out
+
+
+def _insert(order: np.ndarray, lcp: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One round: pieces in the order of their suffixes with one symbol more (key: group and symbol), and the new common prefixes.
+
+    Pieces with the same symbol keep their order; two that follow each other then share one
+    symbol more than the least common prefix between them before.
+    """
+    place = np.argsort(key, kind="stable")
+    key = key[place]
+    same = np.flatnonzero(key[1:] == key[:-1]) + 1
+    a, b = place[same - 1], place[same]
+    new = np.zeros(len(order), np.int32)
+    if len(same):
+        wide = b - a > 1
+        new[same] = lcp[b] + 1
+        if wide.any():
+            cuts = np.stack([a[wide] + 1, b[wide] + 1], 1).ravel()
+            new[same[wide]] = np.minimum.reduceat(np.append(lcp, np.int32(0)), cuts)[::2] + 1
+    return order[place], new
+
+
 def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
     d = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     a = np.flatnonzero(d == 1)
@@ -155,7 +191,12 @@ def _chunks(b: bytes, length: int, chunk: int):
 
 
 def _pieces(docs: DataFrame, length: int, k: int, chunk: int) -> DataFrame:
-    """anchor, piece, doc_id, tkey, start, windows, off of all texts."""
+    """anchor, piece, doc_id, tkey, start, windows, off of all texts, and route and known.
+
+    An anchor that occurs twice in the run of texts at hand is known to be repeated: its first
+    piece tells others so where the anchor's rows meet (route), all further ones are dealt out.
+    So no place has more than one row of an anchor from each run, however often it occurs.
+    """
     keyed = _keyed(docs)
 
     def run(batches):
@@ -171,13 +212,19 @@ def _pieces(docs: DataFrame, length: int, k: int, chunk: int) -> DataFrame:
                     c = cut([x[2] for x in part], powers, length, k)
                     row = np.array([x[0] for x in part])[c["part"]] if len(c["part"]) else c["part"]
                     base = np.array([x[1] for x in part], np.int64)[c["part"]] if len(c["part"]) else c["part"]
+                    anchor = c["anchor"]
+                    _, first, which, count = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True) if len(anchor) else [anchor.astype(np.int64)] * 4
+                    known = count[which] > 1
+                    further = known & (first[which] != np.arange(len(anchor)))
+                    dealt = mix64(anchor.view(np.uint64) + mix64(c["piece"].view(np.uint64)) + np.arange(len(anchor)).astype(np.uint64)).view(np.int64)
                     yield pa.RecordBatch.from_pydict({
                         "anchor": pa.array(c["anchor"], pa.int64()), "piece": pa.array(c["piece"], pa.int64()), "doc_id": pa.array([ids[i] for i in row], batch.schema.field("doc_id").type),
                         "tkey": pa.array([keys[i] for i in row], pa.int64()), "start": pa.array(c["start"] + base, pa.int64()), "windows": pa.array(c["windows"].astype(np.int32)), "off": pa.array(c["off"].astype(np.int32)),
+                        "route": pa.array(np.where(further, dealt, anchor), pa.int64()), "known": pa.array(known, pa.bool_()),
                     })
                     part, total = [], 0
 
-    schema = StructType([*StructType.fromDDL("anchor long, piece long").fields, *keyed.select("doc_id").schema.fields, *StructType.fromDDL("tkey long, start long, windows int, off int").fields])
+    schema = StructType([*StructType.fromDDL("anchor long, piece long").fields, *keyed.select("doc_id").schema.fields, *StructType.fromDDL("tkey long, start long, windows int, off int, route long, known boolean").fields])
     return keyed.mapInArrow(run, schema)
 
 
@@ -223,9 +270,8 @@ def _build(collection: DataFrame, length: int, batch_pieces: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, chunk: int = CHUNK, hot: int = HOT, batch: int = BATCH) -> DataFrame:
     """doc_id, tkey, spans: of each text with repeated windows, the byte ranges that they cover (may overlap)."""
-    pieces = _pieces(docs, length, k, chunk)
-    often = pieces.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    shared = stage(pieces.join(often, "anchor", "left_semi"), "pieces")
+    pieces = _pieces(docs, length, k, chunk).withColumn("met", F.count("*").over(Window.partitionBy("route")))
+    shared = stage(pieces.where("known or met > 1").drop("route", "known", "met"), "pieces")
     distinct = shared.groupBy("anchor").agg(F.approx_count_distinct("piece").alias("d")).where(F.col("d") > hot).select("anchor")
     crowded = stage(distinct, "crowded")
     if not crowded.isEmpty():
@@ -265,10 +311,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, chunk: int
 
 
 def _remove(docs: DataFrame, finish, ddl: str, **options) -> DataFrame:
-    """docs' rows (its columns where finish wants them) with finish(text bytes, removed flags) as new columns."""
-    spans = repeated_spans(docs, **options).withColumnsRenamed({"doc_id": "_d", "tkey": "_t", "spans": "_spans"})
-    keyed = docs.withColumn("_k", F.xxhash64("text"))
-    joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")), "left").drop("_d", "_t", "_k")
+    """docs' rows (all columns but text) with finish(text, text bytes, removed flags) as new columns."""
+    d, t, cut, k = spare(docs.columns, "d", "t", "cut", "k")
+    spans = repeated_spans(docs.select("doc_id", "text"), **options).withColumnsRenamed({"doc_id": d, "tkey": t, "spans": cut})
+    keyed = docs.withColumn(k, F.xxhash64("text"))
+    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(k) == F.col(t)), "left").select(*docs.columns, cut)
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches):
@@ -276,7 +323,7 @@ def _remove(docs: DataFrame, finish, ddl: str, **options) -> DataFrame:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
                 out = []
-                for t, spans in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist()):
+                for t, spans in zip(part.column("text").to_pylist(), part.column(cut).to_pylist()):
                     raw = b"" if t is None else t.encode()
                     gone = np.zeros(len(raw) + 1, np.int32)
                     for s in spans or ():
@@ -312,6 +359,9 @@ def dedup_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
-    """docs without the bytes that repeated strings cover; characters cut in two are dropped. Null stays null."""
+    """docs without the bytes that repeated strings cover; characters cut in two are dropped.
+
+    Null stays null; all columns, whatever their names, and rows stay; an empty table stays empty.
+    """
     order = docs.columns
     return _remove(docs, lambda t, raw, gone: {"text": t if t is None or not gone.any() else _left(raw, gone).decode("utf-8", "ignore")}, "text string", **options).select(*order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -9,8 +10,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import extend, stage
+from .common import extend, stage, unstage
 
 RATE = 8000
 MULAW, ALAW, PCM, IMA = 7, 6, 1, 0x11
@@ -155,64 +157,97 @@ def to_pcm(media: DataFrame, rate: int = 16000, column: str = "media") -> DataFr
     return media.mapInArrow(convert, extend(media.schema, "pcm binary"))
 
 
-def _features(payloads: list[bytes]) -> list[str]:
-    """Of each payload: loudness and zero crossings as mu-law, as A-law, and as ADPCM blocks, and a check sum of the mu-law sound at 16 kHz."""
-    data = np.frombuffer(b"".join(payloads), np.uint8)
-    size = np.array([len(p) for p in payloads], np.int64)
-    at = np.concatenate([[0], np.cumsum(size)])
-    out = []
-    for table in (MULAW_TABLE, ALAW_TABLE):
-        x = table[data].astype(np.int64)
-        power = np.add.reduceat(x * x, at[:-1])
-        flip = np.concatenate([[0], (x[1:] < 0) != (x[:-1] < 0)]).astype(np.int64)
-        flip[at[:-1]] = 0
-        out.append((np.sqrt(power / size).astype(np.int64), np.add.reduceat(flip, at[:-1])))
-    y = decode_ima(data.reshape(-1, BLOCK)).astype(np.int64)
-    power = np.add.reduceat((y * y).sum(1), at[:-1] // BLOCK)
-    ima = np.sqrt(power / (size // BLOCK * y.shape[1])).astype(np.int64)
-    x = MULAW_TABLE[data].astype(np.int32)
-    wide = np.empty(2 * len(x), "<i2")
-    wide[0::2] = x
-    wide[1:-1:2] = (x[:-1] + x[1:]) >> 1
-    wide[2 * at[1:] - 1] = x[at[1:] - 1]  # a text's last sample is held
-    crc = [zlib.crc32(wide[2 * a : 2 * b].tobytes()) for a, b in zip(at[:-1], at[1:])]
-    return [f"mulaw:{m}:{z};alaw:{a};ima:{i};pcm16k:{c:08x}" for m, z, a, i, c in zip(*out[0], out[1][0], ima, crc)]
-
-
-def describe(media: DataFrame, budget: int = 2 << 20) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, from the stored files.
-
-    Files are parsed as stored. Features are computed over runs of files of about budget bytes;
-    a longer file is a run by itself.
+def level(x: np.ndarray) -> int:
+    """Root mean square of samples, rounded down."""
+    y = x.astype(np.int64)
+    return int(np.sqrt((y * y).sum() / max(len(y), 1)))
+
+
+def crossings(x: np.ndarray) -> int:
+    """How often the sign changes."""
+    return int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+
+
+def store_pcm(media: DataFrame, rate: int = 16000) -> DataFrame:
+    """From stored files (doc_id, n_bytes, media): pcm, their sound at rate as a 16-bit file, and what is known of them.
+
+    That is payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, and the levels
+    of the payload read as A-law (alaw) and as ADPCM blocks (ima). Files are parsed as stored.
     """
 
-    def read(batches):
+    def convert(batches):
         for batch in batches:
-            rows, start = batch.to_pylist(), 0
-            while start < len(rows):
-                stop, total = start, 0
-                while stop < len(rows) and (stop == start or total + len(rows[stop]["media"]) <= budget):
-                    total += len(rows[stop]["media"])
-                    stop += 1
-                part = rows[start:stop]
-                payloads = [from_wav(r["media"])[3] for r in part]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([r["doc_id"] for r in part], batch.schema.field("doc_id").type), "n_bytes": pa.array([r["n_bytes"] for r in part], pa.int64()),
-                    "payload_bytes": pa.array([len(p) for p in payloads], pa.int64()), "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                    "tail_crc32": pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()), "media_bytes": pa.array([len(r["media"]) for r in part], pa.int64()),
-                    "media_sha256": pa.array([hashlib.sha256(r["media"]).hexdigest() for r in part]), "feature": pa.array(_features(payloads)),
-                })
-                start = stop
-
-    schema = extend(media.select("doc_id", "n_bytes").schema, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, schema)
-
-
-def media_report(docs: DataFrame) -> DataFrame:
-    """describe() of the stored audio of docs' texts: written to the shared folder, then read back.
-
-    Null and empty texts give 64 zero bytes; equal texts give equal values; ids may be null or
-    repeated; other columns aren't read; an empty table gives no rows.
+            rows = batch.to_pylist()
+            found = [from_wav(r["media"]) for r in rows]
+            payloads = [x[3] for x in found]
+            raw = [np.frombuffer(p, np.uint8) for p in payloads]
+            pcm = [to_wav(resample(MULAW_TABLE[x], f[1], rate).astype("<i2").tobytes(), PCM, rate, 2, 16) for x, f in zip(raw, found)]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"),
+                "payload_bytes": pa.array([len(p) for p in payloads], pa.int64()), "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()),
+                "tail_crc32": pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()), "media_bytes": pa.array([len(r["media"]) for r in rows], pa.int64()),
+                "media_sha256": pa.array([hashlib.sha256(r["media"]).hexdigest() for r in rows], pa.string()), "alaw": pa.array([level(ALAW_TABLE[x]) for x in raw], pa.int64()),
+                "ima": pa.array([level(decode_ima(x.reshape(-1, BLOCK)).ravel()) for x in raw], pa.int64()), "pcm": pa.array(pcm, pa.binary()),
+            })
+
+    schema = extend(media.select("doc_id", "n_bytes").schema, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, alaw long, ima long, pcm binary")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_in_runs(convert, "media"), schema)
+
+
+def _in_runs(convert, column: str, budget: int = 8 << 20):
+    """convert() for runs of rows with about budget bytes in column; a longer value is a run by itself."""
+
+    def run(batches):
+        def cut():
+            for batch in batches:
+                size = np.asarray(batch.column(column).offsets if hasattr(batch.column(column), "offsets") else [], np.int64)
+                size = np.diff(size) if len(size) else np.array([len(v) for v in batch.column(column).to_pylist()], np.int64)
+                start = total = 0
+                for i, n in enumerate(size):
+                    if i > start and total + n > budget:
+                        yield batch.slice(start, i - start)
+                        start, total = i, 0
+                    total += int(n)
+                if start < batch.num_rows:
+                    yield batch.slice(start)
+
+        yield from convert(cut())
+
+    return run
+
+
+def describe(stored: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, from what store_pcm() stored.
+
+    feature: level and sign changes of the PCM as stored, the levels as A-law and ADPCM, and a
+    check sum of the PCM's samples.
     """
-    return describe(stage(store_text_audio(docs), "media"))
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
 
+    def read(batches):
+        for batch in batches:
+            out = []
+            for m, a, i in zip(*(batch.column(c).to_pylist() for c in ("pcm", "alaw", "ima"))):
+                rate, x = decode(m)
+                out.append(f"pcm{rate}:{level(x)}:{crossings(x)}:{zlib.crc32(x.tobytes()):08x};alaw:{a};ima:{i}")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string())], [*names, "feature"])
+
+    return stored.mapInArrow(_in_runs(read, "pcm"), extend(stored.select(*names).schema, "feature string"))
+
+
+def media_report(docs: DataFrame, rate: int = 16000, slices: int = 3) -> DataFrame:
+    """describe() of the audio of docs' texts: mu-law files and resampled PCM, written to the shared folder and read back.
+
+    Texts go through in slices by their hash; what is stored of a slice is deleted once it has
+    been described, so that the folder never holds more than a slice. Null and empty texts give
+    64 zero bytes; equal texts give equal values; very long texts are one file; ids may be null
+    or repeated; other columns, whatever their names, aren't read; an empty table gives no rows.
+    """
+    done = []
+    for k in range(slices):
+        media = stage(store_text_audio(docs.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k)), "media")
+        pcm = stage(store_pcm(media, rate), "pcm")
+        done.append(stage(describe(pcm), "described", 100_000))
+        unstage(media)
+        unstage(pcm)
+    return functools.reduce(DataFrame.union, done)

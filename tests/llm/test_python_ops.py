@@ -152,9 +152,37 @@ def test_media_report(spark):
     assert telephony.media_report(d.limit(0)).count() == 0
 
 
-def test_features_do_not_depend_on_neighbours():
-    p = [bytes(range(64)), bytes(128), b"\xff\x00" * 96]
-    assert telephony._features(p) == [telephony._features([x])[0] for x in p]
+def plain_feature(p):
+    """The feature string of a payload, sample by sample."""
+    x = [int(v) for v in telephony.MULAW_TABLE[list(p)]]
+    wide = [y for i, v in enumerate(x) for y in (v, round((v + x[min(i + 1, len(x) - 1)]) / 2))]
+    rms = lambda v: int((sum(y * y for y in v) / len(v)) ** 0.5)
+    flips = sum((a < 0) != (b < 0) for a, b in zip(wide, wide[1:]))
+    ima = []
+    for at in range(0, len(p), 64):
+        block = p[at : at + 64]
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        ima.append(value)
+        for byte in block[4:]:
+            for code in (byte & 15, byte >> 4):
+                step = int(telephony.STEPS[index])
+                diff = ((2 * (code & 7) + 1) * step) >> 3
+                value = max(-32768, min(32767, value - diff if code & 8 else value + diff))
+                index = max(0, min(88, index + int(telephony.INDEX_STEP[code])))
+                ima.append(value)
+    crc = zlib.crc32(b"".join(y.to_bytes(2, "little", signed=True) for y in wide))
+    return f"pcm16000:{rms(wide)}:{flips}:{crc:08x};alaw:{rms([int(v) for v in telephony.ALAW_TABLE[list(p)]])};ima:{rms(ima)}"
+
+
+def test_features_are_of_the_stored_sound(spark):
+    texts = ["", "a", "Grüße" * 40, "x" * 64, "plain words " * 30]
+    d = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, pcm int, media int")
+    for r in telephony.media_report(d).collect():
+        b = texts[r.doc_id].encode()
+        assert r.feature == plain_feature(b + bytes(max(64, -(-len(b) // 64) * 64) - len(b))), r.doc_id
+    one = telephony.store_pcm(telephony.store_text_audio(d.where("doc_id = 2"))).collect()[0]
+    rate, x = telephony.decode(bytes(one.pcm))
+    assert rate == 16000 and len(x) == 2 * one.payload_bytes
 
 
 def test_codecs(spark):
