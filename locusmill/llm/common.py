@@ -197,7 +197,14 @@ def join_bytes(texts: list[bytes], sep: bytes = b"\n") -> tuple[np.ndarray, np.n
     return data, np.concatenate([[0], np.cumsum(sizes + len(sep))])
 
 
-def batches_of_bytes(rows: list, limit: int = 1 << 20):
+def slices(batches, rows: int = 1024):
+    """The same rows in smaller batches, so that a task holds few of them as Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def batches_of_bytes(rows: list, limit: int = 1 << 19):
     """Cuts rows (text bytes first) into runs of about limit bytes, so that memory stays bounded."""
     part, total = [], 0
     for row in rows:

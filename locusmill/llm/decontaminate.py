@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, LOWER_BYTES, Powers, RangeHash, ascii_lower, batches_of_bytes, byte_table, extend, join_bytes, spare, stage, words_of
+from .common import ALNUM_WORD, LOWER_BYTES, Powers, RangeHash, ascii_lower, batches_of_bytes, byte_table, extend, join_bytes, slices, spare, stage, words_of
 
 WINDOW = 10
 #: Bits of the filter that tells which words of the documents can matter; its size never changes.
@@ -29,7 +29,7 @@ def hash_words(words: DataFrame) -> DataFrame:
 
     def run(batches):
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             for part in batches_of_bytes([(w.encode(),) for w in batch.column("w").to_pylist()]):
                 h = _word_hashes([x[0] for x in part], powers)[0]
                 yield pa.RecordBatch.from_pydict({"w": pa.array([x[0].decode() for x in part]), "h": pa.array(h, pa.int64())})
@@ -68,7 +68,7 @@ def word_counts(docs: DataFrame, vocabulary: DataFrame, bits: int) -> DataFrame:
 
     def run(batches):
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             for part in batches_of_bytes([(t.encode(),) for t in batch.column("text").to_pylist() if t]):
                 h = _word_hashes([x[0] for x in part], powers)[0]
                 h, n = np.unique(h[_may_hold(shared.value, h)], return_counts=True)
@@ -85,7 +85,7 @@ def _probe(docs: DataFrame, prefixes: DataFrame, n: int, bits: int) -> DataFrame
 
     def run(batches):
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             rows = list(zip([b"" if t is None else t.encode() for t in batch.column("text").to_pylist()], range(batch.num_rows)))
             for part in batches_of_bytes(rows):
                 h, lo, hi, doc, data = _word_hashes([x[0] for x in part], powers)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, Powers, RangeHash, batches_of_bytes, byte_table, connected_components, extend, join_bytes, mix64, rows_that_may_hold, spare, stage, unstage, words_of
+from .common import LOWER_BYTES, Powers, RangeHash, batches_of_bytes, byte_table, connected_components, extend, join_bytes, mix64, rows_that_may_hold, slices, spare, stage, unstage, words_of
 
 N = 3
 #: Two sets link when 100 * overlap >= PERCENT * union.
@@ -136,7 +136,7 @@ def _describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches):
         powers, classes = Powers(), size_classes(percent)
-        for batch in batches:
+        for batch in slices(batches):
             for part in batches_of_bytes(list(zip(_bytes_of(batch), range(batch.num_rows)))):
                 flat, at = _shingles_of([x[0] for x in part], powers, n, "space")
                 size, keys = np.diff(at), set_keys(flat, at)
@@ -159,7 +159,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             for part in batches_of_bytes([(t,) for t in _bytes_of(batch)]):
                 flat, at = _shingles_of([x[0] for x in part], powers, n, "space")
                 some = np.flatnonzero(np.diff(at))
@@ -175,7 +175,7 @@ def _described_sets(sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         classes = size_classes(percent)
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column("key").to_numpy()
             sigs = [signatures(np.asarray(s, np.int64).view(np.uint64), percent, classes) for s in batch.column("s").to_pylist()]
             owner = np.repeat(np.arange(len(keys)), [len(x) for x in sigs])
@@ -291,7 +291,7 @@ def _search(blocks: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         groups, held, last = [], 0, None
-        for batch in batches:
+        for batch in slices(batches):
             flat, at = batch.column("s").flatten().to_numpy(), batch.column("s").offsets.to_numpy()
             at = at - at[0]
             for i, (c, b, k, f) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("cluster", "block", "key", "first")))):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import StructType
 
-from .common import Powers, RangeHash, extend, mix64, spare, stage, unstage
+from .common import Powers, RangeHash, extend, mix64, slices, spare, stage, unstage
 
 LENGTH, K = 200, 32
 #: Window starts looked at together; a longer text goes in several parts.
@@ -201,7 +201,7 @@ def _pieces(docs: DataFrame, length: int, k: int, chunk: int) -> DataFrame:
 
     def run(batches):
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist()
             part, total = [], 0
             todo = [(i, s, b) for i, t in enumerate(_texts(batch)) for s, b in _chunks(t, length, chunk)]
@@ -255,7 +255,7 @@ def _build(collection: DataFrame, length: int, batch_pieces: int) -> DataFrame:
 
     def run(batches):
         rows = []
-        for batch in batches:
+        for batch in slices(batches):
             cols = [batch.column(c).to_pylist() for c in ("anchor", "piece", "off", "n", "bytes")]
             for r in zip(*cols):
                 if len(rows) >= batch_pieces and r[0] != rows[-1][0]:
@@ -282,7 +282,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, chunk: int
 
         def single(batches):
             powers = Powers()
-            for b in batches:
+            for b in slices(batches):
                 for i, (t, want) in enumerate(zip(_texts(b), b.column("want").to_pylist())):
                     c = cut([t[w["start"] : w["start"] + w["windows"] + length - 1] for w in want], powers, length, k, single=True)
                     base = np.array([w["start"] for w in want], np.int64)[c["part"]]
@@ -297,7 +297,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, chunk: int
     texts = _with_texts(docs, reps, ["anchor", "piece", "start", "windows", "off", "n"])
 
     def fetch(batches):
-        for b in batches:
+        for b in slices(batches):
             for t, want in zip(_texts(b), b.column("want").to_pylist()):
                 names = ("anchor", "piece", "off", "n")
                 cols = {c: pa.array([w[c] for w in want], pa.int64()) for c in names}
@@ -319,7 +319,7 @@ def _remove(docs: DataFrame, finish, ddl: str, **options) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
                 out = []

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extend, stage, unstage
+from .common import extend, slices, stage, unstage
 
 RATE = 8000
 MULAW, ALAW, PCM, IMA = 7, 6, 1, 0x11
@@ -132,7 +132,7 @@ def store_text_audio(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text's UTF-8 bytes (null: none), zero bytes up to a positive multiple of 64, as a mu-law file."""
 
     def encode(batches):
-        for batch in batches:
+        for batch in slices(batches):
             raw = [b"" if t is None else t.encode() for t in batch.column("text").to_pylist()]
             media = [to_wav(b + bytes(max(64, -(-len(b) // 64) * 64) - len(b)), MULAW) for b in raw]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -144,7 +144,7 @@ def to_pcm(media: DataFrame, rate: int = 16000, column: str = "media") -> DataFr
     """media with a column pcm: the decoded audio at rate as a 16-bit PCM file, null where media is null."""
 
     def convert(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for m in batch.column(column).to_pylist():
                 if m is None:
@@ -176,7 +176,7 @@ def store_pcm(media: DataFrame, rate: int = 16000) -> DataFrame:
     """
 
     def convert(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.to_pylist()
             found = [from_wav(r["media"]) for r in rows]
             payloads = [x[3] for x in found]
@@ -199,7 +199,7 @@ def _in_runs(convert, column: str, budget: int = 8 << 20):
 
     def run(batches):
         def cut():
-            for batch in batches:
+            for batch in slices(batches):
                 size = np.asarray(batch.column(column).offsets if hasattr(batch.column(column), "offsets") else [], np.int64)
                 size = np.diff(size) if len(size) else np.array([len(v) for v in batch.column(column).to_pylist()], np.int64)
                 start = total = 0
@@ -225,7 +225,7 @@ def describe(stored: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
 
     def read(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for m, a, i in zip(*(batch.column(c).to_pylist() for c in ("pcm", "alaw", "ima"))):
                 rate, x = decode(m)

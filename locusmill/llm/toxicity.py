@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, Powers, RangeHash, batches_of_bytes, byte_table, extend, join_bytes, spare, stage, unstage, words_of
+from .common import LOWER_BYTES, Powers, RangeHash, batches_of_bytes, byte_table, extend, join_bytes, slices, spare, stage, unstage, words_of
 
 #: (discount, share) to choose from, by the likelihood of the rows on which the line is fitted.
 CHOICES = tuple((d, s) for d in (2.0, 4.0, 8.0) for s in (0.003, 0.01, 0.03, 0.1))
@@ -50,7 +50,7 @@ def pair_counts(labelled: DataFrame) -> DataFrame:
 
     def run(batches):
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             for part in batches_of_bytes(list(zip(_bytes(batch.column("text")), batch.column("toxic").to_pylist()))):
                 w, h, doc = _word_ids([x[0] for x in part], powers)
                 label = np.array([x[1] for x in part], np.uint64)[doc]
@@ -234,7 +234,7 @@ def _features(docs: DataFrame, counts: Counts, d: float, shares: list[float], mo
 
     def rate(batches):
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             f = [np.zeros((0, len(shares)))]
             for part in batches_of_bytes([(t,) for t in _bytes(batch.column("text"))]):
                 total, n = shared.value.sums([x[0] for x in part], powers, shares)
@@ -252,7 +252,7 @@ def _features_by_join(docs: DataFrame, words: DataFrame, pairs: DataFrame, unkno
 
     def split(batches):
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             for part in batches_of_bytes(list(zip(_bytes(batch.column("text")), range(batch.num_rows)))):
                 w, h, doc = _word_ids([x[0] for x in part], powers)
                 at = pa.array(np.array([x[1] for x in part], np.int64)[doc])
