@@ -9,13 +9,19 @@ from .ranges import range_join
 
 # The annotation types from the most to the least severe.
 PRIORITY = [
-    "Structural_Variation", "Stop_Gain", "Stop_Loss", "Start_Gain", "Start_Loss", "Frameshift", "CodonGain", "CodonLoss", "CodonRegion", "Essential_Splice_Site", "Normal_Splice_Site",
-    "Nonsynonymous", "Synonymous", "Deletion", "Insertion", "SNV", "Utr5", "Utr3", "Exon", "Noncoding", "Intron", "Upstream", "Downstream", "Intergenic", "Monomorphic",
+    "StructuralVariation", "Stop_Gain", "Stop_Loss", "Start_Gain", "Start_Loss", "Frameshift", "CodonGain", "CodonLoss", "CodonRegion", "Insertion", "Deletion",
+    "Nonsynonymous", "Synonymous", "Essential_Splice_Site", "Normal_Splice_Site", "Utr5", "Utr3", "Exon", "Intron", "Upstream", "Downstream", "SNV", "Noncoding", "Intergenic", "Monomorphic",
 ]
-#: Other names of three types.
+# Other names of three types.
 RENAMED = {"Stop_Gain": "Nonsense", "Nonsynonymous": "Missense", "Synonymous": "Silent"}
-#: What the preset for changes of the protein takes.
-NONSYN = ["Stop_Gain", "Stop_Loss", "Start_Gain", "Start_Loss", "Frameshift", "CodonGain", "CodonLoss", "Essential_Splice_Site", "Nonsynonymous"]
+# What the preset for changes of the protein takes, by the form of annotation.
+NONSYN = {
+    "plain": ["Nonsynonymous", "Essential_Splice_Site", "Normal_Splice_Site", "Start_Loss", "Stop_Loss", "Stop_Gain"],
+    "info": ["nonsynonymous", "stopgain", "stoploss", "splicing"],
+    "gatk": ["missense", "nonsense", "readthrough"],
+    "snpeff": ["MISSENSE", "NONSENSE"],
+    "typed": ["COMPLETE_GENE_DELETION", "PARTIAL_GENE_DELETION", "WITHIN_GENE_DELETION", "MISSENSE_START", "NONSENSE", "FRAMESHIFT", "DONOR_IN2", "ACCEPTOR_IN2", "CREATE_ACCEPTOR_IN15", "READTHROUGH", "MISSENSE"],
+}
 # The standard genetic code, bases in the order T, C, A, G.
 _AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
@@ -100,7 +106,7 @@ def annotate(variants: DataFrame, genes: DataFrame, flank: int = 50, bin_size: i
     """variants (marker, contig, pos, ref, alt[, codon, codon_alt]) with one row per gene and type: gene, strand, type.
 
     Candidates by range join of gene spans widened by flank; the classes are expressions over
-    the exon arrays. Codon columns, where given (see sequence.codons), refine coding changes.
+    the exon arrays. Codon columns, where given (see with_codons), refine coding changes.
     Variants near no gene are Intergenic, monomorphic ones Monomorphic.
     """
     g = derive_parts(genes).withColumns({"_beg": F.col("tx_start") - flank, "_end": F.col("tx_end") + flank})
@@ -109,11 +115,66 @@ def annotate(variants: DataFrame, genes: DataFrame, flank: int = 50, bin_size: i
     bases = F.size(F.filter(F.sequence(F.col("pos"), F.col("pos") + F.length("ref") - 1), lambda p: F.exists("cds", lambda e: (e["beg"] <= p) & (p <= e["end"])) & (p > F.col("pos"))))
     coding = F.when(F.col("vtype") == "SNP", consequence(F.col("codon"), F.col("codon_alt"), F.floor(coding_offset(F.col("pos")) / 3) + 1) if "codon" in variants.columns else F.lit("SNV")).when(F.col("vtype").isin("INS", "DEL"), indel_class(F.col("ref"), F.col("alt"), bases)).otherwise("CodonRegion")
     t = F.transform(region_class(F.col("pos"), flank, flank), lambda x: F.when(x == "Coding", coding).otherwise(x))
-    found = near.select("marker", "gene", "strand", F.explode(F.when(F.col("vtype") == "SV", F.concat(F.array(F.lit("Structural_Variation")), t)).when(F.col("vtype") == "MONO", F.array(F.lit("Monomorphic"))).otherwise(t)).alias("type"))
+    found = near.select("marker", "gene", "strand", F.explode(F.when(F.col("vtype") == "SV", F.concat(F.array(F.lit("StructuralVariation")), t)).when(F.col("vtype") == "MONO", F.array(F.lit("Monomorphic"))).otherwise(t)).alias("type"))
     out = v.select("marker", "contig", "pos", "vtype").join(found, "marker", "left")
     return out.withColumn("type", F.coalesce("type", F.when(F.col("vtype") == "MONO", "Monomorphic").otherwise("Intergenic")))
 
 
+def with_codons(variants: DataFrame, genes: DataFrame, bases: DataFrame, bin_size: int = 100_000) -> DataFrame:
+    """variants (marker, contig, pos, ref, alt) with gene, codon and codon_alt, one row per gene whose coding sequence holds the base.
+
+    bases: contig, pos, base of the reference. A codon's three places are found along the exons,
+    the bases come by joins on (contig, pos); on the minus strand they are complemented.
+    Only single bases have a codon; codons with unknown bases are null.
+    """
+    g = derive_parts(genes)
+    v = variants.where((F.length("ref") == 1) & (F.length("alt") == 1))
+    x = range_join(v, g, "contig", "pos", "tx_start", "tx_end", bin_size).withColumn("at", coding_offset(F.col("pos"))).where("at is not null")
+    along = F.flatten(F.transform("cds", lambda e: F.sequence(e["beg"], e["end"])))
+    x = x.withColumn("sites", F.when(F.col("strand") == "-", F.reverse(along)).otherwise(along))
+    x = x.select("marker", "contig", "gene", "strand", "alt", F.pmod("at", F.lit(3)).alias("frame"), F.posexplode(F.slice("sites", (F.col("at") - F.pmod("at", F.lit(3)) + 1).cast("int"), 3)).alias("i", "spot"))
+    x = x.join(bases.select("contig", F.col("pos").alias("spot"), F.upper("base").alias("base")), ["contig", "spot"], "left")
+    strand = lambda c: F.when(F.col("strand") == "-", F.translate(c, "ACGT", "TGCA")).otherwise(c)
+    word = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", c.alias("b")))), lambda s: s["b"]), "")
+    out = x.groupBy("marker", "gene").agg(word(strand(F.col("base"))).alias("codon"), word(strand(F.when(F.col("i") == F.col("frame"), F.upper("alt")).otherwise(F.col("base")))).alias("codon_alt"))
+    whole = lambda c: F.when(F.length(c) == 3, F.col(c)).alias(c)
+    return variants.join(out.select("marker", "gene", whole("codon"), whole("codon_alt")), "marker", "left")
+
+
+def change_tables(annotated: DataFrame) -> DataFrame:
+    """kind, value, n: how often each base change (of single bases), indel length (deletions below 0) and codon change occurs.
+
+    annotated has ref and alt and, for codon changes, codon and codon_alt.
+    """
+    size = F.length("alt") - F.length("ref")
+    plain = F.col("ref").rlike("^[ACGTacgt]+$") & F.col("alt").rlike("^[ACGTacgt]+$")
+    arrow = lambda a, b: F.concat_ws("->", F.upper(a), F.upper(b))
+    rows = [F.struct(F.lit("base").alias("kind"), F.when(plain & (F.length("ref") == 1) & (size == 0), arrow("ref", "alt")).alias("value")), F.struct(F.lit("indel").alias("kind"), F.when(plain & (size != 0), size.cast("string")).alias("value"))]
+    if "codon" in annotated.columns:
+        rows.append(F.struct(F.lit("codon").alias("kind"), F.when(F.col("codon").isNotNull() & F.col("codon_alt").isNotNull(), arrow("codon", "codon_alt")).alias("value")))
+    x = annotated.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("value is not null")
+    return x.groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+def annotated_lines(rows: DataFrame, form: str, fields: list[str], anno: str = "anno", full: str = "annofull") -> DataFrame:
+    """line: a text line of each row with its annotation, in the form of the input it came from.
+
+    vcf: into the eighth field, after what is there; plain and plink: as further fields; results:
+    into the marker id (the fourth field), whose text after the last '_' gives way to it.
+    """
+    f = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]
+    if form == "vcf":
+        info = F.concat_ws(";", F.when(f[7] != "", f[7]), F.concat(F.lit("ANNO="), anno), F.concat(F.lit("ANNOFULL="), full))
+        f = [*f[:7], info, *f[8:]]
+    elif form == "results":
+        f = [*f[:3], F.concat(F.regexp_extract(f[3], r"^([^_]*_[^_]*)", 1), F.lit("_"), anno), *f[4:]]
+    elif form in ("plain", "plink"):
+        f = [*f, F.coalesce(anno, F.lit("")), F.coalesce(full, F.lit(""))]
+    else:
+        raise ValueError(form)
+    return rows.select(F.concat_ws("\t", *f).alias("line"))
+
+
 def top_annotation(annotated: DataFrame, priority: list[str] | None = None, keys: tuple[str, ...] = ("marker",)) -> DataFrame:
     """Of each variant the most severe type and its genes: anno 'TYPE:G1|G2', and annofull of all."""
     order = {t: i for i, t in enumerate(priority or PRIORITY)}
@@ -143,11 +204,13 @@ def exact_lookup(variants: DataFrame, table: DataFrame, value: str, on: tuple[st
 
 ANNO_PATTERNS = {
     "plain": (r"ANNO=([^;:]+):([^;]+)", 1, 2), "snpeff": (r"EFF=([A-Z_]+)\((?:[^|]*\|){5}([^|]*)", 1, 2), "gatk": (r"refseq\.functionalClass[^=]*=([^;]+).*refseq\.name2[^=]*=([^;]+)", 1, 2), "info": (r"ANNO=([^;:|]+)[:|]([^;]+)", 1, 2),
+    "typed": (r"TYPE=([^;:]+).*GENE=([^;:]+)", 1, 2),
 }
 
 
-def make_groups(sites: DataFrame, types: list[str], form: str = "plain") -> DataFrame:
-    """group, markers: variants of the wanted types by gene, in order of position, each once, from INFO texts."""
+def make_groups(sites: DataFrame, types: list[str] | None = None, form: str = "plain") -> DataFrame:
+    """group, markers: variants of the wanted types (those of the NONSYN preset without a list) by gene, in order of position, each once, from INFO texts."""
+    types = NONSYN[form] if types is None else types
     pattern, t, g = ANNO_PATTERNS[form]
     x = sites.select("marker", "contig", "pos", F.regexp_extract("info", pattern, t).alias("type"), F.explode(F.array_distinct(F.split(F.regexp_extract("info", pattern, g), r"\|"))).alias("grp"))
     x = x.where(F.col("type").isin(*types) & (F.col("grp") != ""))

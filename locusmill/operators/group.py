@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special as sp
+from .mixed import mixed_scan
 from .single import irls, rank_sum, run_test
 
 
@@ -64,11 +65,34 @@ def best_threshold(scan: DataFrame, group: str = "grp") -> DataFrame:
     return scan.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k").withColumn("stat", F.col("r2") * F.col("ns"))
 
 
-def threshold_test(collapsed: DataFrame, y: str = "y", group: str = "grp", least: int = 100, most: int = 10_000, seed: int = 1) -> DataFrame:
+def mixed_burden(collapsed: DataFrame, order: dict, rotation, y: np.ndarray, group: str = "grp") -> DataFrame:
+    """Collapsing test under a mixed model: carriers against y on the whitened scale, by group.
+
+    order gives each sample's row in the rotation and in y; samples of a group without a row
+    of calls carry nothing. Groups that nobody or everybody carries have no result.
+    """
+    n = len(order)
+    place = F.create_map(*[x for k, i in order.items() for x in (F.lit(k), F.lit(i))]) if n <= 1000 else None
+    rows = collapsed.where("carrier = 1")
+    if place is None:
+        spots = collapsed.sparkSession.createDataFrame(list(order.items()), ["sample", "i"])
+        rows = rows.join(spots, "sample")
+    else:
+        rows = rows.withColumn("i", F.element_at(place, F.col("sample")))
+    x = rows.groupBy(group).agg(F.collect_set(F.col("i").cast("int")).alias("c")).where((F.size("c") > 0) & (F.size("c") < n))
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    x = x.select(group, F.size("c").alias("carriers"), every.alias("idx"), F.transform(every, lambda i: F.array_contains("c", i).cast("double")).alias("g"))
+    return mixed_scan(x, rotation, y, [group, "carriers"])
+
+
+def threshold_test(collapsed: DataFrame, y: str = "y", group: str = "grp", least: int = 100, most: int = 10_000_000, seed: int = 1, rotation=None, order: dict | None = None) -> DataFrame:
     """Permutation p of the best threshold: permutations grow tenfold while rank * 10 <= least; p = (rank + 1) / (n + 1).
 
     Seeded by the group's name, so results don't depend on partitioning. A group's samples are one array.
+    With a rotation (and order, each sample's row in it), carriers and y are whitened first and
+    the whitened y is permuted.
     """
+    shared = collapsed.sparkSession.sparkContext.broadcast((rotation, order))
     x = collapsed.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("sample", y, "min_mac"))).alias("s"))
 
     def stat(c, v):  # c: thresholds x samples, centred and scaled; v: samples x permutations
@@ -82,11 +106,17 @@ def threshold_test(collapsed: DataFrame, y: str = "y", group: str = "grp", least
                 m = np.array([np.inf if r["min_mac"] is None else r["min_mac"] for r in s], float)
                 t = np.unique(m[np.isfinite(m)])
                 c = (m[None, :] <= t[:, None]).astype(float)
+                rotation, order = shared.value
+                if rotation is not None:
+                    at = [order[r["sample"]] for r in s]
+                    full, values = np.zeros((len(order), len(t))), np.zeros(len(order))
+                    full[at], values[at] = c.T, v
+                    c, v = rotation.rotate(full).T, rotation.rotate(values)
                 c -= c.mean(1, keepdims=True)
                 norm = np.sqrt((c * c).sum(1))
                 c, v = c[norm > 1e-9] / norm[norm > 1e-9, None], v - v.mean()
                 if not len(c) or v.std() == 0:
-                    out.append((len(v), None, None, 0))
+                    out.append((len(s), None, None, 0))
                     continue
                 v /= np.sqrt(v @ v)
                 have, rank, n = stat(c, v[:, None])[0], 0, 0
@@ -100,7 +130,7 @@ def threshold_test(collapsed: DataFrame, y: str = "y", group: str = "grp", least
                     if n >= most or rank * 10 > least:
                         break
                     todo = min(n * 10, most)
-                out.append((len(v), float(have), (rank + 1) / (n + 1), n))
+                out.append((len(s), float(have), (rank + 1) / (n + 1), n))
             yield pd.concat([part[[group]].reset_index(drop=True), pd.DataFrame(out, columns=["ns", "r2", "pvalue", "permutations"])], axis=1)
 
     return x.mapInPandas(run, f"{group} {collapsed.schema[group].dataType.simpleString()}, ns long, r2 double, pvalue double, permutations long")

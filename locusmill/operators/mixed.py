@@ -166,38 +166,46 @@ def reml(rot: Rotation, y: np.ndarray, edge: bool = False) -> Rotation:
     return Rotation(rot.values, rot.vectors, rot.trace, float(delta), vg, vg * delta, float(h2), float(ll(5.0)), float(best[0]))
 
 
-def mixed_scan(variants: DataFrame, rot: Rotation, y: np.ndarray, by: list[str]) -> DataFrame:
-    """Association on the whitened scale: by, ns, stat, pvalue, beta, sebeta, r2 (q.mixed). y may have several columns (traits).
+def reml_traits(rot: Rotation, y: np.ndarray, edge: bool = False) -> list[Rotation]:
+    """reml() of each column of y: one decomposition, and each trait's own variance ratio."""
+    return [reml(rot, y[:, k], edge) for k in range(y.shape[1])]
 
-    variants has idx and g of each marker's calls; missing ones have the mean. Markers go
-    through in batches as one matrix product.
+
+def mixed_scan(variants: DataFrame, rot: Rotation | list[Rotation], y: np.ndarray, by: list[str]) -> DataFrame:
+    """Association on the whitened scale: by, ns, stat, pvalue, beta, sebeta, r2 (q.mixed).
+
+    y may have several columns (traits); rot then has the fit of each trait, and markers are
+    whitened with each trait's own variance ratio. variants has idx and g of each marker's
+    calls; missing ones have the mean. Markers go through in batches as one matrix product.
     """
-    n = rot.vectors.shape[0]
-    shared = variants.sparkSession.sparkContext.broadcast((rot, rot.rotate(y if y.ndim == 2 else y[:, None])))
     several = y.ndim == 2
+    rots = list(rot) if isinstance(rot, list) else [rot]
+    if several and len(rots) != y.shape[1]:
+        raise ValueError("each trait needs its own fit")
+    n = rots[0].vectors.shape[0]
+    ys = y if several else y[:, None]
+    shared = variants.sparkSession.sparkContext.broadcast((rots[0].vectors, [1 / np.sqrt(r.values + r.delta) for r in rots], [r.rotate(ys[:, k]) for k, r in enumerate(rots)]))
 
     def run(batches):
-        rot, ty = shared.value
+        vectors, scales, tys = shared.value
         for part in batches:
             g = np.empty((len(part), n))
             for r, (idx, v) in enumerate(zip(part["idx"], part["g"])):
                 v = np.asarray(v, float)
                 g[r] = v.mean() if len(v) else 0
                 g[r, np.asarray(idx, int)] = v
-            tx = rot.rotate(g.T)
-            c = len(tx)
-            cx, cy = tx - tx.sum(0) / (c + 1), ty - ty.sum(0) / (c + 1)  # an intercept over c + 1 rows
-            sxx, syy = (tx * cx).sum(0), (ty * cy).sum(0)
-            sxy = tx.T @ cy
-            with np.errstate(all="ignore"):
-                beta = sxy / sxx[:, None]
-                r2 = sxy**2 / (sxx[:, None] * syy[None, :])
-                se = np.sqrt(np.maximum(syy[None, :] / sxx[:, None] * (1 - r2), 1e-300) / (c - 1))
-                t = np.where(sxx[:, None] > 1e-9, beta / se, np.nan)
-            head = part[by].reset_index(drop=True)
-            for k in range(ty.shape[1]):
+            turned, head = vectors.T @ g.T, part[by].reset_index(drop=True)
+            for k, (scale, ty) in enumerate(zip(scales, tys)):
+                tx, c = turned * scale[:, None], len(scale)
+                cx, cy = tx - tx.sum(0) / (c + 1), ty - ty.sum() / (c + 1)  # an intercept over c + 1 rows
+                sxx, syy, sxy = (tx * cx).sum(0), float(ty @ cy), tx.T @ cy
+                with np.errstate(all="ignore"):
+                    beta = sxy / sxx
+                    r2 = sxy**2 / (sxx * syy)
+                    se = np.sqrt(np.maximum(syy / sxx * (1 - r2), 1e-300) / (c - 1))
+                    t = np.where(sxx > 1e-9, beta / se, np.nan)
                 extra = {"trait": k} if several else {}
-                yield head.assign(**extra, ns=[len(x) for x in part["g"]], stat=t[:, k], pvalue=sp.t_two_sided(t[:, k], c - 1), beta=beta[:, k], sebeta=se[:, k], r2=r2[:, k])
+                yield head.assign(**extra, ns=[len(x) for x in part["g"]], stat=t, pvalue=sp.t_two_sided(t, c - 1), beta=beta, sebeta=se, r2=r2)
 
     keys = ", ".join(f"{c} {variants.schema[c].dataType.simpleString()}" for c in by)
     return variants.select(*by, "idx", "g").mapInPandas(run, f"{keys}, {'trait int, ' if several else ''}ns long, stat double, pvalue double, beta double, sebeta double, r2 double")

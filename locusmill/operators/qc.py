@@ -23,9 +23,12 @@ def marker_qc(calls: DataFrame, by: list[str], n_samples: Column | None = None)
     return s.withColumns({c: d[c] for c in _DERIVED} | {"hom_minor": hom})
 
 
-def passing(qc: DataFrame, min_maf: float = 1e-6, max_maf: float = 1.0, min_mac: float = 3, max_mac: float = 1e9, min_callrate: float = 0.5, min_rsq: float = 0.0) -> DataFrame:
-    """Markers within all bounds that vary; rsq counts only where a bound above 0 is asked for."""
-    ok = F.col("maf").between(min_maf, max_maf) & F.col("mac").between(min_mac, max_mac) & (F.col("callrate") >= min_callrate) & (F.col("var") > 0)
+def passing(qc: DataFrame, min_maf: float = 1e-6, max_maf: float = 1.0, min_mac: float = 3, max_mac: float = 1e9, min_callrate: float = 0.5, min_rsq: float = 0.0, min_ac: float | None = None, max_ac: float | None = None) -> DataFrame:
+    """Markers within all bounds that vary; rsq and the allele count count only where a bound is asked for."""
+    ok = F.lit(True)
+    ok = ok if min_ac is None else ok & (F.col("ac") >= min_ac)
+    ok = ok if max_ac is None else ok & (F.col("ac") <= max_ac)
+    ok = ok & F.col("maf").between(min_maf, max_maf) & F.col("mac").between(min_mac, max_mac) & (F.col("callrate") >= min_callrate) & (F.col("var") > 0)
     return qc.where(ok & (F.col("rsq") >= min_rsq) if min_rsq > 0 else ok)
 
 

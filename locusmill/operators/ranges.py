@@ -55,6 +55,23 @@ def interpolate(points: DataFrame, table: DataFrame, contig: str = "contig", pos
     return x.select(*cols, F.coalesce(F.col("_lo.v") + (F.col(pos) - F.col("_lo.x")) * step, F.col("_lo.v")).alias(out))
 
 
+def extend_by_map(regions: DataFrame, table: DataFrame, cm: float, contig: str = "contig", beg: str = "beg", end: str = "end", at: str = "at", value: str = "cm") -> DataFrame:
+    """regions (with a key each) with beg and end moved out to the farthest entries of a genetic map less than cm centimorgans away.
+
+    Both ends get their place on the map by interpolate(); the entries nearer than cm are one
+    aggregate over a join by contig, in which the map (a few thousand entries a contig) is small.
+    """
+    cols = regions.columns
+    x = interpolate(regions.withColumn("_p", F.col(beg)), table, contig, "_p", value, at, "_c0")
+    x = interpolate(x.withColumn("_p", F.col(end)), table, contig, "_p", value, at, "_c1").drop("_p")
+    x = x.withColumns({"_c0": F.coalesce("_c0", F.lit(0.0)), "_c1": F.coalesce("_c1", F.lit(0.0))})
+    knots = table.groupBy(F.col(contig).alias("_contig")).agg(F.collect_list(F.struct(F.col(at).alias("x"), F.col(value).cast("double").alias("v"))).alias("_map"))
+    j = x.join(knots, F.col(contig) == F.col("_contig"), "left")
+    lower = F.array_min(F.transform(F.filter("_map", lambda k: k["v"] > F.col("_c0") - cm), lambda k: k["x"]))
+    upper = F.array_max(F.transform(F.filter("_map", lambda k: k["v"] < F.col("_c1") + cm), lambda k: k["x"]))
+    return j.withColumns({beg: F.least(F.col(beg), F.coalesce(lower, F.col(beg))), end: F.greatest(F.col(end), F.coalesce(upper, F.col(end)))}).select(*cols)
+
+
 def drop_overlapping(df: DataFrame, part: str, order: list[str], pos: str) -> DataFrame:
     """Rows whose position isn't below the largest before them (chunks that overlap at their ends)."""
     top = F.max(pos).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))

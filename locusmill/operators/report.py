@@ -49,6 +49,16 @@ def top_hits(df: DataFrame, n: int = 5000, p: str = "pvalue", ties: tuple[str, .
     return df.where(F.col(p).isNotNull()).orderBy(p, *ties).limit(n)
 
 
+def significant(df: DataFrame, most: float, p: str = "pvalue") -> DataFrame:
+    """Rows with p at most most; without a p a row isn't reported."""
+    return df.where(F.col(p) <= most)
+
+
+def scored(df: DataFrame, least: float, score: str = "score") -> DataFrame:
+    """Rows whose score reaches least; without a score a row stays out."""
+    return df.where(F.col(score) >= least)
+
+
 def locus_view(assoc: DataFrame, ld: DataFrame, marker: str = "marker") -> DataFrame:
     """assoc of a locus with r2 to its index marker (0 where unknown) and its class for colours."""
     x = assoc.join(ld.select(marker, "r2"), marker, "left").withColumn("r2", F.coalesce("r2", F.lit(0.0)))

@@ -30,6 +30,20 @@ def single_test(name: str, columns: str):
 # ---------------------------------------------------------------- closed forms
 
 
+def with_conditions(samples: DataFrame, calls: DataFrame, markers: list, sample: str = "sample", marker: str = "marker") -> tuple[DataFrame, list[str]]:
+    """samples with the dosages of the given markers as covariates, and those columns' names.
+
+    Tests of other markers are then conditional on them. markers is a short literal list; a
+    missing call has its marker's mean, a marker without calls is left out.
+    """
+    own = calls.where(F.col(marker).isin(list(markers)))
+    means = own.groupBy(marker).agg(F.avg("g").alias("mean")).where("mean is not null").collect()  # one row a condition
+    names = {r[marker]: f"cond{i}" for i, r in enumerate(sorted(means, key=lambda r: str(r[marker])))}
+    at = own.groupBy(sample).agg(*[F.max(F.when(F.col(marker) == F.lit(m), F.col("g"))).cast("double").alias(c) for m, c in names.items()]) if names else own.select(sample).distinct()
+    out = samples.join(at, sample, "left")
+    return out.fillna({names[r[marker]]: float(r["mean"]) for r in means}) if names else out, list(names.values())
+
+
 def linear_scan(calls: DataFrame, by: list[str], y: str = "y") -> DataFrame:
     """Simple regression of y on g over complete cases: ns, beta, sebeta, tstat, r2 (sums pre-aggregated in the scan)."""
     g, v = F.when(F.col(y).isNotNull(), F.col("g")).cast("double"), F.when(F.col("g").isNotNull(), F.col(y))

@@ -73,7 +73,7 @@ _CLASS = "CASE size % 3 WHEN 0 THEN 'ts' WHEN 1 THEN 'tv' ELSE 'other' END"
 
 
 @query(with_("calls", "qc", "freq", "markers") + f"""SELECT sample, count(*) FILTER (g >= 1) AS n_snps, count(*) FILTER (g >= 1 AND mac = 1) AS singletons, count(*) FILTER (g >= 1 AND mac = 2) AS doubletons,
-    count(*) FILTER (g >= 1 AND maf < 0.01) AS af_lt1, count(*) FILTER (g >= 1 AND maf BETWEEN 0.01 AND 0.05) AS af_1to5, count(*) FILTER (g >= 1 AND maf > 0.01) AS af_gt5, count(*) FILTER (g = 0) AS n_ref, count(*) FILTER (g = 1) AS n_het, count(*) FILTER (g = 2) AS n_alt, count(*) FILTER (g IS NULL) AS n_miss,
+    count(*) FILTER (g >= 1 AND maf < 0.01) AS af_lt1, count(*) FILTER (g >= 1 AND maf BETWEEN 0.01 AND 0.05) AS af_1to5, count(*) FILTER (g >= 1 AND maf > 0.05) AS af_gt5, count(*) FILTER (g = 0) AS n_ref, count(*) FILTER (g = 1) AS n_het, count(*) FILTER (g = 2) AS n_alt, count(*) FILTER (g IS NULL) AS n_miss,
     round((count(*) FILTER (g >= 1 AND {_CLASS} = 'ts') + 0.1) / (count(*) FILTER (g >= 1 AND {_CLASS} = 'tv') + 0.2), 6) + 0.0 AS tstv FROM calls JOIN freq USING (marker) JOIN markers USING (marker) GROUP BY 1""")
 def sample_summary(spark, sf):
     c = shapes.calls(spark, sf)
@@ -224,6 +224,14 @@ for _name in ("q.lm", "q.reverse"):
     _kernel(_name, "y", ("x1",))
 
 
+@query()
+def conditional_scan(spark, sf):
+    """q.lm of every marker, conditional on two markers' dosages."""
+    c = shapes.calls(spark, sf)
+    x, names = single.with_conditions(shapes.samples(spark, sf), c, [3, 14])
+    return single.run_test(c.join(x, "sample"), "q.lm", ["marker"], "y", tuple(names))
+
+
 @query()
 def likelihood_ratio(spark, sf):
     """Genotype likelihoods derived from each call: sharp where called, flat where missing."""
@@ -278,7 +286,7 @@ def best_threshold(spark, sf):
 @query()
 def threshold_permutations(spark, sf):
     c = group.collapse(_group_calls(spark, sf)).join(shapes.samples(spark, sf), "sample")
-    return group.threshold_test(c, most=1000)
+    return group.threshold_test(c)
 
 
 @query(with_("calls", "qc", "freq", "markers", "samples") + """, res AS (SELECT sample, y - avg(y) OVER () AS resid FROM samples), m AS (SELECT grp, marker, sum(g * resid) AS u, first(maf) AS maf FROM calls JOIN freq USING (marker) JOIN markers USING (marker) JOIN res USING (sample) WHERE g IS NOT NULL GROUP BY 1, 2)
@@ -356,40 +364,56 @@ def kinship_merged(spark, sf):
     return rounded(m.where("k is not null"))
 
 
+_TRAITS = ("s_acctbal", "price")
+
+
 def _mixed_model(spark, sf):
-    v, n = _supplier_variants(spark, sf)
-    s = shapes.table(spark, sf, "supplier").orderBy("s_suppkey").select("s_acctbal", "s_nationkey").toPandas()  # one row a sample, as the dense model needs
-    k = mixed.to_matrix(mixed.merge_kinship(mixed.kinship(v, n)), n)
+    """Markers, number of samples, kinship, and two traits (the balance, and the mean price of a supplier's lines) with the fit of each."""
     import numpy as np
 
+    v, n = _supplier_variants(spark, sf)
+    sold = shapes.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.avg("l_extendedprice").alias("price"))
+    s = shapes.table(spark, sf, "supplier").join(sold, "s_suppkey", "left").orderBy("s_suppkey").select("s_nationkey", *_TRAITS).toPandas()  # one row a sample, as the dense model needs
+    k = mixed.to_matrix(mixed.merge_kinship(mixed.kinship(v, n)), n)
     x = np.column_stack([np.ones(n), s["s_nationkey"].to_numpy(float)])
-    y = s["s_acctbal"].to_numpy(float)
-    return v, n, k, x, y, mixed.reml(mixed.restricted_eigen(k, x), y)
+    y = np.column_stack([s[c].fillna(s[c].mean()).to_numpy(float) for c in _TRAITS])
+    return v, n, k, y, mixed.reml_traits(mixed.restricted_eigen(k, x), y)
 
 
 @query()
 def mixed_scan(spark, sf):
-    v, _, _, _, y, rot = _mixed_model(spark, sf)
-    return mixed.mixed_scan(v, rot, y, ["marker"])
+    v, _, _, y, fits = _mixed_model(spark, sf)
+    return mixed.mixed_scan(v, fits[0], y[:, 0], ["marker"])
 
 
 @query()
 def mixed_scan_traits(spark, sf):
-    import numpy as np
+    """Both traits, each on the scale of its own fit."""
+    v, _, _, y, fits = _mixed_model(spark, sf)
+    return mixed.mixed_scan(v, fits, y, ["marker"])
+
+
+_REML = "trait string, delta double, v_g double, v_e double, llk0 double, llk1 double, h2 double"
+
 
-    v, _, _, x, y, rot = _mixed_model(spark, sf)
-    return mixed.mixed_scan(v, rot, np.column_stack([y, x[:, 1]]), ["marker"])
+def _record(trait: str, r) -> tuple:
+    return trait, r.delta, r.vg, r.ve, r.llk0, r.llk1, r.h2
 
 
 @query()
 def reml_record(spark, sf):
-    rot = _mixed_model(spark, sf)[5]
-    return spark.createDataFrame([("s_acctbal", rot.delta, rot.vg, rot.ve, rot.llk0, rot.llk1, rot.h2)], "trait string, delta double, v_g double, v_e double, llk0 double, llk1 double, h2 double")
+    return spark.createDataFrame([_record(_TRAITS[0], _mixed_model(spark, sf)[4][0])], _REML)
+
+
+@query()
+def reml_of_traits(spark, sf):
+    """The variance ratio of each trait, from one decomposition."""
+    return spark.createDataFrame([_record(t, r) for t, r in zip(_TRAITS, _mixed_model(spark, sf)[4])], _REML)
 
 
 @query()
 def kinship_components(spark, sf):
-    _, n, k, _, _, _ = _mixed_model(spark, sf)
+    _, n, k, _, _ = _mixed_model(spark, sf)
     w, v = mixed.principal_components(k, min(10, n))
     return spark.createDataFrame([(i, *map(float, v[i, :2])) for i in range(n)], "sample long, pc1 double, pc2 double")
 
@@ -397,12 +421,33 @@ def kinship_components(spark, sf):
 @query()
 def mixed_kernel_test(spark, sf):
     c, s = _supplier_groups(spark, sf)
-    return group.kernel_test(c, s, xs=("x1",), rotation=_mixed_model(spark, sf)[5])
+    return group.kernel_test(c, s, xs=("x1",), rotation=_mixed_model(spark, sf)[4][0])
+
+
+def _rare_supplier_groups(spark, sf) -> DataFrame:
+    c = shapes.supplier_calls(spark, sf)
+    m = qc.marker_qc(c, ["marker"]).where("maf <= 0.2").select("marker", "ns", "maf", "mac").join(shapes.markers(spark, sf).select("marker", "grp"), "marker")
+    return group.collapse(c.join(m, "marker"))
+
+
+@query()
+def mixed_group_collapse(spark, sf):
+    """Carriers of rare alleles of each group against the balance, under the mixed model."""
+    _, n, _, y, fits = _mixed_model(spark, sf)
+    return group.mixed_burden(_rare_supplier_groups(spark, sf), {i: i for i in range(n)}, fits[0], y[:, 0])
+
+
+@query()
+def mixed_threshold_permutations(spark, sf):
+    """Variable thresholds under the mixed model."""
+    _, n, _, _, fits = _mixed_model(spark, sf)
+    s = shapes.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_acctbal").alias("y"))
+    return group.threshold_test(_rare_supplier_groups(spark, sf).join(s, "sample"), rotation=fits[0], order={i: i for i in range(n)})
 
 
 @query()
 def simulated_traits(spark, sf):
-    _, n, k, _, _, _ = _mixed_model(spark, sf)
+    _, n, k, _, _ = _mixed_model(spark, sf)
     y = mixed.simulate(k, 0.5, 1, binary=True)
     return spark.createDataFrame([(i, float(y[i, 0])) for i in range(n)], "sample long, status double")
 
@@ -431,18 +476,13 @@ def ld_prune(spark, sf):
 
 @query()
 def ibd_segments(spark, sf):
-    """Segments shared by neighbouring suppliers on contig 1, from likelihoods of their calls."""
-    m = shapes.markers(spark, sf).where("contig = '1'")
-    c = shapes.supplier_calls(spark, sf).join(m.select("marker", "pos"), "marker")
-    order = m.select("pos").join(c.groupBy("pos").agg((F.coalesce(F.avg("g"), F.lit(0.0)) / 2).alias("af")), "pos", "left").fillna(0.1, ["af"]).withColumn("af", F.least(F.greatest("af", F.lit(0.01)), F.lit(0.99)))
-    sup = shapes.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample"))
-    flat = F.array(*[F.lit(1.0 / 3)] * 3)
+    """Segments shared by any two suppliers on any contig, from likelihoods of their calls."""
+    m = shapes.markers(spark, sf).select("marker", "contig", "pos")
+    c = shapes.supplier_calls(spark, sf).join(m, "marker")
+    af = c.groupBy("contig", "pos").agg((F.coalesce(F.avg("g"), F.lit(0.0)) / 2).alias("af"))
+    line = m.select("contig", "pos").join(af, ["contig", "pos"], "left").fillna(0.1, ["af"]).withColumn("af", F.least(F.greatest("af", F.lit(0.01)), F.lit(0.99)))
     one = lambda k: F.when(F.col("g") == k, 0.9).otherwise(0.05)
-    l = c.where("g is not null").select("sample", "pos", F.array(one(0), one(1), one(2)).alias("l")).groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("pos", "l"))).alias("m"))
-    at = order.agg(F.sort_array(F.collect_list("pos")).alias("p"))
-    likes = sup.join(l, "sample", "left").join(F.broadcast(at), F.lit(True)).select("sample", F.transform("p", lambda p: F.coalesce(F.try_element_at("m", p), flat)).alias("l"))
-    pairs = sup.select(F.col("sample").alias("i"), (F.col("sample") + 1).alias("j"))
-    return ld.pair_states(likes, order, pairs, 1e-6)
+    return ld.all_pair_states(c.where("g is not null").select("contig", "sample", "pos", F.array(one(0), one(1), one(2)).alias("l")), line, 1e-6)
 
 
 # ---------------------------------------------------------------- intervals
@@ -484,6 +524,17 @@ def map_positions(spark, sf):
     return rounded(ranges.interpolate(shapes.markers(spark, sf).select("marker", "contig", "pos"), knots))
 
 
+@query(with_("markers", "genes") + """, knots AS (SELECT contig, tx_start AS spot, tx_start / 100000.0 AS cm FROM genes), r AS (SELECT marker, contig, pos - 5000 AS beg, pos + 5000 AS fin FROM markers WHERE size > 25),
+    c AS (SELECT r.*, coalesce((SELECT arg_max(cm, spot) FROM knots k WHERE k.contig = r.contig AND spot <= beg), 0) AS b0, coalesce((SELECT arg_max(cm, spot) FROM knots k WHERE k.contig = r.contig AND spot <= fin), 0) AS f0, (SELECT max(spot) FROM knots k WHERE k.contig = r.contig) AS top, (SELECT min(spot) FROM knots k WHERE k.contig = r.contig) AS low FROM r),
+    p AS (SELECT *, CASE WHEN low > beg THEN 0 WHEN beg >= top THEN b0 ELSE beg / 100000.0 END AS c0, CASE WHEN low > fin THEN 0 WHEN fin >= top THEN f0 ELSE fin / 100000.0 END AS c1 FROM c)
+    SELECT marker, contig, CAST(least(beg, coalesce((SELECT min(spot) FROM knots k WHERE k.contig = p.contig AND cm > c0 - 2.0), beg)) AS BIGINT) AS beg, CAST(greatest(fin, coalesce((SELECT max(spot) FROM knots k WHERE k.contig = p.contig AND cm < c1 + 2.0), fin)) AS BIGINT) AS fin FROM p""")
+def regions_on_the_map(spark, sf):
+    """Windows around markers, moved out by two centimorgans of a map with an entry at each gene."""
+    knots = shapes.genes(spark, sf).select("contig", F.col("tx_start").alias("at"), (F.col("tx_start") / 100000.0).alias("cm"))
+    r = shapes.markers(spark, sf).where("size > 25").select("marker", "contig", (F.col("pos") - 5000).alias("beg"), (F.col("pos") + 5000).alias("fin"))
+    return ranges.extend_by_map(r, knots, 2.0, end="fin")
+
+
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM (SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM orders) WHERE top IS NULL OR o_totalprice >= top")
 def drop_overlapping_chunks(spark, sf):
     return ranges.drop_overlapping(shapes.table(spark, sf, "orders"), "o_custkey", ["o_orderkey"], "o_totalprice").select("o_orderkey", "o_custkey", "o_totalprice")
@@ -572,7 +623,7 @@ def posterior_weights(spark, sf):
     return rounded(enrich.posterior_weights(z).select("marker", "weight", "share"))
 
 
-_SHIFTS = [0, 150_000, 400_001, 777_777, 1_200_000]
+_SHIFTS = enrich.shifts(1000, 3_000_000)
 
 
 @query(with_("markers") + f""", reg AS (SELECT grp AS key, contig, greatest(pos - 500 * size, 1) AS beg, pos + 500 * size AS "end" FROM markers), sc AS (SELECT contig, ((pos + off) % 3000000 + 3000000) % 3000000 AS p, CAST(size AS DOUBLE) AS score, k FROM markers, (VALUES {', '.join(f'({k}, {o})' for k, o in enumerate(_SHIFTS))}) o(k, off)),
@@ -657,6 +708,20 @@ def gene_regions(spark, sf):
     return x.select("marker", "gene", F.array_except(annotate.region_class(F.col("pos"), 500, 500), F.array(F.lit("Essential_Splice_Site"), F.lit("Normal_Splice_Site")))[0].alias("region"))
 
 
+@query(f"WITH {_ALLELES}, c AS (SELECT 'base' AS kind, ref || '->' || alt AS value FROM v WHERE regexp_full_match(ref, '[ACGT]') AND regexp_full_match(alt, '[ACGT]') UNION ALL SELECT 'indel', CAST(length(alt) - length(ref) AS VARCHAR) FROM v WHERE regexp_full_match(ref, '[ACGT]+') AND regexp_full_match(alt, '[ACGT]+') AND length(alt) <> length(ref)) SELECT kind, value, count(*) AS n FROM c GROUP BY 1, 2")
+def change_tables(spark, sf):
+    return annotate.change_tables(_alleles(spark, sf))
+
+
+@query()
+def bed_enrichment(spark, sf):
+    """Shares of a trait's signal in each brand's regions against 1000 shifts."""
+    m = shapes.markers(spark, sf)
+    z = m.select("contig", "pos", ((F.col("marker") * 7919 % 1301) / F.lit(130.0) - 5).alias("z"))
+    reg = m.select(F.col("grp").alias("key"), "contig", F.greatest(F.col("pos") - 500 * F.col("size"), F.lit(1)).alias("beg"), (F.col("pos") + 500 * F.col("size")).alias("end"))
+    return enrich.bed_enrichment(z, reg, 3_000_000)
+
+
 @query()
 def annotations(spark, sf):
     return annotate.annotate(_alleles(spark, sf), _models(spark, sf), 500, 20_000)

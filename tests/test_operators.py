@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from locusmill import model
 from locusmill.functions import genotype, rules
-from locusmill.operators import annotate, enrich, ld, qc, ranges, report
+from locusmill.operators import annotate, enrich, ld, qc, ranges, report, single
 
 
 def one(spark, c):
@@ -109,7 +109,7 @@ def test_indels_and_types(spark):
     got = {}
     for r in annotate.annotate(v, gene(spark, "+")).collect():
         got.setdefault(r.marker, set()).add(r.type)
-    assert got == {1: {"CodonGain"}, 2: {"Frameshift"}, 3: {"CodonLoss"}, 4: {"Frameshift"}, 5: {"Monomorphic"}, 6: {"Structural_Variation", "CodonRegion"}}
+    assert got == {1: {"CodonGain"}, 2: {"Frameshift"}, 3: {"CodonLoss"}, 4: {"Frameshift"}, 5: {"Monomorphic"}, 6: {"StructuralVariation", "CodonRegion"}}
     top = annotate.top_annotation(spark.createDataFrame([(1, "A", "Intron"), (1, "B", "Stop_Gain"), (1, "C", "Stop_Gain")], "marker int, gene string, type string")).first()
     assert (top.anno, top.annofull) == ("Stop_Gain:B|C", "Stop_Gain:B|C,Intron:A")
     assert one(spark, annotate.reverse_complement(F.lit("aacG"))) == "CGTT"
@@ -149,3 +149,123 @@ def test_posteriors_sum_to_one(spark):
 def test_gene_packing(spark):
     g = spark.createDataFrame([("a", "1", 1, 10), ("b", "1", 5, 20), ("c", "1", 12, 15), ("d", "2", 1, 2)], "gene string, contig string, tx_start long, tx_end long")
     assert {r.gene: r.row for r in report.gene_rows(g).collect()} == {"a": 0, "b": 1, "c": 0, "d": 0}
+
+
+def test_fixed_order_of_types(spark):
+    # highest first, as documented for the annotation types
+    assert annotate.PRIORITY[:15] == ["StructuralVariation", "Stop_Gain", "Stop_Loss", "Start_Gain", "Start_Loss", "Frameshift", "CodonGain", "CodonLoss", "CodonRegion", "Insertion", "Deletion", "Nonsynonymous", "Synonymous", "Essential_Splice_Site", "Normal_Splice_Site"]
+    assert annotate.PRIORITY[15:24] == ["Utr5", "Utr3", "Exon", "Intron", "Upstream", "Downstream", "SNV", "Noncoding", "Intergenic"]
+    a = spark.createDataFrame([(1, "G1", "Synonymous"), (1, "G2", "Insertion"), (1, "G3", "Insertion"), (2, "G1", "Normal_Splice_Site"), (2, "G1", "Nonsynonymous"), (3, "", "Intergenic")], "marker int, gene string, type string")
+    got = {r.marker: (r.anno, r.annofull) for r in annotate.top_annotation(a).collect()}
+    assert got == {1: ("Insertion:G2|G3", "Insertion:G2|G3,Synonymous:G1"), 2: ("Nonsynonymous:G1", "Nonsynonymous:G1,Normal_Splice_Site:G1"), 3: ("Intergenic", "Intergenic")}
+
+
+def test_groups_by_preset(spark):
+    rows = [(1, "1", 5, "ANNO=Nonsynonymous:G1"), (2, "1", 6, "ANNO=Synonymous:G1"), (3, "1", 7, "ANNO=Stop_Gain:G1|G2"), (4, "1", 8, "ANNO=Frameshift:G1"), (5, "1", 9, "ANNO=Normal_Splice_Site:G2")]
+    d = spark.createDataFrame(rows, "marker int, contig string, pos int, info string")
+    assert {r.grp: r.markers for r in annotate.make_groups(d).collect()} == {"G1": "1 3", "G2": "3 5"}
+    typed = spark.createDataFrame([(1, "1", 5, ";TYPE=MISSENSE;GENE=A"), (2, "1", 5, ";TYPE=SYNONYMOUS;GENE=A")], "marker int, contig string, pos int, info string")
+    assert [r.markers for r in annotate.make_groups(typed, form="typed").collect()] == ["1"]
+
+
+def test_codons_of_both_strands(spark):
+    bases = "CCATGAAACCCGGGTAACC"  # ATG AAA | CCC GGG TAA in two exons from the third base on
+    b = spark.createDataFrame([("1", i + 1, c) for i, c in enumerate(bases)], "contig string, pos long, base string")
+    exons = [{"beg": 3, "end": 8}, {"beg": 9, "end": 17}]
+    g = spark.createDataFrame([("P", "1", 3, 17, 3, 17, exons, "+"), ("M", "1", 3, 17, 3, 17, exons, "-")], "gene string, contig string, tx_start long, tx_end long, cds_start long, cds_end long, exons array<struct<beg:long,end:long>>, strand string")
+    v = spark.createDataFrame([(1, "1", 6, "A", "T"), (2, "1", 17, "A", "C"), (3, "1", 1, "C", "T"), (4, "1", 6, "AA", "A")], "marker int, contig string, pos long, ref string, alt string")
+    got = {(r.marker, r.gene): (r.codon, r.codon_alt) for r in annotate.with_codons(v, g, b).collect()}
+    assert got == {(1, "P"): ("AAA", "TAA"), (1, "M"): ("TTT", "TTA"), (2, "P"): ("TAA", "TAC"), (2, "M"): ("TTA", "GTA"), (3, None): (None, None), (4, None): (None, None)}
+
+
+def test_annotated_lines(spark):
+    d = spark.createDataFrame([("1", "5", "x", "1:5_A/C_old", "C", ".", "PASS", "AC=1", "S:G", "S:G,T:H")], "a string, b string, c string, d string, e string, f string, g string, h string, anno string, annofull string")
+    line = lambda form: annotate.annotated_lines(d, form, list("abcdefgh")).first().line.split("\t")
+    assert line("vcf")[7] == "AC=1;ANNO=S:G;ANNOFULL=S:G,T:H" and line("plain")[8:] == ["S:G", "S:G,T:H"] and line("results")[3] == "1:5_A/C_S:G"
+    with pytest.raises(ValueError):
+        line("other")
+
+
+def test_frequencies_split_at_a_twentieth(spark):
+    m = spark.createDataFrame([(1, "ts", 0.005, 1.0), (2, "tv", 0.01, 2.0), (3, "ts", 0.03, 9.0), (4, "tv", 0.05, 9.0), (5, "ts", 0.051, 9.0)], "marker int, class string, maf double, mac double")
+    c = spark.createDataFrame([(k, 1, 1.0) for k in range(1, 6)], "marker int, sample int, g double")
+    r = qc.sample_summary(c, m).first()
+    assert (r.af_lt1, r.af_1to5, r.af_gt5, r.singletons, r.doubletons) == (1, 3, 1, 1, 1)
+
+
+def test_shifts_by_running_sums(spark):
+    import random
+
+    r = random.Random(5)
+    length, scores = 1000, [(str(r.randrange(1, 3)), r.randrange(0, 1000), float(r.randrange(9))) for _ in range(200)]
+    regions = [(r.choice("ab"), str(r.randrange(1, 3)), x, x + r.randrange(1, 120)) for x in (r.randrange(-20, 990) for _ in range(14))]
+    offsets = [0, 17, -430, 999, 500, 3]
+    s = spark.createDataFrame(scores, "contig string, pos long, score double")
+    g = spark.createDataFrame(regions, "key string, contig string, beg long, end long")
+    got = {x.key: x for x in enrich.peak_shift(s, g, length, offsets, bin_size=64).collect()}
+    for key in "ab":
+        sums = [sum(v for c, p, v in scores if any(k == key and c == d and a <= (p + o) % length <= b for k, d, a, b in regions)) for o in offsets]
+        above, same = sum(x > sums[0] for x in sums[1:]), sum(x == sums[0] for x in sums[1:])
+        assert got[key].score == sums[0] and got[key].midp == pytest.approx((above + 0.5 * same + 0.5) / 6) and got[key].maxp == pytest.approx((above + same + 1) / 6)
+
+
+def test_all_pairs_as_one_by_one(spark):
+    import random
+
+    r, m = random.Random(2), 40
+    af = [0.1 + 0.02 * (k % 20) for k in range(m)]
+    lk = {i: [[r.random() + 0.01 for _ in range(3)] for _ in range(m)] for i in range(7)}
+    lk[6] = lk[2]
+    long = [("1", i, k * 1000, lk[i][k]) for i in lk for k in range(m) if (i, k) != (1, 3)]
+    likes = spark.createDataFrame(long, "contig string, sample int, pos long, l array<double>")
+    line = spark.createDataFrame([("1", k * 1000, a) for k, a in enumerate(af)], "contig string, pos long, af double")
+    lk[1][3] = [1 / 3] * 3
+    one = ld.pair_states(spark.createDataFrame(list(lk.items()), "sample int, l array<array<double>>"), line.drop("contig"), spark.createDataFrame([(i, j) for i in range(7) for j in range(i + 1, 7)], "i int, j int"), 1e-4)
+    want = sorted(map(tuple, one.collect()))
+    for block in (2, 100):
+        assert sorted(tuple(x)[1:] for x in ld.all_pair_states(likes, line, 1e-4, block).collect()) == want
+
+
+def test_conditions_and_cuts(spark):
+    c = spark.createDataFrame([(1, 1, 2.0), (1, 2, None), (1, 3, 1.0), (2, 1, 0.0), (3, 1, None)], "marker int, sample int, g double")
+    s, names = single.with_conditions(spark.createDataFrame([(1,), (2,), (4,)], "sample int"), c, [1, 3])
+    assert names == ["cond0"] and {x.sample: x.cond0 for x in s.collect()} == {1: 2.0, 2: 1.5, 4: 1.5}
+    d = spark.createDataFrame([(1, 0.01, 3.0), (2, 0.2, None), (3, None, 1.0)], "k int, pvalue double, score double")
+    assert [x.k for x in report.significant(d, 0.05).collect()] == [1] and [x.k for x in report.scored(d, 2.0).collect()] == [1]
+
+
+def test_each_trait_has_its_own_ratio(spark):
+    import numpy as np
+
+    from locusmill.operators import mixed
+
+    rng, n = np.random.default_rng(1), 40
+    z = rng.standard_normal((n, 60))
+    k = z @ z.T / 60
+    y = np.column_stack([np.linalg.cholesky(k + 1e-6 * np.eye(n)) @ rng.standard_normal(n) * 3 + rng.standard_normal(n), rng.standard_normal(n)])
+    rot = mixed.restricted_eigen(k, np.ones((n, 1)))
+    fits = mixed.reml_traits(rot, y)
+    assert fits[0].delta != fits[1].delta
+    v = spark.createDataFrame([(m, list(range(n)), [float(x) for x in rng.integers(0, 3, n)]) for m in range(5)], "marker int, idx array<int>, g array<double>")
+    both = {(r.marker, r.trait): r.stat for r in mixed.mixed_scan(v, fits, y, ["marker"]).collect()}
+    for t in (0, 1):
+        for r in mixed.mixed_scan(v, fits[t], y[:, t], ["marker"]).collect():
+            assert both[r.marker, t] == pytest.approx(r.stat)
+
+
+def test_mixed_groups_without_kinship_are_plain(spark):
+    import numpy as np
+
+    from locusmill.operators import group, mixed
+
+    rng, n = np.random.default_rng(3), 60
+    y = rng.standard_normal(n)
+    rot = mixed.restricted_eigen(np.zeros((n, n)), np.ones((n, 1)))
+    rot.delta = 1.0
+    carrier = rng.integers(0, 2, n)
+    y += carrier
+    c = spark.createDataFrame([("A", i, int(carrier[i]), float(carrier[i] and 1 + i % 3) or None) for i in range(n)], "grp string, sample int, carrier int, min_mac double")
+    got = group.mixed_burden(c, {i: i for i in range(n)}, rot, y).first()
+    assert got.carriers == carrier.sum() and got.r2 == pytest.approx(np.corrcoef(carrier, y)[0, 1] ** 2, rel=0.05)
+    v = group.threshold_test(c.join(spark.createDataFrame(list(enumerate(map(float, y))), "sample int, y double"), "sample"), rotation=rot, order={i: i for i in range(n)}, most=100).first()
+    assert v.ns == n and 0 < v.pvalue <= 1 and v.r2 >= got.r2 * 0.9
