@@ -18,34 +18,49 @@ MOST_SAMPLES = 20_000
 def kinship(variants: DataFrame, n: int, method: str = "bn", tile: int = 512) -> DataFrame:
     """(i, j, k, w) with i >= j: the raw sum of products of standardised dosages and the markers' weight.
 
-    variants has idx (sample positions) and g of each marker's calls. Tasks multiply batches of
-    markers by tiles of samples; tiles are summed by key, so no task or driver holds n x n.
+    variants has idx (sample positions) and g of each marker's calls. A task takes the rows of a
+    tile of samples (tile x n numbers) over its share of the markers, a few hundred at a time;
+    every marker goes to each of the n / tile rows once, and tiles are summed by key, so no
+    task or driver holds n x n.
     bn: (g - 2p) / sqrt(2pq), missing 0. ibs: g - 1, missing 2p - 1, half of the weight on all pairs.
     """
+    rows = -(-n // tile)
+
+    def dense(part: pd.DataFrame) -> np.ndarray:
+        m, ok = np.zeros((len(part), n)), np.zeros(len(part), bool)
+        for r, (idx, g) in enumerate(zip(part["idx"], part["g"])):
+            idx, g = np.asarray(idx, int), np.asarray(g, float)
+            p = g.mean() / 2 if len(g) else 0
+            if 0 < p < 1:
+                ok[r] = True
+                if method == "bn":
+                    m[r, idx] = (g - 2 * p) / np.sqrt(2 * p * (1 - p))
+                else:
+                    m[r] = 2 * p - 1
+                    m[r, idx] = g - 1
+        return m[ok]
 
     def run(batches):
-        acc: dict = {}
-        for part in batches:
-            m = np.zeros((len(part), n))
-            ok = np.zeros(len(part), bool)
-            for r, (idx, g) in enumerate(zip(part["idx"], part["g"])):
-                idx, g = np.asarray(idx, int), np.asarray(g, float)
-                p = g.mean() / 2 if len(g) else 0
-                if 0 < p < 1:
-                    ok[r] = True
-                    if method == "bn":
-                        m[r, idx] = (g - 2 * p) / np.sqrt(2 * p * (1 - p))
-                    else:
-                        m[r] = 2 * p - 1
-                        m[r, idx] = g - 1
-            m = m[ok]
-            for a in range(0, n, tile):
-                for b in range(0, a + 1, tile):
-                    k = m[:, a : a + tile].T @ m[:, b : b + tile] + (len(m) if method == "ibs" else 0)
-                    have = acc.get((a, b))
-                    acc[a, b] = (k if have is None else have[0] + k, len(m) * (2 if method == "ibs" else 1) + (0 if have is None else have[1]))
-        for (a, b), (k, w) in acc.items():
-            yield pd.DataFrame({"a": [a], "b": [b], "w": [float(w)], "k": [k.ravel().tolist()]})
+        row, acc, w = -1, None, 0
+
+        def done():
+            for b in range(0, (row + 1) * tile, tile):
+                yield pd.DataFrame({"a": [row * tile], "b": [b], "w": [float(w)], "k": [acc[:, b : b + tile].ravel().tolist()]})
+
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.iloc[start : start + 256]
+                for a, mine in part.groupby("row", sort=True):
+                    if a != row:
+                        if row >= 0:
+                            yield from done()
+                        row, w = int(a), 0
+                        acc = np.zeros((min(tile, n - row * tile), min(n, (row + 1) * tile)))
+                    m = dense(mine)
+                    acc += m[:, row * tile : (row + 1) * tile].T @ m[:, : acc.shape[1]] + (len(m) if method == "ibs" else 0)
+                    w += len(m) * (2 if method == "ibs" else 1)
+        if row >= 0:
+            yield from done()
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         a, b = int(part["a"].iloc[0]), int(part["b"].iloc[0])
@@ -54,7 +69,10 @@ def kinship(variants: DataFrame, n: int, method: str = "bn", tile: int = 512) ->
         keep = i >= j
         return pd.DataFrame({"i": i[keep], "j": j[keep], "k": k[keep], "w": part["w"].sum()})
 
-    tiles = variants.select("idx", "g").mapInPandas(run, "a int, b int, w double, k array<double>")
+    every = variants.select("idx", "g", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"))
+    if rows > 1:
+        every = every.withColumn("share", F.pmod(F.xxhash64("idx", "g"), F.lit(16))).repartition("row", "share").sortWithinPartitions("row").drop("share")
+    tiles = every.mapInPandas(run, "a int, b int, w double, k array<double>")
     return tiles.groupBy("a", "b").applyInPandas(add, "i long, j long, k double, w double")
 
 

@@ -307,8 +307,54 @@ def ragged(calls: DataFrame, by: list[str], y: str, xs: list[str]) -> DataFrame:
     return x.groupBy(*by).agg(F.collect_list("g").alias("g"), F.collect_list(y).alias("y"), F.collect_list(F.array(F.lit(1.0), *xs)).alias("x"))
 
 
+def linear_covariates(calls: DataFrame, by: list[str], y: str, xs: list[str]) -> DataFrame:
+    """q.lm as a closed form: by, ns, beta, sebeta, tstat, pvalue of y on g and xs over complete cases.
+
+    Tasks only send sums and sums of products of each marker, pre-aggregated; the small normal
+    equations are then solved for whole batches of markers at once.
+    """
+    cols = ["g", *xs, y]
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull()
+    v = [F.when(whole, F.col(c).cast("double")) for c in cols]
+    k = len(cols)
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    s = calls.groupBy(*by).agg(F.count(v[0]).alias("ns"), F.array(*[F.sum(x) for x in v]).alias("_s"), F.array(*[F.sum(v[i] * v[j]) for i, j in upper]).alias("_p"))
+
+    def run(batches):
+        for part in batches:
+            n = part["ns"].to_numpy(float)
+            none = np.full(len(part), np.nan)
+            sums = np.array([np.full(k, np.nan) if c == 0 else np.asarray(x, float) for c, x in zip(n, part["_s"])]).reshape(len(part), k)
+            prod = np.array([np.full(len(upper), np.nan) if c == 0 else np.asarray(x, float) for c, x in zip(n, part["_p"])]).reshape(len(part), len(upper))
+            m = np.empty((len(part), k, k))
+            for t, (i, j) in enumerate(upper):
+                m[:, i, j] = m[:, j, i] = prod[:, t] - sums[:, i] * sums[:, j] / np.maximum(n, 1)
+            df = n - k
+            ok = (df >= 1) & (m[:, 0, 0] > 1e-9) & (m[:, -1, -1] > 1e-9)
+            beta, se = none.copy(), none.copy()
+            if ok.any():
+                a, c = m[ok, :-1, :-1], m[ok, :-1, -1]
+                inv = np.linalg.pinv(a, hermitian=True)
+                b = np.einsum("mij,mj->mi", inv, c)
+                rss = np.maximum(m[ok, -1, -1] - np.einsum("mi,mi->m", b, c), 0)
+                beta[ok], se[ok] = b[:, 0], np.sqrt(rss / df[ok] * inv[:, 0, 0])
+            good = se > 0
+            with np.errstate(all="ignore"):
+                t = np.where(good, beta / se, np.nan)
+            p = np.array([sp.t_two_sided(x, d) if g else np.nan for x, d, g in zip(t, df, good)], float)
+            out = pd.DataFrame({"ns": part["ns"], "beta": np.where(good, beta, np.nan), "sebeta": np.where(good, se, np.nan), "tstat": t, "pvalue": p})
+            yield pd.concat([part[by].reset_index(drop=True), out.astype({c: object for c in ("beta", "sebeta", "tstat", "pvalue")}).where(out.notna(), None)], axis=1)
+
+    keys = ", ".join(f"{c} {calls.schema[c].dataType.simpleString()}" for c in by)
+    return s.mapInPandas(run, f"{keys}, ns long, beta double, sebeta double, tstat double, pvalue double")
+
+
 def run_test(calls: DataFrame, name: str, by: list[str], y: str, xs: tuple[str, ...] = ()) -> DataFrame:
     """Results of a registered test for each marker: by, ns, and the test's columns (null where it has none)."""
+    if name == "q.lm":
+        return linear_covariates(calls, by, y, list(xs))
     f, ddl = TESTS[name]
     frame = ragged(calls, by, y, list(xs))
     names = [c.split()[0] for c in ddl.split(", ")]

@@ -224,6 +224,14 @@ for _name in ("q.lm", "q.reverse"):
     _kernel(_name, "y", ("x1",))
 
 
+@query(with_("calls", "samples") + """, p AS (SELECT marker, CAST(count(*) AS DOUBLE) AS n, sum(g) AS g, sum(x1) AS x, sum(y) AS y, sum(g * g) AS gg, sum(g * x1) AS gx, sum(x1 * x1) AS xx, sum(g * y) AS gy, sum(x1 * y) AS xy, sum(y * y) AS yy FROM calls JOIN samples USING (sample) WHERE g IS NOT NULL GROUP BY 1),
+    c AS (SELECT marker, n, gg - g * g / n AS gg, gx - g * x / n AS gx, xx - x * x / n AS xx, gy - g * y / n AS gy, xy - x * y / n AS xy, yy - y * y / n AS yy FROM p), d AS (SELECT *, gg * xx - gx * gx AS det FROM c WHERE gg > 1e-9 AND yy > 1e-9 AND n > 3),
+    b AS (SELECT *, (gy * xx - xy * gx) / det AS beta, (xy * gg - gy * gx) / det AS bx FROM d), s AS (SELECT *, sqrt((yy - beta * gy - bx * xy) / (n - 3) * xx / det) AS se FROM b) SELECT marker, CAST(n AS BIGINT) AS ns, """ + _r("beta", "se AS sebeta", "beta / se AS tstat", digits=3) + " FROM s WHERE det > 1e-6")
+def linear_scan_with_covariate(spark, sf):
+    x = single.linear_covariates(shapes.phenotyped(spark, sf), ["marker"], "y", ["x1"])
+    return rounded(x.where("beta is not null").drop("pvalue"), 3)
+
+
 @query()
 def conditional_scan(spark, sf):
     """q.lm of every marker, conditional on two markers' dosages."""
