@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special as sp
 from .mixed import mixed_scan
+from .qc import running_counts
 from .single import irls, rank_sum, run_test
 
 
@@ -245,10 +246,11 @@ def _mixture_quantile(p: float, lam: np.ndarray) -> float:
 
 def phenotype_table(calls: DataFrame, y: str = "y", bins: int = 4, few: int = 10, marker: str = "marker") -> DataFrame:
     """Genotype by phenotype-bin counts: values themselves where fewer than few are distinct, else bins of equal mass."""
-    v = calls.select("sample", y).distinct().groupBy(y).agg(F.count("*").alias("k"))
-    w = Window.orderBy(y).rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy()
-    v = v.withColumn("_b", F.floor(F.coalesce(F.sum("k").over(w), F.lit(0)) * bins / F.sum("k").over(total)))
-    v = v.withColumn("bin", F.when(F.count("*").over(total) < few, F.dense_rank().over(Window.orderBy(y)) - 1).otherwise(F.col("_b"))).select(y, F.col("bin").cast("long").alias("bin"))
+    v = running_counts(calls.select("sample", y).distinct(), y)
+    if v.count() < few:
+        v = v.withColumn("bin", F.dense_rank().over(Window.orderBy(y)) - 1)  # over fewer than few rows
+    else:
+        v = v.withColumn("bin", F.floor(F.col("before") * bins / F.col("total")))
+    v = v.select(y, F.col("bin").cast("long").alias("bin"))
     x = calls.join(v, y)
     return x.groupBy(marker, "bin").agg(F.count_if(F.col("g") < 0.5).alias("n0"), F.count_if((F.col("g") >= 0.5) & (F.col("g") < 1.5)).alias("n1"), F.count_if(F.col("g") >= 1.5).alias("n2"), F.count_if(F.col("g").isNull()).alias("n_miss"))

@@ -108,3 +108,27 @@ def average_rank(order: str, over: Window | None = None, part: list[str] | None
     """Rank of order from 1, ties sharing their mean."""
     w = Window.partitionBy(*(part or []))
     return F.rank().over(w.orderBy(order)) + (F.count(F.lit(1)).over(w.partitionBy(*(part or []), order)) - 1) / 2.0
+
+
+def running_counts(df: DataFrame, value: str, buckets: int = 64) -> DataFrame:
+    """value, k, before, total: of each distinct value (nulls aside) its rows, those with smaller values, and all rows.
+
+    Values are dealt to ranges by approximate quantiles; sums run within each range, and over
+    the few totals of ranges. So no task sees more than a range of distinct values.
+    """
+    k = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("k"))
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = sorted(set(k.agg(F.percentile_approx(F.col(value).cast("double"), shares, 8 * buckets)).first()[0] or [])) if shares else []
+    at = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    k = k.withColumn("_b", F.size(F.filter(at, lambda c: c < F.col(value).cast("double"))))
+    upto = Window.partitionBy("_one").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = k.groupBy("_b").agg(F.sum("k").alias("_n")).withColumn("_one", F.lit(1))  # one row a range
+    sums = sums.select("_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy("_one")).alias("total"))
+    mine = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return k.join(F.broadcast(sums), "_b").select(value, "k", (F.col("_base") + F.coalesce(F.sum("k").over(mine), F.lit(0))).alias("before"), "total")
+
+
+def with_average_rank(df: DataFrame, value: str, out: str = "rank", buckets: int = 64) -> DataFrame:
+    """The rows of df with a value, with its rank from 1 among all rows (ties share their mean), without one task for all."""
+    r = running_counts(df, value, buckets).select(F.col(value).alias("_v"), (F.col("before") + (F.col("k") + 1) / 2.0).alias(out))
+    return df.join(r, F.col(value) == F.col("_v")).drop("_v")

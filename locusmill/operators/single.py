@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special as sp
 from ..functions import tails
-from .qc import average_rank
+from .qc import average_rank, with_average_rank
 
 #: Iterative tests by name: f(g, y, x) of one marker's complete cases -> dict of results.
 TESTS: dict[str, tuple[Callable, str]] = {}
@@ -132,7 +132,7 @@ def residualise(samples: DataFrame, y: str, xs: list[str], out: str = "resid") -
 def inverse_normal(samples: DataFrame, y: str, out: str = "inv") -> DataFrame:
     """samples with y's normal score: the quantile at (average rank - 0.5) / n."""
     n = samples.where(F.col(y).isNotNull()).count()
-    r = samples.where(F.col(y).isNotNull()).withColumn("_q", (average_rank(y) - 0.5) / F.lit(float(max(n, 1))))
+    r = with_average_rank(samples, y, "_rank").withColumn("_q", (F.col("_rank") - 0.5) / F.lit(float(max(n, 1)))).drop("_rank")
     return r.withColumn(out, tails.norm_ppf_col("_q")).drop("_q")
 
 

@@ -202,7 +202,7 @@ def covariate_residuals(spark, sf):
 @query("SELECT c_custkey AS sample, " + _r("(rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0 - 0.5) / count(*) OVER () AS q") + " FROM customer")
 def normal_score_ranks(spark, sf):
     s = shapes.samples(spark, sf)
-    return rounded(s.select("sample", ((qc.average_rank("y") - 0.5) / s.count()).alias("q")))
+    return rounded(qc.with_average_rank(s, "y").select("sample", ((F.col("rank") - 0.5) / s.count()).alias("q")))
 
 
 @query()

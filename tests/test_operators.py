@@ -306,3 +306,16 @@ def test_kinship_does_not_depend_on_tiles(spark):
     for method in ("bn", "ibs"):
         a, b = ({(r.i, r.j): (round(r.k, 9), r.w) for r in mixed.kinship(v, n, method, tile).collect()} for tile in (512, 4))
         assert a == b and len(a) == n * (n + 1) // 2
+
+
+def test_ranks_over_ranges(spark):
+    import random
+
+    r = random.Random(9)
+    y = [None if r.random() < 0.1 else float(r.randrange(40)) for _ in range(300)]
+    d = spark.createDataFrame(list(enumerate(y)), "i int, y double")
+    have = sorted(v for v in y if v is not None)
+    want = {i: have.index(v) + (have.count(v) + 1) / 2 for i, v in enumerate(y) if v is not None}
+    for buckets in (1, 7, 64):
+        assert {x.i: x["rank"] for x in qc.with_average_rank(d, "y", buckets=buckets).collect()} == want
+    assert qc.with_average_rank(d.where("y is null"), "y").count() == 0
