@@ -169,8 +169,8 @@ def test_scores_are_pagerank(spark):
     edges = [(r.choice(hosts), r.choice(hosts[:4] + hosts)) for _ in range(60)] + [(h, "hub") for h in hosts[::2]] + [("hub", "end")] * 2
     edges = [(a, b) for a, b in edges if a != b]
     seeds = {h: (r.random() * (r.random() < 0.4), r.random() * (r.random() < 0.4)) for h in [*hosts, "alone"]}
-    got = url_graph.propagate(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, trust double, distrust double"), tolerance=1e-4).collect()
-    trust, distrust = plain_rank(edges, {h: a for h, (a, _) in seeds.items()}), plain_rank([(b, a) for a, b in edges], {h: b for h, (_, b) in seeds.items()})
+    got = url_graph.propagate(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, trust double, distrust double"), damping=0.5, tolerance=1e-4).collect()
+    trust, distrust = plain_rank(edges, {h: a for h, (a, _) in seeds.items()}, 0.5), plain_rank([(b, a) for a, b in edges], {h: b for h, (_, b) in seeds.items()}, 0.5)
     for x in got:
         assert abs(x.trust - trust.get(x.host, 0)) < 1e-3 and abs(x.distrust - distrust.get(x.host, 0)) < 1e-3, x
     assert {x.host for x in got} == set(trust) | set(distrust) and abs(sum(x.trust for x in got) - sum(a for a, _ in seeds.values())) < 1e-2
