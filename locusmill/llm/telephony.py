@@ -247,7 +247,7 @@ def media_report(docs: DataFrame, rate: int = 16000, slices: int = 3) -> DataFra
     for k in range(slices):
         media = stage(store_text_audio(docs.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k)), "media")
         pcm = stage(store_pcm(media, rate), "pcm")
-        done.append(stage(describe(pcm), "described", 100_000))
+        done.append(stage(describe(pcm), "described"))
         unstage(media)
         unstage(pcm)
     return functools.reduce(DataFrame.union, done)
