@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,45 +164,53 @@ def level(x: np.ndarray) -> int:
     return int(np.sqrt((y * y).sum() / max(len(y), 1)))
 
 
+def levels(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """level() of each stretch of x that begins at one of at and ends at the next."""
+    y = x.astype(np.int64)
+    return np.sqrt(np.add.reduceat(y * y, at[:-1]) / np.diff(at)).astype(np.int64)
+
+
 def crossings(x: np.ndarray) -> int:
     """How often the sign changes."""
     return int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
 
 
 def store_pcm(media: DataFrame, rate: int = 16000) -> DataFrame:
-    """From stored files (doc_id, n_bytes, media): pcm, their sound at rate as a 16-bit file, and what is known of them.
+    """From the files of store_text_audio() (doc_id, n_bytes, media): pcm, their sound at rate as a 16-bit file, and what is known of them.
 
     That is payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, and the levels
     of the payload read as A-law (alaw) and as ADPCM blocks (ima). Files are parsed as stored.
     """
 
     def convert(batches):
-        for batch in slices(batches):
-            rows = batch.to_pylist()
-            found = [from_wav(r["media"]) for r in rows]
+        for batch in batches:
+            files = batch.column("media").to_pylist()
+            found = [from_wav(m) for m in files]
             payloads = [x[3] for x in found]
-            raw = [np.frombuffer(p, np.uint8) for p in payloads]
-            pcm = [to_wav(resample(MULAW_TABLE[x], f[1], rate).astype("<i2").tobytes(), PCM, rate, 2, 16) for x, f in zip(raw, found)]
+            data = np.frombuffer(b"".join(payloads), np.uint8)
+            at = np.concatenate([[0], np.cumsum([len(p) for p in payloads])])
+            # ADPCM is decoded across the blocks of all files of the run
+            alaw, ima = levels(ALAW_TABLE[data], at), levels(decode_ima(data.reshape(-1, BLOCK)).ravel(), at // BLOCK * (2 * (BLOCK - 4) + 1))
+            sound = MULAW_TABLE[data]
+            pcm = [to_wav(resample(sound[a:b], f[1], rate).astype("<i2").tobytes(), PCM, rate, 2, 16) for a, b, f in zip(at[:-1], at[1:], found)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"),
-                "payload_bytes": pa.array([len(p) for p in payloads], pa.int64()), "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()),
-                "tail_crc32": pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()), "media_bytes": pa.array([len(r["media"]) for r in rows], pa.int64()),
-                "media_sha256": pa.array([hashlib.sha256(r["media"]).hexdigest() for r in rows], pa.string()), "alaw": pa.array([level(ALAW_TABLE[x]) for x in raw], pa.int64()),
-                "ima": pa.array([level(decode_ima(x.reshape(-1, BLOCK)).ravel()) for x in raw], pa.int64()), "pcm": pa.array(pcm, pa.binary()),
+                "payload_bytes": pa.array(np.diff(at), pa.int64()), "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()),
+                "tail_crc32": pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()), "media_bytes": pa.array([len(m) for m in files], pa.int64()),
+                "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in files], pa.string()), "alaw": pa.array(alaw, pa.int64()), "ima": pa.array(ima, pa.int64()), "pcm": pa.array(pcm, pa.binary()),
             })
 
     schema = extend(media.select("doc_id", "n_bytes").schema, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, alaw long, ima long, pcm binary")
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_in_runs(convert, "media"), schema)
 
 
-def _in_runs(convert, column: str, budget: int = 8 << 20):
+def _in_runs(convert, column: str, budget: int = 2 << 20):
     """convert() for runs of rows with about budget bytes in column; a longer value is a run by itself."""
 
     def run(batches):
         def cut():
             for batch in slices(batches):
-                size = np.asarray(batch.column(column).offsets if hasattr(batch.column(column), "offsets") else [], np.int64)
-                size = np.diff(size) if len(size) else np.array([len(v) for v in batch.column(column).to_pylist()], np.int64)
+                size = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
                 start = total = 0
                 for i, n in enumerate(size):
                     if i > start and total + n > budget:
@@ -225,7 +234,7 @@ def describe(stored: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
 
     def read(batches):
-        for batch in slices(batches):
+        for batch in batches:
             out = []
             for m, a, i in zip(*(batch.column(c).to_pylist() for c in ("pcm", "alaw", "ima"))):
                 rate, x = decode(m)
