@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage
+from .common import ascii_lower, stage, unstage
 
 #: (verdict, host, path); a rule holds for its host and all subdomains, for paths that begin with its path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -63,12 +63,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
     seed = rank = stage(seed, "seeds")
     none = F.lit(0.0)
     for k in range(1, max_rounds + 1):
+        last = k % together == 0 or k == max_rounds
+        if last:
+            rank = stage(rank, "rank")  # read twice in this round
         there = rank.join(e, ["kind", "src"], "left")
         moved = there.select("kind", F.coalesce("dst", "src").alias("src"), (F.col("s") * F.coalesce("w", F.lit(damping))).alias("s"), none.alias("was"))
-        parts = moved.union(seed.select("kind", "src", "s", none.alias("was"))).union(rank.select("kind", "src", none.alias("s"), F.col("s").alias("was")))
+        parts = moved.union(seed.select("kind", "src", "s", none.alias("was")))
+        if last:
+            parts = parts.union(rank.select("kind", "src", none.alias("s"), F.col("s").alias("was")))
         new = parts.groupBy("kind", "src").agg(F.sum("s").alias("s"), F.sum("was").alias("was"))
-        if k % together == 0 or k == max_rounds:
-            new = stage(new, "rank")
+        if last:
+            before, new = rank, stage(new, "rank")
+            unstage(before)
             change = new.agg(F.max(F.abs(F.col("s") - F.col("was")))).first()[0] or 0.0
             if change <= tolerance * (1 - damping):
                 rank = new
