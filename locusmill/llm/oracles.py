@@ -77,4 +77,43 @@ n AS (SELECT doc_id, CAST(sum(e - a + 1) AS BIGINT) AS n_removed, count(*) AS n_
 SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_spans IS NULL THEN b ELSE coalesce(rest, ''::BLOB) END) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ORACLES = {"op1_suffix_columns": REPEATS, "op4_license_diagonals": LICENSES, "op5_mix_sources": MIX, "op9_benchmark_windows": WINDOWS, "op10_ngram_jaccard": JACCARD}
+QUALITY = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+g AS (SELECT r, p, count(*) OVER (PARTITION BY r, w[p], w[p + 1], w[p + 2]) AS times FROM d, unnest(range(1, len(w) - 1)) u(p)),
+c AS (SELECT r, count(DISTINCT q) AS n FROM g, unnest(range(p, p + 3)) u(q) WHERE times > 1 GROUP BY 1),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+  length(regexp_replace(t, '[^A-Z]', '', 'g')) AS shouted, length(regexp_replace(t, '[^a-z]', '', 'g')) AS small, length(regexp_replace(t, '[^!?]', '', 'g')) AS marks FROM d LEFT JOIN c USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars NOT BETWEEN 2 * n_words AND 15 * n_words OR shouted > small OR 10 * marks > 3 * n_words) AS kept FROM b
+"""
+
+
+def _crc_table() -> list[int]:
+    """The table of the reflected polynomial EDB88320."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        out.append(c)
+    return out
+
+
+VARIANTS = f"""
+WITH RECURSIVE x AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+o AS (SELECT doc_id, run, count(*) AS n FROM x GROUP BY ALL),
+k AS (SELECT *, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c)::BIGINT - 64] END))), lambda a, b: xor(a >> 8, ({_crc_table()}::BIGINT[])[xor(a, b) % 256 + 1])) AS crc FROM o),
+h AS (SELECT *, xor(crc, 4294967295::BIGINT) AS h FROM k),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1 HAVING sum(n) >= 5 AND length(word) >= 6),
+c AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM v, unnest(range(0, length(word))) u(i)),
+p AS (SELECT a.word, b.word AS near, b.n FROM c a JOIN c b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM c JOIN v ON v.word = c.rest UNION SELECT v.word, c.word, c.n FROM c JOIN v ON v.word = c.rest),
+q AS (SELECT word, count(*) AS n_near, min((-n, near)) AS best FROM p GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 5 * v.n THEN best[2] END AS form, CASE WHEN -best[1] >= 5 * v.n THEN -best[1] END AS form_n FROM v LEFT JOIN q USING (word)),
+t AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.next)
+SELECT f.word, f.form, t.at AS root, n, n_near, form_n FROM f JOIN t USING (word) WHERE t.next IS NULL
+"""
+
+ORACLES = {
+    "op1_suffix_columns": REPEATS, "op4_license_diagonals": LICENSES, "op5_mix_sources": MIX, "op9_benchmark_windows": WINDOWS, "op10_ngram_jaccard": JACCARD,
+    "op11_quality_cascade": QUALITY, "op13_spelling_variants": VARIANTS,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mixing, ngram_join, paragraph_dedup, pii, suffix_dedup, telephony, toxicity, url_graph
+from . import decontaminate, license_scan, mixing, ngram_join, paragraph_dedup, pii, quality_cascade, spelling_variants, suffix_dedup, telephony, token_alignment, toxicity, url_graph
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -56,4 +56,17 @@ def op10_ngram_jaccard(spark, sf_dir):
     return ngram_join.link_components(_table(spark, sf_dir, "documents")).drop("class_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_columns, op2_url_graph, op3_toxicity_kneser_ney, op4_license_diagonals, op5_mix_sources, op6_paragraph_minhash, op7_pii_weak_supervision, op8_telephony_audio, op9_benchmark_windows, op10_ngram_jaccard)}
+def op11_quality_cascade(spark, sf_dir):
+    return quality_cascade.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark, sf_dir):
+    return token_alignment.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants.variants(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_suffix_columns, op2_url_graph, op3_toxicity_kneser_ney, op4_license_diagonals, op5_mix_sources, op6_paragraph_minhash, op7_pii_weak_supervision, op8_telephony_audio, op9_benchmark_windows, op10_ngram_jaccard, op11_quality_cascade, op12_token_alignment, op13_spelling_variants)
+QUERIES = {f.__name__: f for f in _ALL}
