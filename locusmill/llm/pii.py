@@ -17,8 +17,16 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: What the method looks for besides: kind, pattern, what the text must hold.
-KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z])(?:password|passwd|secret|token|api_key)[\x20]?[=:][\x20]?[\"']?[0-9A-Za-z_/+-]{8,}+"
+# How keys of common services begin, and how long they are.
+_KEYS = (
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36,255}+", r"xox[abprs]-[A-Za-z0-9-]{10,}+", r"AIza[0-9A-Za-z_-]{35}", r"[sr]k[_-](?:live_|test_|proj-)?[A-Za-z0-9_-]{20,}+",
+    r"eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", r"-----BEGIN [A-Z0-9\x20]*?PRIVATE KEY-----[A-Za-z0-9+/=\s:,.-]*?-----END [A-Z0-9\x20]*?PRIVATE KEY-----",
+)
+KEY = r"(?<![A-Za-z0-9_])(?:" + "|".join(_KEYS) + r")(?![A-Za-z0-9])"
+KEY_BEGINS = r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|[sr]k[_-]|eyJ|PRIVATE KEY"
+#: The value goes to white space or, if quoted, to its quote: no character ends it before. Only commas, semicolons and full stops at its very end belong to the sentence.
+_VALUE = r"(?=\S{8})[\"']?[,;.]*+[^\s,;.]++(?:[,;.]++[^\s,;.]++)*+"
+SECRET = rf"(?i)(?<![A-Za-z])(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret|private[_-]?key)[\"']?[\x20]?[=:][\x20]?(?:\"[^\"\n]{{8,}}+\"|'[^'\n]{{8,}}+'|{_VALUE})"
 SPOKEN = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++[\x20](?:\(at\)|\[at\])[\x20][A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 # Lengths of the listed countries' IBANs; of others any from 15 on, in groups of four and a last one of 1 to 4.
 IBAN_LENGTHS = {
@@ -65,22 +73,16 @@ def _candidates(text: Column, kind: str, pattern: str, guard: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, kind, start, end, m, ctx: one row per match, or one with null kind for a text without.
-
-    Start positions come from running sums of the lengths between matches within each row and kind.
-    """
+    """rid, doc_id, kind, i, plen, mlen, m, ctx: one row per match that its kind's check passes or not (valid), or one with null kind for a text without."""
     t = F.coalesce("text", F.lit(""))
     digit = t.rlike("[0-9]")
     parts = [
         _candidates(t, "email", EMAIL, F.contains(t, F.lit("@"))), _candidates(t, "ip", IP, digit & t.rlike(r"[0-9]\.[0-9]")), _candidates(t, "card", CARD, digit),
-        _candidates(t, "phone", PHONE, t.rlike(r"\+[0-9]")), _candidates(t, "key", KEY, F.contains(t, F.lit("AKIA"))), _candidates(t, "secret", SECRET, t.rlike(r"[=:]")),
+        _candidates(t, "phone", PHONE, t.rlike(r"\+[0-9]")), _candidates(t, "key", KEY, t.rlike(KEY_BEGINS)), _candidates(t, "secret", SECRET, t.rlike(r"[=:]")),
         _candidates(t, "iban", IBAN, t.rlike(r"[A-Z]{2}[0-9]{2}")), _candidates(t, "spoken_email", SPOKEN, t.rlike(r"[(\[]at[)\]]")),
     ]
     found = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.flatten(F.array(*parts)).alias("all"))
-    found = stage(found.select("rid", "doc_id", F.explode_outer("all").alias("c")).select("rid", "doc_id", "c.*"), "matches")
-    before = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    start = (F.coalesce(F.sum(F.col("plen") + F.col("mlen")).over(before), F.lit(0)) + F.col("plen")).cast("long")
-    spans = found.where("kind is not null").withColumn("start", start).withColumn("end", F.col("start") + F.col("mlen"))
+    found = found.select("rid", "doc_id", F.explode_outer("all").alias("c")).select("rid", "doc_id", "c.*")
     n = F.length(_digits(F.col("m")))
     valid = (
         F.when(F.col("kind") == "ip", F.forall(F.split("m", r"\."), lambda p: F.length(F.regexp_replace(p, "^0+", "")) <= 3) & F.forall(F.split("m", r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(999)) <= 255))
@@ -88,7 +90,17 @@ def candidates(docs: DataFrame) -> DataFrame:
         .when(F.col("kind") == "phone", n.between(9, 15))
         .otherwise(F.lit(True))
     )
-    spans = spans.where(valid).select("rid", "doc_id", "kind", "start", "end", "m", "ctx")
+    return found.withColumn("valid", valid)
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """The valid rows of candidates() with start and end, and one with null kind for each text.
+
+    Start positions come from running sums of the lengths between matches within each row and kind.
+    """
+    before = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = (F.coalesce(F.sum(F.col("plen") + F.col("mlen")).over(before), F.lit(0)) + F.col("plen")).cast("long")
+    spans = found.where("kind is not null").withColumn("start", start).withColumn("end", F.col("start") + F.col("mlen")).where("valid")
     rest = found.groupBy("rid", "doc_id").agg(F.lit(None).cast("string").alias("kind"))
     return spans.unionByName(rest, allowMissingColumns=True)
 
@@ -206,8 +218,9 @@ def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     repeated ids and repeated texts are fine; very long texts and matches are taken whole; other
     columns, whatever their names, aren't read; empty tables give no rows. Positions are code points.
     """
-    spans = stage(votes(candidates(docs)), "votes")
-    counts = [tuple(r) for r in spans.where("kind is not null").groupBy("kind", *VOTES, *SEEN).count().collect()]  # 8 x 81 x 64 rows at most
+    # what is written down holds no text: neither matches nor what stands before them
+    found = stage(votes(candidates(docs)).drop("m", "ctx"), "votes")
+    counts = [tuple(r) for r in found.where("kind is not null and valid").groupBy("kind", *VOTES, *SEEN).count().collect()]  # 8 x 81 x 64 rows at most
     score = F.lit(None).cast("double")
     for kind, w in fit_classifier(counts).items():
         terms = F.lit(w[0])
@@ -216,7 +229,7 @@ def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         for c, y in zip(SEEN, w[1 + 2 * len(VOTES) :]):
             terms = terms + F.col(c) * y
         score = F.when(F.col("kind") == kind, 1 / (1 + F.exp(-terms))).otherwise(score)
-    out = spans.select("rid", "doc_id", "kind", "start", "end", score.alias("p"), F.col("kind").isin(*BASE_KINDS).alias("base"))
+    out = placed(found).select("rid", "doc_id", "kind", "start", "end", score.alias("p"), F.col("kind").isin(*BASE_KINDS).alias("base"))
     return out.where(F.col("kind").isNull() | F.col("base") | (F.col("p") >= threshold))
 
 
