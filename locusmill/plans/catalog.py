@@ -656,22 +656,33 @@ def cis_trans_pairs(spark, sf):
     return rounded(_cis(spark, sf).select("gene", "marker", "cis", "p"))
 
 
-@query(with_("markers", "genes") + f", {_HITS} SELECT gene, kind, bin, {_r('p')} FROM (SELECT gene, 'cis' AS kind, CAST(NULL AS BIGINT) AS bin, min(p) AS p FROM prs WHERE cis GROUP BY 1 UNION ALL SELECT gene, 'trans', NULL, min(p) FROM prs WHERE NOT cis GROUP BY 1 UNION ALL SELECT gene, 'bin', CAST(floor(pos / 200000) AS BIGINT), min(p) FROM prs WHERE NOT cis GROUP BY 1, 3)")
+@query(with_("markers", "genes") + "SELECT marker, gene FROM markers m JOIN genes g ON g.contig = m.contig AND tx_start - 100000 < pos AND tx_end + 100000 >= pos")
+def cis_window_join(spark, sf):
+    m = shapes.markers(spark, sf).select("marker", "contig", "pos")
+    return enrich.cis_candidates(m, shapes.genes(spark, sf), 100_000, bin_size=100_000).select("marker", "gene")
+
+
+_MINIMA = "minima AS (SELECT gene, 'cis' AS kind, CAST(NULL AS VARCHAR) AS contig, CAST(NULL AS BIGINT) AS bin, min(p) AS p FROM prs WHERE cis GROUP BY 1 UNION ALL SELECT gene, 'trans', NULL, NULL, min(p) FROM prs WHERE NOT cis GROUP BY 1 UNION ALL SELECT gene, 'bin', contig, CAST(floor(pos / 200000) AS BIGINT), min(p) FROM prs WHERE NOT cis GROUP BY 1, 3, 4)"
+# of each bin, how many genes are at or below each value; a value is what a draw from the bin gives with that share
+_NULL = """keys AS (SELECT DISTINCT format('{:.1e}', p) AS k FROM minima UNION SELECT '1.0e+00'), g AS (SELECT count(*) AS g FROM genes), d AS (SELECT contig, bin, k AS upto, (SELECT count(*) FROM minima m WHERE m.kind = 'bin' AND m.contig = b.contig AND m.bin = b.bin AND CAST(format('{:.1e}', m.p) AS DOUBLE) <= CAST(k AS DOUBLE)) AS below FROM (SELECT DISTINCT contig, bin FROM minima WHERE kind = 'bin') b, keys),
+    chances AS (SELECT upto AS k, 1 - product(1 - below / CAST(g AS DOUBLE)) AS chance FROM d, g GROUP BY 1)"""
+
+
+@query(with_("markers", "genes") + f", {_HITS}, {_MINIMA} SELECT gene, kind, contig, bin, {_r('p')} FROM minima")
 def gene_minima(spark, sf):
     return rounded(enrich.gene_minima(_cis(spark, sf), 100_000))
 
 
-@query(with_("markers", "genes") + f""", {_HITS}, o AS (SELECT format('{{:.1e}}', min(p)) AS k FROM prs GROUP BY gene), e AS (SELECT format('{{:.1e}}', min(p)) AS k FROM prs WHERE NOT cis GROUP BY gene, floor(pos / 200000)), b AS (SELECT k, CAST(sum(o) AS BIGINT) AS o, CAST(sum(e) AS BIGINT) AS e FROM (SELECT k, 1 AS o, 0 AS e FROM o UNION ALL SELECT k, 0, 1 FROM e) GROUP BY 1),
-    c AS (SELECT k, o, CAST(sum(o) OVER (ORDER BY CAST(k AS DOUBLE), k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n, sum(e) OVER (ORDER BY CAST(k AS DOUBLE), k ROWS UNBOUNDED PRECEDING) AS m FROM b) SELECT k AS pvalue, n, {_r('(m / 10.0 + 1) / (n + 1) AS fdr')} FROM c WHERE o > 0""")
+@query(with_("markers", "genes") + f""", {_HITS}, {_MINIMA}, {_NULL}, l AS (SELECT gene, coalesce(min(p) FILTER (kind = 'cis'), 1.0) AS c, coalesce(min(p) FILTER (kind = 'trans'), 1.0) AS t FROM genes LEFT JOIN minima USING (gene) GROUP BY 1)
+    SELECT k AS pvalue, (SELECT count(*) FROM l WHERE CAST(format('{{:.1e}}', c) AS DOUBLE) <= CAST(k AS DOUBLE)) AS n_cis, (SELECT count(*) FROM l WHERE CAST(format('{{:.1e}}', t) AS DOUBLE) <= CAST(k AS DOUBLE)) AS n_trans, {_r("(10 * g * CASE WHEN k = '1.0e+00' THEN 1.0 ELSE chance END + 1) / (10 * g + 1) AS fdr")} FROM chances, g""")
 def approximate_fdr(spark, sf):
-    p = _cis(spark, sf)
-    bins = enrich.gene_minima(p, 100_000).where("kind = 'bin'")
-    return rounded(enrich.approximate_fdr(p.groupBy("gene").agg(F.min("p").alias("p")), bins, 10))
+    return rounded(enrich.approximate_fdr(enrich.gene_minima(_cis(spark, sf), 100_000), shapes.genes(spark, sf).count()))
 
 
-@query()
+@query(with_("markers", "genes") + f", {_HITS}, {_MINIMA}, {_NULL} SELECT k AS pvalue, {_r('chance')} FROM chances WHERE k IN (SELECT format('{{:.1e}}', p) FROM minima WHERE kind = 'bin')")
 def resampled_null(spark, sf):
-    return enrich.resample_minima(enrich.gene_minima(_cis(spark, sf), 100_000).where("kind = 'bin'"), 1000)
+    """How likely a resampled minimum over all bins is at or below each value."""
+    return rounded(enrich.null_minima(enrich.gene_minima(_cis(spark, sf), 100_000).where("kind = 'bin'"), shapes.genes(spark, sf).count()))
 
 
 # ---------------------------------------------------------------- annotation
