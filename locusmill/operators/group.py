@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import special as sp
-from .mixed import mixed_scan
+from ..session import written
+from .matrixfree import Kinship, Model, Projected, Whitening, top_eigen
+from .mixed import Rotation, mixed_scan
 from .qc import running_counts
-from .single import irls, rank_sum, run_test
+from .single import fit_logistic, rank_sum, residualise, run_test
 
 
 def collapse(calls: DataFrame, group: str = "grp", sample: str = "sample", min_dosage: float = 0.0) -> DataFrame:
@@ -66,75 +70,93 @@ def best_threshold(scan: DataFrame, group: str = "grp") -> DataFrame:
     return scan.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k").withColumn("stat", F.col("r2") * F.col("ns"))
 
 
-def mixed_burden(collapsed: DataFrame, order: dict, rotation, y: np.ndarray, group: str = "grp") -> DataFrame:
-    """Collapsing test under a mixed model: carriers against y on the whitened scale, by group.
+def mixed_burden(collapsed: DataFrame, order: dict, rotation: Rotation, y: np.ndarray, group: str = "grp") -> DataFrame:
+    """Collapsing test under a dense mixed model: carriers against y on the whitened scale, by group.
 
     order gives each sample's row in the rotation and in y; samples of a group without a row
-    of calls carry nothing. Groups that nobody or everybody carries have no result.
+    of calls carry nothing. Groups that nobody or everybody carries have no result. For more
+    samples than a Rotation takes, matrixfree.mixed_scan() does the same.
     """
-    n = len(order)
-    place = F.create_map(*[x for k, i in order.items() for x in (F.lit(k), F.lit(i))]) if n <= 1000 else None
-    rows = collapsed.where("carrier = 1")
-    if place is None:
-        spots = collapsed.sparkSession.createDataFrame(list(order.items()), ["sample", "i"])
-        rows = rows.join(spots, "sample")
-    else:
-        rows = rows.withColumn("i", F.element_at(place, F.col("sample")))
-    x = rows.groupBy(group).agg(F.collect_set(F.col("i").cast("int")).alias("c")).where((F.size("c") > 0) & (F.size("c") < n))
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    x = x.select(group, F.size("c").alias("carriers"), every.alias("idx"), F.transform(every, lambda i: F.array_contains("c", i).cast("double")).alias("g"))
-    return mixed_scan(x, rotation, y, [group, "carriers"])
+    spots = collapsed.sparkSession.createDataFrame(list(order.items()), ["sample", "i"])
+    x = collapsed.where("carrier = 1").join(spots, "sample").groupBy(group).agg(F.collect_set(F.col("i").cast("int")).alias("idx"))
+    x = x.withColumn("carriers", F.size("idx")).where((F.col("carriers") > 0) & (F.col("carriers") < len(order)))
+    return mixed_scan(x.withColumn("g", F.transform("idx", lambda i: F.lit(1.0))), rotation, y, [group, "carriers"], missing_as_mean=False)
 
 
-def threshold_test(collapsed: DataFrame, y: str = "y", group: str = "grp", least: int = 100, most: int = 10_000_000, seed: int = 1, rotation=None, order: dict | None = None) -> DataFrame:
-    """Permutation p of the best threshold: permutations grow tenfold while rank * 10 <= least; p = (rank + 1) / (n + 1).
+#: Permutations that share a seed: what a block of work is made of.
+SEEDED = 100
 
-    Seeded by the group's name, so results don't depend on partitioning. A group's samples are one array.
-    With a rotation (and order, each sample's row in it), carriers and y are whitened first and
-    the whitened y is permuted.
-    """
-    shared = collapsed.sparkSession.sparkContext.broadcast((rotation, order))
-    x = collapsed.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("sample", y, "min_mac"))).alias("s"))
 
-    def stat(c, v):  # c: thresholds x samples, centred and scaled; v: samples x permutations
-        return ((c @ v) ** 2).max(0)
+def threshold_test(collapsed: DataFrame, y: str = "y", group: str = "grp", least: int = 100, most: int = 10_000_000, seed: int = 1, rotation: Whitening | Rotation | None = None, order: dict | None = None, blocks: int = 256) -> DataFrame:
+    """group, ns, r2, pvalue, permutations: permutation p of the best threshold, p = (rank + 1) / (permutations + 1).
+
+    Every round has tenfold permutations and takes only the groups whose rank * 10 <= least. Its
+    rows are (group, block of seeds), at most blocks a group, whose counts are summed: a single
+    group spreads over all cores. The hundred permutations of a seed depend on the group's name
+    and the seed's number alone, so counts are the same for any number of partitions and
+    blocks. With a rotation (and order, each sample's row in it; else sample is its
+    row), carriers and y are whitened first, and the whitened y is permuted. Groups without a threshold that tells samples apart have no p.
+    """
+    spark = collapsed.sparkSession
+    shared = spark.sparkContext.broadcast((rotation, order))  # narrow: samples x some dozen columns, or a Rotation, whose size is checked
+    name = f"{group} {collapsed.schema[group].dataType.simpleString()}"
+    base = written(collapsed.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("sample", y, "min_mac"))).alias("s")), "thresholds")
 
     def run(batches):
         for part in batches:
             out = []
-            for name, s in zip(part[group], part["s"]):
+            for key, s, first, last in zip(part[group], part["s"], part["first"], part["last"]):
                 v = np.array([r[y] for r in s], float)
                 m = np.array([np.inf if r["min_mac"] is None else r["min_mac"] for r in s], float)
                 t = np.unique(m[np.isfinite(m)])
-                c = (m[None, :] <= t[:, None]).astype(float)
-                rotation, order = shared.value
-                if rotation is not None:
-                    at = [order[r["sample"]] for r in s]
-                    full, values = np.zeros((len(order), len(t))), np.zeros(len(order))
+                c = (m[None, :] <= t[:, None]).astype(float)  # thresholds x samples
+                w, rows = shared.value
+                if w is not None:
+                    full, values = np.zeros((w.samples, len(t))), np.zeros(w.samples)
+                    at = [r["sample"] if rows is None else rows[r["sample"]] for r in s]
                     full[at], values[at] = c.T, v
-                    c, v = rotation.rotate(full).T, rotation.rotate(values)
+                    c, v = w.rotate(full).T, w.rotate(values)
                 c -= c.mean(1, keepdims=True)
                 norm = np.sqrt((c * c).sum(1))
                 c, v = c[norm > 1e-9] / norm[norm > 1e-9, None], v - v.mean()
                 if not len(c) or v.std() == 0:
-                    out.append((len(s), None, None, 0))
+                    out.append((len(s), None, 0))
                     continue
                 v /= np.sqrt(v @ v)
-                have, rank, n = stat(c, v[:, None])[0], 0, 0
-                rng = np.random.default_rng([seed, *str(name).encode()])
-                todo = least
-                while True:
-                    for start in range(n, todo, 500):
-                        k = min(500, todo - start)
-                        rank += int((stat(c, rng.permuted(np.tile(v, (k, 1)), axis=1).T) >= have - 1e-12).sum())
-                    n = todo
-                    if n >= most or rank * 10 > least:
-                        break
-                    todo = min(n * 10, most)
-                out.append((len(s), float(have), (rank + 1) / (n + 1), n))
-            yield pd.concat([part[[group]].reset_index(drop=True), pd.DataFrame(out, columns=["ns", "r2", "pvalue", "permutations"])], axis=1)
-
-    return x.mapInPandas(run, f"{group} {collapsed.schema[group].dataType.simpleString()}, ns long, r2 double, pvalue double, permutations long")
+                have, rank = float(((c @ v) ** 2).max()), 0
+                for k in range(first, last):
+                    rng = np.random.default_rng([seed, k, *str(key).encode()])
+                    rank += int((((c @ rng.permuted(np.tile(v, (SEEDED, 1)), axis=1).T) ** 2).max(0) >= have - 1e-12).sum())
+                out.append((len(s), have, rank))
+            yield pd.concat([part[[group]].reset_index(drop=True), pd.DataFrame(out, columns=["ns", "r2", "rank"])], axis=1)
+
+    def counted(of: DataFrame, first: int, last: int) -> DataFrame:
+        """Ranks among the permutations of the seeds from first on."""
+        some = min(blocks, last - first)
+        cuts = [first + (last - first) * i // some for i in range(some + 1)]
+        rows = of.select(group, "s", F.explode(F.array(*[F.struct(F.lit(x).alias("first"), F.lit(z).alias("last")) for x, z in zip(cuts[:-1], cuts[1:])])).alias("x")).select(group, "s", "x.first", "x.last")
+        if some > 1:
+            rows = rows.repartition(group, "first")
+        got = rows.mapInPandas(run, f"{name}, ns long, r2 double, rank long")
+        return got.groupBy(group).agg(F.first("ns").alias("ns"), F.first("r2").alias("r2"), F.sum("rank").alias("rank"))
+
+    n = max(1, least // SEEDED)
+    state, decided = written(counted(base, 0, n).withColumn("permutations", F.lit(n * SEEDED)), "ranks"), []
+    while True:
+        more = F.col("r2").isNotNull() & (F.col("rank") * 10 <= least) & F.lit(n * SEEDED < most)
+        decided.append(state.where(~more))
+        undecided = state.where(more)
+        if not undecided.limit(1).count():
+            break
+        last = min(n * 10, most // SEEDED)
+        new = counted(base.join(undecided.select(group), group, "left_semi"), n, last).select(group, F.col("rank").alias("new"))
+        state = written(undecided.join(new, group).select(group, "ns", "r2", (F.col("rank") + F.col("new")).alias("rank"), F.lit(last * SEEDED).alias("permutations")), "ranks")
+        n = last
+    out = decided[0]
+    for d in decided[1:]:
+        out = out.unionByName(d)
+    p = F.when(F.col("r2").isNotNull(), (F.col("rank") + 1) / (F.col("permutations") + 1.0))
+    return out.select(group, "ns", "r2", p.alias("pvalue"), F.when(F.col("r2").isNotNull(), F.col("permutations")).otherwise(0).cast("long").alias("permutations"))
 
 
 def kernel_statistic(calls: DataFrame, resid: str = "resid", group: str = "grp", marker: str = "marker", beta: tuple[float, float] = (1.0, 25.0)) -> DataFrame:
@@ -146,54 +168,169 @@ def kernel_statistic(calls: DataFrame, resid: str = "resid", group: str = "grp",
     return m.groupBy(group).agg(F.count("*").alias("n_vars"), F.sum(F.pow(w * F.col("u"), 2)).alias("q"), F.sum(w * F.col("u")).alias("burden"))
 
 
-def kernel_test(calls: DataFrame, samples: DataFrame, y: str = "y", xs: tuple[str, ...] = (), binary: bool = False, group: str = "grp", optimal: bool = False, beta: tuple[float, float] = (1.0, 25.0), rotation=None, most_cells: int = 50_000_000) -> DataFrame:
-    """SKAT (or SKAT-O with optimal): group, ns, n_vars, q, pvalue, rho.
+@dataclass
+class Projection:
+    """What the kernel test needs of a null model: score residuals and the matrix P = diag(d) - sum of s_j b_j b_j'.
 
-    Missing calls count as 0. One group's markers x samples is a dense matrix in a task (checked
-    against most_cells). rotation, from mixed.Rotation, whitens y and genotypes (mmSKAT).
+    samples: sample, r (so that a marker's score is the sum of g r), d and b (array); signs: s_j. ns: samples.
     """
-    cols = ["sample", y, *xs]
-    s = samples.select(*[F.col(c).cast("double").alias(c) if c != "sample" else F.col(c) for c in cols]).dropna()
-    frame = calls.where("g is not null and g <> 0").join(s.select("sample"), "sample").select(group, "marker", "sample", F.col("g").cast("double").alias("g"), F.col("maf").cast("double").alias("maf"))
+
+    samples: DataFrame
+    signs: list[float]
+    ns: int
+
+
+def null_model(samples: DataFrame, y: str = "y", xs: tuple[str, ...] = (), binary: bool = False) -> Projection:
+    """Least squares or, with binary, logistic regression of y on xs; every fit is aggregates over samples."""
+    s = samples.select("sample", *[F.col(c).cast("double").alias(c) for c in (y, *xs)]).dropna()
+    cols = [F.lit(1.0), *[F.col(c) for c in xs]]
     n = s.count()
-    table = s.orderBy("sample").toPandas() if n <= 200_000 else None
-    if table is None:
-        raise ValueError("more than 200,000 samples: the kernel test needs them in each task")
-    spark = calls.sparkSession
-    order = {k: i for i, k in enumerate(table["sample"])}
-    yv = table[y].to_numpy(float)
-    x = np.column_stack([np.ones(n), *[table[c].to_numpy(float) for c in xs]])
-    if rotation is not None:
-        yv, x = rotation.rotate(yv), rotation.rotate(x)
     if binary:
-        mu = 1 / (1 + np.exp(-x @ irls(x, yv)[0]))
-        v, r = mu * (1 - mu), yv - mu
+        beta, _ = fit_logistic(s, y, list(xs))
+        mu = 1 / (1 + F.exp(-sum((F.lit(float(b)) * c for b, c in zip(beta, cols)), F.lit(0.0))))
+        s = s.withColumns({"r": F.col(y) - mu, "d": mu * (1 - mu)})
+    else:
+        s = residualise(s, y, list(xs), "_e")
+        v = s.agg(F.sum(F.col("_e") * F.col("_e"))).first()[0] / (n - len(cols))
+        s = s.withColumns({"r": F.col("_e") / F.lit(v), "d": F.lit(1 / v)})
+    # b: the covariates times d, orthonormal in the metric of 1 / d
+    k = len(cols)
+    gram = np.array([float(x) for x in s.agg(*[F.sum(F.col("d") * cols[i] * cols[j]) for i in range(k) for j in range(k)]).first()]).reshape(k, k)
+    values, vectors = np.linalg.eigh(gram)
+    turn = (vectors / np.sqrt(np.maximum(values, 1e-300)))[:, values > 1e-10 * values.max()]
+    b = [F.col("d") * sum((F.lit(float(turn[i, j])) * cols[i] for i in range(k)), F.lit(0.0)) for j in range(turn.shape[1])]
+    return Projection(s.select("sample", "r", "d", F.array(*b).alias("b")), [1.0] * turn.shape[1], n)
+
+
+def mixed_null_model(model: Model, trait: int, spark: SparkSession) -> Projection:
+    """The same of a fitted mixed model: exact on covariates and leading eigenvectors, the model's rest elsewhere."""
+    rest, delta, n = float(model.rest[trait]), model.delta[trait], model.op.kinship.n
+    lead = rest - 1 / (model.values + delta)
+    b = np.column_stack([model.op.u * np.sqrt(rest), model.vectors * np.sqrt(np.abs(lead))])
+    scale = (n - model.op.u.shape[1]) / model.yy[trait]  # of one unit of the genetic variance
+    table = pd.DataFrame({"sample": np.arange(n), "r": model.px[:, trait] * scale, "d": rest * scale, "b": (b * np.sqrt(scale)).tolist()})
+    return Projection(spark.createDataFrame(table, "sample long, r double, d double, b array<double>"), [1.0] * model.op.u.shape[1] + np.sign(lead).tolist(), n)
+
+
+def kernel_tiles(calls: DataFrame, null: Projection, group: str, marker: str, weight: Column, tile: int = 512, block: int = 32_768) -> tuple[DataFrame, DataFrame]:
+    """(scores, tiles) of the weighted markers of each group.
+
+    scores: group, marker, k (its place in the group), m (markers of the group), u, b (array). tiles: group, m, ta, tb
+    (ta >= tb), v: the sum over samples of d z z' for a tile of markers with another. A task holds
+    the calls of two tiles for one block of samples; blocks are summed by key.
+    """
+    x = calls.where("g is not null and g <> 0").join(null.samples, "sample").withColumn("z", F.col("g").cast("double") * weight)
+    wide = len(null.signs)
+    s = x.groupBy(group, marker).agg(F.sum(F.col("z") * F.col("r")).alias("u"), *[F.sum(F.col("z") * F.col("b")[j]).alias(f"b{j}") for j in range(wide)])
+    own = Window.partitionBy(group)  # a row for each marker of the group
+    s = s.select(group, marker, "u", F.array(*[F.col(f"b{j}") for j in range(wide)]).cast("array<double>").alias("b"), (F.row_number().over(own.orderBy(marker)) - 1).alias("k"), F.count("*").over(own).alias("m"))
+    scores = written(s, "kernelscores")
+    z = x.select(group, marker, F.pmod(F.xxhash64("sample"), F.lit(-(-null.ns // block))).alias("block"), "sample", (F.col("z") * F.sqrt("d")).alias("z")).join(scores.select(group, marker, "k", "m"), [group, marker])
+    mine = F.floor(F.col("k") / tile).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / tile).cast("int")), lambda t: F.struct(F.greatest(t, mine).alias("ta"), F.least(t, mine).alias("tb")))
+    z = z.select(group, "m", "block", "sample", "k", "z", F.explode(pairs).alias("p")).select(group, "m", "block", "sample", "k", "z", "p.ta", "p.tb")
+
+    def product(part: pd.DataFrame) -> pd.DataFrame:
+        ta, tb, m = int(part["ta"].iloc[0]), int(part["tb"].iloc[0]), int(part["m"].iloc[0])
+        row, k, v = np.unique(part["sample"], return_inverse=True)[1], part["k"].to_numpy(), part["z"].to_numpy()
+        out = np.zeros((min(tile, m - ta * tile), min(tile, m - tb * tile)))
+        order = np.argsort(row, kind="stable")
+        row, k, v = row[order], k[order], v[order]
+        for start in range(0, int(row[-1]) + 1, 4096):  # few samples at a time are dense
+            here = slice(*np.searchsorted(row, [start, start + 4096]))
+            sides = []
+            for t, size in ((ta, out.shape[0]), (tb, out.shape[1])):
+                some = k[here] // tile == t
+                d = np.zeros((4096, size))
+                d[row[here][some] - start, k[here][some] - t * tile] = v[here][some]
+                sides.append(d)
+            out += sides[0].T @ sides[1]
+        return part[[group, "m", "ta", "tb"]].iloc[:1].assign(v=[out.tobytes()])
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        return part[[group, "m", "ta", "tb"]].iloc[:1].assign(v=[np.sum([np.frombuffer(x) for x in part["v"]], axis=0).tobytes()])
+
+    schema = f"{group} {calls.schema[group].dataType.simpleString()}, m long, ta int, tb int, v binary"
+    return scores, z.groupBy(group, "ta", "tb", "block").applyInPandas(product, schema).groupBy(group, "ta", "tb").applyInPandas(add, schema)
+
+
+def kernel_test(calls: DataFrame, null: Projection, group: str = "grp", marker: str = "marker", optimal: bool = False, beta: tuple[float, float] | None = (1.0, 25.0), weight: str | None = None, tile: int = 512, dense: int = 4096, leading: int = 64) -> DataFrame:
+    """SKAT (or SKAT-O with optimal): group, ns, n_vars, q, pvalue, rho.
+
+    calls: group, marker, sample, g (missing ones count as 0), maf. Markers weigh by the beta density at maf, all alike with
+    beta None, or as the column weight says. The covariance of a group's scores is made of tiles
+    (kernel_tiles()). Up to dense markers a group's tiles meet in one task (dense^2 numbers);
+    larger groups keep theirs apart: the leading eigenvalues come by products with tiles, and
+    the rest counts as equal weights of the same sum and sum of squares. The optimal test needs
+    all of them: more than dense markers are an error there.
+    """
+    if weight is not None:
+        w = F.col(weight).cast("double")
+    elif beta is None:
+        w = F.lit(1.0)
     else:
-        r = yv - x @ np.linalg.lstsq(x, yv, rcond=None)[0]
-        v = np.full(len(yv), r @ r / (len(yv) - x.shape[1]))
-        r, v = r / v, 1 / v
-    shared = spark.sparkContext.broadcast((order, r, v, x, rotation))
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        order, r, v, x, rotation = shared.value
-        names, col = np.unique(part["marker"], return_inverse=True)
-        if len(names) * len(order) > most_cells:
-            raise ValueError(f"group {key[0]} has more than {most_cells} cells")
-        g = np.zeros((len(order), len(names)))
-        g[[order[k] for k in part["sample"]], col] = part["g"]
-        maf = part.groupby("marker")["maf"].first().to_numpy()
         a, b = beta
-        w = np.exp(sp.lgamma(a + b) - sp.lgamma(a) - sp.lgamma(b)) * maf ** (a - 1) * (1 - maf) ** (b - 1)
-        if rotation is not None:
-            g = rotation.rotate(g)
-        z = g * w
-        u = z.T @ r
-        vz = z * v[:, None]
-        k = z.T @ vz - (vz.T @ x) @ np.linalg.pinv(x.T @ (x * v[:, None])) @ (x.T @ vz)
-        p, rho = skat_p(u, k, optimal)
-        return pd.DataFrame({group: [key[0]], "ns": [len(order)], "n_vars": [len(names)], "q": [float(u @ u)], "pvalue": [p], "rho": [rho]})
-
-    return frame.groupBy(group).applyInPandas(run, f"{group} {calls.schema[group].dataType.simpleString()}, ns long, n_vars long, q double, pvalue double, rho double")
+        w = F.lit(float(np.exp(sp.lgamma(a + b) - sp.lgamma(a) - sp.lgamma(b)))) * F.pow(F.col("maf"), a - 1) * F.pow(1 - F.col("maf"), b - 1)
+    scores, tiles = kernel_tiles(calls, null, group, marker, w, tile)
+    signs, ns = np.array(null.signs), null.ns
+    kind = calls.schema[group].dataType.simpleString()
+    out_schema = f"{group} {kind}, ns long, n_vars long, q double, pvalue double, rho double"
+    low = scores.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("k", "u", "b"))).alias("s"))
+
+    def one(key: tuple, part: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        s = of["s"].iloc[0]
+        m = len(s)
+        k, u, b = np.zeros((m, m)), np.array([r["u"] for r in s]), np.array([r["b"] for r in s]).reshape(m, -1)
+        for ta, tb, v in zip(part["ta"], part["tb"], part["v"]):
+            ra, rb = slice(ta * tile, min((ta + 1) * tile, m)), slice(tb * tile, min((tb + 1) * tile, m))
+            k[ra, rb] = np.frombuffer(v).reshape(ra.stop - ra.start, rb.stop - rb.start)
+            k[rb, ra] = k[ra, rb].T
+        k -= (b * signs) @ b.T
+        p, rho = skat_p(u, (k + k.T) / 2, optimal)
+        return pd.DataFrame({group: [key[0]], "ns": [ns], "n_vars": [m], "q": [float(u @ u)], "pvalue": [p], "rho": [rho]})
+
+    large = [r[0] for r in scores.where(F.col("m") > dense).select(group).distinct().collect()]  # groups of thousands of markers
+    if not large:
+        return tiles.groupBy(group).cogroup(low.groupBy(group)).applyInPandas(one, out_schema)
+    if optimal:
+        raise ValueError(f"groups of more than {dense} markers: {large[:3]}")
+    tiles = written(tiles, "kerneltiles")
+    small = tiles.where(~F.col(group).isin(large)).groupBy(group).cogroup(low.where(~F.col(group).isin(large)).groupBy(group)).applyInPandas(one, out_schema)
+    spark, rows = calls.sparkSession, []
+    for name in large:
+        s = scores.where(F.col(group) == name).orderBy("k").select("u", "b").collect()  # two numbers and a few more a marker
+        u, b = np.array([r.u for r in s]), np.array([r.b for r in s]).reshape(len(s), -1)
+        own = tiles.where(F.col(group) == name).select((F.col("ta") * tile).alias("a"), (F.col("tb") * tile).alias("b"), F.lit(1.0).alias("w"), "v")
+        rows.append((name, ns, len(u), float(u @ u), _large_p(own, u, b * np.sqrt(np.abs(signs)), np.sign(signs), tile, leading), 0.0))
+    return small.unionByName(spark.createDataFrame(rows, out_schema))
+
+
+def _large_p(tiles: DataFrame, u: np.ndarray, b: np.ndarray, signs: np.ndarray, tile: int, leading: int) -> float:
+    """The kernel test's p from tiles of the scores' covariance (before b is taken off) of one group."""
+    m = len(u)
+
+    def wide(batches):
+        for part in batches:
+            yield part[["a", "b", "w"]].assign(k=[np.frombuffer(v).tolist() for v in part["v"]])
+
+    class Covariance(Kinship):
+        def times(self, panel: np.ndarray) -> np.ndarray:
+            return Kinship.times(self, panel) - b @ (signs[:, None] * (b.T @ panel))
+
+    k = Covariance(tiles.mapInPandas(wide, "a int, b int, w double, k array<double>"), m, tile)
+
+    def sums(batches):
+        for part in batches:
+            first, second = [], []
+            for a, c, v in zip(part["a"], part["b"], part["v"]):
+                t = np.frombuffer(v).reshape(min(tile, m - a), -1) - (b[a : a + tile] * signs) @ b[c : c + tile].T
+                first.append(float(np.trace(t)) if a == c else 0.0)
+                second.append(float((t * t).sum()) * (1 if a == c else 2))
+            yield pd.DataFrame({"first": first, "second": second})
+
+    one, two = tiles.mapInPandas(sums, "first double, second double").agg(F.sum("first"), F.sum("second")).first()
+    values, _ = top_eigen(Projected(k, np.zeros((m, 1))), leading, tolerance=1e-6)
+    return sp.mixture_sf(float(u @ u), *sp.with_rest(values, one, two))
 
 
 #: Shares of the burden statistic that the optimal test tries.

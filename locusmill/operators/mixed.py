@@ -16,7 +16,21 @@ MOST_SAMPLES = 20_000
 
 
 def kinship(variants: DataFrame, n: int, method: str = "bn", tile: int = 512) -> DataFrame:
-    """(i, j, k, w) with i >= j: the raw sum of products of standardised dosages and the markers' weight.
+    """(i, j, k, w) with i >= j: the raw sum of products of standardised dosages and the markers' weight, from kinship_tiles()."""
+
+    def flat(batches):
+        for part in batches:
+            for a, b, w, k in zip(part["a"], part["b"], part["w"], part["k"]):
+                k = np.asarray(k).reshape(min(tile, n - a), -1)
+                i, j = np.meshgrid(a + np.arange(k.shape[0]), b + np.arange(k.shape[1]), indexing="ij")
+                keep = i >= j
+                yield pd.DataFrame({"i": i[keep], "j": j[keep], "k": k[keep], "w": w})
+
+    return kinship_tiles(variants, n, method, tile).mapInPandas(flat, "i long, j long, k double, w double")
+
+
+def kinship_tiles(variants: DataFrame, n: int, method: str = "bn", tile: int = 512) -> DataFrame:
+    """(a, b, w, k) with a >= b: of each tile of samples (first row, first column) the raw sums, row by row, and the markers' weight.
 
     variants has idx (sample positions) and g of each marker's calls. A task takes the rows of a
     tile of samples (tile x n numbers) over its share of the markers, a few hundred at a time;
@@ -64,16 +78,13 @@ def kinship(variants: DataFrame, n: int, method: str = "bn", tile: int = 512) ->
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         a, b = int(part["a"].iloc[0]), int(part["b"].iloc[0])
-        k = np.sum([np.asarray(x) for x in part["k"]], axis=0).reshape(min(tile, n - a), -1)
-        i, j = np.meshgrid(a + np.arange(k.shape[0]), b + np.arange(k.shape[1]), indexing="ij")
-        keep = i >= j
-        return pd.DataFrame({"i": i[keep], "j": j[keep], "k": k[keep], "w": part["w"].sum()})
+        return pd.DataFrame({"a": [a], "b": [b], "w": [float(part["w"].sum())], "k": [np.sum([np.asarray(x) for x in part["k"]], axis=0)]})
 
     every = variants.select("idx", "g", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"))
     if rows > 1:
         every = every.withColumn("share", F.pmod(F.xxhash64("idx", "g"), F.lit(16))).repartition("row", "share").sortWithinPartitions("row").drop("share")
     tiles = every.mapInPandas(run, "a int, b int, w double, k array<double>")
-    return tiles.groupBy("a", "b").applyInPandas(add, "i long, j long, k double, w double")
+    return tiles.groupBy("a", "b").applyInPandas(add, "a int, b int, w double, k array<double>")
 
 
 def merge_kinship(*parts: DataFrame, raw: bool = False, correlation: bool = False) -> DataFrame:
@@ -135,6 +146,10 @@ class Rotation:
     llk0: float = 0.0
     llk1: float = 0.0
 
+    @property
+    def samples(self) -> int:
+        return self.vectors.shape[0]
+
     def rotate(self, x: np.ndarray) -> np.ndarray:
         t = self.vectors.T @ x
         d = 1 / np.sqrt(self.values + self.delta)
@@ -152,36 +167,41 @@ def restricted_eigen(k: np.ndarray, x: np.ndarray) -> Rotation:
     return Rotation(w[p:] - 1, v[:, p:], float(np.trace(m)))
 
 
-def reml(rot: Rotation, y: np.ndarray, edge: bool = False) -> Rotation:
-    """Fits the variance ratio: a grid of log10(delta) in [-5, 5], the derivative's roots by bisection, the best likelihood.
+def likelihood_fit(y_nodes: np.ndarray, y_weights: np.ndarray, nodes: np.ndarray, weights: np.ndarray, c: int, trace: float, edge: bool = False) -> dict:
+    """The variance ratio of largest restricted likelihood: delta, v_g, v_e, llk0, llk1, h2.
 
-    edge keeps the grid point below each root instead.
+    Squares of the rotated trait are y_weights at y_nodes, eigenvalues are nodes with weights
+    (counts). A grid of log10(delta) in [-5, 5], the derivative's roots by bisection; edge keeps
+    the grid point below each root instead.
     """
-    e2 = (rot.vectors.T @ y) ** 2
-    c = len(e2)
 
     def ll(ld):
-        d = rot.values + 10.0**ld
-        return 0.5 * (c * (np.log(c / (2 * np.pi)) - 1 - np.log(np.sum(e2 / d))) - np.sum(np.log(d)))
+        return 0.5 * (c * (np.log(c / (2 * np.pi)) - 1 - np.log(np.sum(y_weights / (y_nodes + 10.0**ld)))) - np.sum(weights * np.log(nodes + 10.0**ld)))
 
     def slope(ld):
-        d = rot.values + 10.0**ld
-        return c * np.sum(e2 / d**2) / np.sum(e2 / d) - np.sum(1 / d)
+        d = y_nodes + 10.0**ld
+        return c * np.sum(y_weights / d**2) / np.sum(y_weights / d) - np.sum(weights / (nodes + 10.0**ld))
 
     grid = np.linspace(-5, 5, 101)
-    f = [slope(g) for g in grid]
-    best = (ll(5.0), 5.0)
-    for a, b, fa, fb in zip(grid[:-1], grid[1:], f[:-1], f[1:]):
-        if fa > 0 >= fb:
-            lo, hi = a, b
-            while not edge and hi - lo > 1e-7:
-                mid = (lo + hi) / 2
-                lo, hi = (mid, hi) if slope(mid) > 0 else (lo, mid)
-            best = max(best, (ll(lo), lo))
+    with np.errstate(invalid="ignore"):
+        f = [slope(g) for g in grid]
+        best = (ll(5.0), 5.0)
+        for a, b, fa, fb in zip(grid[:-1], grid[1:], f[:-1], f[1:]):
+            if fa > 0 >= fb:
+                lo, hi = a, b
+                while not edge and hi - lo > 1e-7:
+                    mid = (lo + hi) / 2
+                    lo, hi = (mid, hi) if slope(mid) > 0 else (lo, mid)
+                best = max(best, (ll(lo), lo))
     delta = 10.0 ** best[1]
-    vg = float(np.sum(e2 / (rot.values + delta)) / c)
-    h2 = rot.trace / (c * delta + rot.trace)
-    return Rotation(rot.values, rot.vectors, rot.trace, float(delta), vg, vg * delta, float(h2), float(ll(5.0)), float(best[0]))
+    vg = float(np.sum(y_weights / (y_nodes + delta)) / c)
+    return {"delta": float(delta), "v_g": vg, "v_e": vg * float(delta), "llk0": float(ll(5.0)), "llk1": float(best[0]), "h2": float(trace / (c * delta + trace))}
+
+
+def reml(rot: Rotation, y: np.ndarray, edge: bool = False) -> Rotation:
+    """The decomposition with the variance ratio of y, see likelihood_fit()."""
+    r = likelihood_fit(rot.values, (rot.vectors.T @ y) ** 2, rot.values, np.ones(len(rot.values)), len(rot.values), rot.trace, edge)
+    return Rotation(rot.values, rot.vectors, rot.trace, r["delta"], r["v_g"], r["v_e"], r["h2"], r["llk0"], r["llk1"])
 
 
 def reml_traits(rot: Rotation, y: np.ndarray, edge: bool = False) -> list[Rotation]:
@@ -189,12 +209,12 @@ def reml_traits(rot: Rotation, y: np.ndarray, edge: bool = False) -> list[Rotati
     return [reml(rot, y[:, k], edge) for k in range(y.shape[1])]
 
 
-def mixed_scan(variants: DataFrame, rot: Rotation | list[Rotation], y: np.ndarray, by: list[str]) -> DataFrame:
+def mixed_scan(variants: DataFrame, rot: Rotation | list[Rotation], y: np.ndarray, by: list[str], missing_as_mean: bool = True) -> DataFrame:
     """Association on the whitened scale: by, ns, stat, pvalue, beta, sebeta, r2 (q.mixed).
 
     y may have several columns (traits); rot then has the fit of each trait, and markers are
     whitened with each trait's own variance ratio. variants has idx and g of each marker's
-    calls; missing ones have the mean. Markers go through in batches as one matrix product.
+    calls; missing ones have the mean (else 0). Markers go through in batches as one matrix product.
     """
     several = y.ndim == 2
     rots = list(rot) if isinstance(rot, list) else [rot]
@@ -210,7 +230,7 @@ def mixed_scan(variants: DataFrame, rot: Rotation | list[Rotation], y: np.ndarra
             g = np.empty((len(part), n))
             for r, (idx, v) in enumerate(zip(part["idx"], part["g"])):
                 v = np.asarray(v, float)
-                g[r] = v.mean() if len(v) else 0
+                g[r] = v.mean() if len(v) and missing_as_mean else 0
                 g[r, np.asarray(idx, int)] = v
             turned, head = vectors.T @ g.T, part[by].reset_index(drop=True)
             for k, (scale, ty) in enumerate(zip(scales, tys)):
@@ -223,7 +243,7 @@ def mixed_scan(variants: DataFrame, rot: Rotation | list[Rotation], y: np.ndarra
                     se = np.sqrt(np.maximum(syy / sxx * (1 - r2), 1e-300) / (c - 1))
                     t = np.where(sxx > 1e-9, beta / se, np.nan)
                 extra = {"trait": k} if several else {}
-                yield head.assign(**extra, ns=[len(x) for x in part["g"]], stat=t, pvalue=sp.t_two_sided(t, c - 1), beta=beta, sebeta=se, r2=r2)
+                yield head.assign(**extra, ns=[len(x) if missing_as_mean else n for x in part["g"]], stat=t, pvalue=sp.t_two_sided(t, c - 1), beta=beta, sebeta=se, r2=r2)
 
     keys = ", ".join(f"{c} {variants.schema[c].dataType.simpleString()}" for c in by)
     return variants.select(*by, "idx", "g").mapInPandas(run, f"{keys}, {'trait int, ' if several else ''}ns long, stat double, pvalue double, beta double, sebeta double, r2 double")
@@ -235,3 +255,26 @@ def simulate(k: np.ndarray, h2: float, count: int = 1, binary: bool = False, see
     w, v = np.linalg.eigh(k)
     out = np.sqrt(h2) * (v * np.sqrt(np.maximum(w, 0))) @ rng.standard_normal((len(k), count)) + np.sqrt(1 - h2) * rng.standard_normal((len(k), count))
     return (out > np.median(out, 0)).astype(float) if binary else out
+
+
+def simulated_trait(calls: DataFrame, samples: DataFrame, h2: float, seed: int = 1, binary: bool = False, marker: str = "marker", sample: str = "sample") -> DataFrame:
+    """sample, y: a trait of heritability h2 under the kinship of calls, halved at its median with binary.
+
+    Each marker has a normal effect by a hash of its name, each sample a normal rest by one of its own; the sum of
+    standardised dosages times effects has the kinship as its covariance, so no decomposition is needed.
+    """
+
+    def normal(*key):
+        u = [(F.pmod(F.xxhash64(*key, F.lit(f"{seed}:{k}")), F.lit(1 << 40)) + 0.5) / float(1 << 40) for k in range(2)]
+        return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * np.pi * u[1])
+
+    called = calls.where("g is not null")
+    m = called.groupBy(marker).agg((F.avg("g") / 2).alias("_p")).where("_p > 0 and _p < 1")
+    count = m.count()
+    z = (F.col("g") - 2 * F.col("_p")) / F.sqrt(2 * F.col("_p") * (1 - F.col("_p")))
+    bred = called.join(m, marker).groupBy(sample).agg((F.sum(z * normal(marker)) / float(max(count, 1)) ** 0.5).alias("_a"))
+    y = samples.select(sample).join(bred, sample, "left").withColumn("y", F.coalesce("_a", F.lit(0.0)) * h2**0.5 + normal(sample, F.lit("rest")) * (1 - h2) ** 0.5).select(sample, "y")
+    if not binary:
+        return y
+    half = y.agg(F.percentile("y", F.lit(0.5))).first()[0]
+    return y.withColumn("y", (F.col("y") > F.lit(half)).cast("double"))

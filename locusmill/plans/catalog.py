@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import genotype, rules
-from ..operators import annotate, enrich, group, ld, mixed, qc, ranges, report, single
+from ..operators import annotate, enrich, group, ld, matrixfree, mixed, qc, ranges, report, single
+from ..session import written
 from . import shapes
 from .shapes import with_
 
@@ -325,12 +326,22 @@ def _supplier_groups(spark, sf):
 
 @query()
 def kernel_test(spark, sf):
-    return group.kernel_test(*_supplier_groups(spark, sf), xs=("x1",))
+    c, s = _supplier_groups(spark, sf)
+    return group.kernel_test(c, group.null_model(s, xs=("x1",)))
+
+
+@query()
+def kernel_test_flat_binary(spark, sf):
+    """The kernel test of a binary trait with all markers weighing alike."""
+    c, s = _supplier_groups(spark, sf)
+    s = s.withColumn("case", (F.col("y") > 4500).cast("int"))
+    return group.kernel_test(c, group.null_model(s, "case", ("x1",), binary=True), beta=None)
 
 
 @query()
 def kernel_test_optimal(spark, sf):
-    return group.kernel_test(*_supplier_groups(spark, sf), xs=("x1",), optimal=True)
+    c, s = _supplier_groups(spark, sf)
+    return group.kernel_test(c, group.null_model(s, xs=("x1",)), optimal=True)
 
 
 # ---------------------------------------------------------------- kinship and mixed models
@@ -375,61 +386,62 @@ def kinship_merged(spark, sf):
 _TRAITS = ("s_acctbal", "price")
 
 
-def _mixed_model(spark, sf):
-    """Markers, number of samples, kinship, and two traits (the balance, and the mean price of a supplier's lines) with the fit of each."""
+def _projected(spark, sf):
+    """The kinship's tiles off the covariates, and two traits (the balance, and the mean price of a supplier's lines)."""
     import numpy as np
 
     v, n = _supplier_variants(spark, sf)
     sold = shapes.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.avg("l_extendedprice").alias("price"))
-    s = shapes.table(spark, sf, "supplier").join(sold, "s_suppkey", "left").orderBy("s_suppkey").select("s_nationkey", *_TRAITS).toPandas()  # one row a sample, as the dense model needs
-    k = mixed.to_matrix(mixed.merge_kinship(mixed.kinship(v, n)), n)
-    x = np.column_stack([np.ones(n), s["s_nationkey"].to_numpy(float)])
+    s = shapes.table(spark, sf, "supplier").join(sold, "s_suppkey", "left").orderBy("s_suppkey").select("s_nationkey", *_TRAITS).toPandas()  # three numbers a sample
+    tile = 1024
+    kin = matrixfree.Kinship(written(mixed.kinship_tiles(v, n, tile=tile), "kinship"), n, tile)
     y = np.column_stack([s[c].fillna(s[c].mean()).to_numpy(float) for c in _TRAITS])
-    return v, n, k, y, mixed.reml_traits(mixed.restricted_eigen(k, x), y)
+    return matrixfree.Projected(kin, np.column_stack([np.ones(n), s["s_nationkey"].to_numpy(float)])), y
 
 
 @query()
 def mixed_scan(spark, sf):
-    v, _, _, y, fits = _mixed_model(spark, sf)
-    return mixed.mixed_scan(v, fits[0], y[:, 0], ["marker"])
+    op, y = _projected(spark, sf)
+    return matrixfree.mixed_scan(shapes.supplier_calls(spark, sf), matrixfree.fit(op, y[:, :1]), ["marker"]).drop("trait")
 
 
 @query()
 def mixed_scan_traits(spark, sf):
     """Both traits, each on the scale of its own fit."""
-    v, _, _, y, fits = _mixed_model(spark, sf)
-    return mixed.mixed_scan(v, fits, y, ["marker"])
+    op, y = _projected(spark, sf)
+    return matrixfree.mixed_scan(shapes.supplier_calls(spark, sf), matrixfree.fit(op, y), ["marker"])
 
 
 _REML = "trait string, delta double, v_g double, v_e double, llk0 double, llk1 double, h2 double"
 
 
-def _record(trait: str, r) -> tuple:
-    return trait, r.delta, r.vg, r.ve, r.llk0, r.llk1, r.h2
-
-
 @query()
-def reml_record(spark, sf):
-    return spark.createDataFrame([_record(_TRAITS[0], _mixed_model(spark, sf)[4][0])], _REML)
+def reml_of_traits(spark, sf):
+    """The variance ratio of each trait, from one run of products with the kinship."""
+    op, y = _projected(spark, sf)
+    return spark.createDataFrame([(t, *r.values()) for t, r in zip(_TRAITS, matrixfree.reml(op, y))], _REML)
 
 
 @query()
-def reml_of_traits(spark, sf):
-    """The variance ratio of each trait, from one decomposition."""
-    return spark.createDataFrame([_record(t, r) for t, r in zip(_TRAITS, _mixed_model(spark, sf)[4])], _REML)
+def reml_record(spark, sf):
+    op, y = _projected(spark, sf)
+    return spark.createDataFrame([(_TRAITS[0], *matrixfree.reml(op, y[:, :1])[0].values())], _REML)
 
 
 @query()
 def kinship_components(spark, sf):
-    _, n, k, _, _ = _mixed_model(spark, sf)
-    w, v = mixed.principal_components(k, min(10, n))
-    return spark.createDataFrame([(i, *map(float, v[i, :2])) for i in range(n)], "sample long, pc1 double, pc2 double")
+    """The leading two components of the kinship, covariates not taken off."""
+    import numpy as np
+
+    op, _ = _projected(spark, sf)
+    _, v = matrixfree.top_eigen(matrixfree.Projected(op.kinship, np.zeros((op.kinship.n, 1))), 2)
+    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)], "sample long, pc1 double, pc2 double")
 
 
 @query()
 def mixed_kernel_test(spark, sf):
-    c, s = _supplier_groups(spark, sf)
-    return group.kernel_test(c, s, xs=("x1",), rotation=_mixed_model(spark, sf)[4][0])
+    op, y = _projected(spark, sf)
+    return group.kernel_test(_supplier_groups(spark, sf)[0], group.mixed_null_model(matrixfree.fit(op, y[:, :1], leading=32), 0, spark))
 
 
 def _rare_supplier_groups(spark, sf) -> DataFrame:
@@ -441,23 +453,24 @@ def _rare_supplier_groups(spark, sf) -> DataFrame:
 @query()
 def mixed_group_collapse(spark, sf):
     """Carriers of rare alleles of each group against the balance, under the mixed model."""
-    _, n, _, y, fits = _mixed_model(spark, sf)
-    return group.mixed_burden(_rare_supplier_groups(spark, sf), {i: i for i in range(n)}, fits[0], y[:, 0])
+    op, y = _projected(spark, sf)
+    carriers = _rare_supplier_groups(spark, sf).where("carrier = 1").select("grp", "sample", F.col("carrier").alias("g"))
+    return matrixfree.mixed_scan(carriers, matrixfree.fit(op, y[:, :1]), ["grp"], missing_as_mean=False).drop("trait")
 
 
 @query()
 def mixed_threshold_permutations(spark, sf):
     """Variable thresholds under the mixed model."""
-    _, n, _, _, fits = _mixed_model(spark, sf)
+    op, y = _projected(spark, sf)
     s = shapes.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_acctbal").alias("y"))
-    return group.threshold_test(_rare_supplier_groups(spark, sf).join(s, "sample"), rotation=fits[0], order={i: i for i in range(n)})
+    return group.threshold_test(_rare_supplier_groups(spark, sf).join(s, "sample"), rotation=matrixfree.whitening(matrixfree.fit(op, y[:, :1], leading=32)))
 
 
 @query()
 def simulated_traits(spark, sf):
-    _, n, k, _, _ = _mixed_model(spark, sf)
-    y = mixed.simulate(k, 0.5, 1, binary=True)
-    return spark.createDataFrame([(i, float(y[i, 0])) for i in range(n)], "sample long, status double")
+    """Status of half heritability under the kinship of the suppliers' calls."""
+    s = shapes.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sample"))
+    return mixed.simulated_trait(shapes.supplier_calls(spark, sf), s, 0.5, binary=True).withColumnRenamed("y", "status")
 
 
 # ---------------------------------------------------------------- linkage disequilibrium
