@@ -102,22 +102,41 @@ def indel_class(ref: Column, alt: Column, cds_bases: Column) -> Column:
     return F.when(F.length(alt) > F.length(ref), F.when(size % 3 == 0, "CodonGain").otherwise("Frameshift")).otherwise(F.when(cds_bases % 3 == 0, "CodonLoss").otherwise("Frameshift"))
 
 
-def annotate(variants: DataFrame, genes: DataFrame, flank: int = 50, bin_size: int = 100_000) -> DataFrame:
-    """variants (marker, contig, pos, ref, alt[, codon, codon_alt]) with one row per gene and type: gene, strand, type.
+def annotate(variants: DataFrame, genes: DataFrame, flank: int = 50, bin_size: int = 100_000, bases: DataFrame | None = None) -> DataFrame:
+    """variants (marker, contig, pos, ref, alt) with one row per transcript and type: vtype, gene, transcript, strand, n_exons, type, detail.
 
     Candidates by range join of gene spans widened by flank; the classes are expressions over
-    the exon arrays. Codon columns, where given (see with_codons), refine coding changes.
-    Variants near no gene are Intergenic, monomorphic ones Monomorphic.
+    the exon arrays. Codons refine coding changes, each for its own gene and strand: they are
+    found from bases (contig, pos, base of the reference), or are columns already, of a variant
+    (codon, codon_alt) or of a variant and gene (the rows of with_codons()). detail names the
+    codons and amino acids. genes may name its transcript. Variants near no gene are
+    Intergenic, monomorphic ones Monomorphic.
     """
-    g = derive_parts(genes).withColumns({"_beg": F.col("tx_start") - flank, "_end": F.col("tx_end") + flank})
+    named = genes if "transcript" in genes.columns else genes.withColumn("transcript", F.col("gene"))
+    if bases is not None:
+        variants = with_codons(variants.select("marker", "contig", "pos", "ref", "alt"), named.drop("gene").withColumnRenamed("transcript", "gene"), bases, bin_size)
+    of = None  # codons by marker and transcript
+    if {"gene", "codon"} <= set(variants.columns):
+        key = "transcript" if bases is not None else "gene"
+        of = variants.where("gene is not null").select("marker", F.col("gene").alias(key), "codon", "codon_alt").distinct()
+        variants = variants.drop("gene", "codon", "codon_alt").distinct()
+    g = derive_parts(named).withColumns({"_beg": F.col("tx_start") - flank, "_end": F.col("tx_end") + flank})
     v = variants.withColumn("vtype", variant_type(F.col("ref"), F.col("alt")))
     near = range_join(v, g, "contig", "pos", "_beg", "_end", bin_size)
+    if of is not None:
+        near = near.join(of, ["marker", key], "left")
+    elif "codon" not in near.columns:
+        near = near.withColumns({"codon": F.lit(None).cast("string"), "codon_alt": F.lit(None).cast("string")})
     bases = F.size(F.filter(F.sequence(F.col("pos"), F.col("pos") + F.length("ref") - 1), lambda p: F.exists("cds", lambda e: (e["beg"] <= p) & (p <= e["end"])) & (p > F.col("pos"))))
-    coding = F.when(F.col("vtype") == "SNP", consequence(F.col("codon"), F.col("codon_alt"), F.floor(coding_offset(F.col("pos")) / 3) + 1) if "codon" in variants.columns else F.lit("SNV")).when(F.col("vtype").isin("INS", "DEL"), indel_class(F.col("ref"), F.col("alt"), bases)).otherwise("CodonRegion")
+    coding = F.when(F.col("vtype") == "SNP", consequence(F.col("codon"), F.col("codon_alt"), F.floor(coding_offset(F.col("pos")) / 3) + 1)).when(F.col("vtype").isin("INS", "DEL"), indel_class(F.col("ref"), F.col("alt"), bases)).otherwise("CodonRegion")
     t = F.transform(region_class(F.col("pos"), flank, flank), lambda x: F.when(x == "Coding", coding).otherwise(x))
-    found = near.select("marker", "gene", "strand", F.explode(F.when(F.col("vtype") == "SV", F.concat(F.array(F.lit("StructuralVariation")), t)).when(F.col("vtype") == "MONO", F.array(F.lit("Monomorphic"))).otherwise(t)).alias("type"))
+    place = (F.floor(coding_offset(F.col("pos")) / 3) + 1).cast("string")
+    change = F.concat(F.col("codon"), F.lit("->"), F.col("codon_alt"), F.lit(":"), translate(F.col("codon")), place, translate(F.col("codon_alt")))
+    found = near.select("marker", "gene", "transcript", "strand", F.size("exons").alias("n_exons"), change.alias("detail"), F.explode(F.when(F.col("vtype") == "SV", F.concat(F.array(F.lit("StructuralVariation")), t)).when(F.col("vtype") == "MONO", F.array(F.lit("Monomorphic"))).otherwise(t)).alias("type"))
     out = v.select("marker", "contig", "pos", "vtype").join(found, "marker", "left")
-    return out.withColumn("type", F.coalesce("type", F.when(F.col("vtype") == "MONO", "Monomorphic").otherwise("Intergenic")))
+    out = out.withColumn("type", F.coalesce("type", F.when(F.col("vtype") == "MONO", "Monomorphic").otherwise("Intergenic")))
+    protein = F.col("type").isin("Stop_Gain", "Stop_Loss", "Start_Gain", "Start_Loss", "Nonsynonymous", "Synonymous")
+    return out.withColumn("detail", F.when(protein, F.col("detail")))
 
 
 def with_codons(variants: DataFrame, genes: DataFrame, bases: DataFrame, bin_size: int = 100_000) -> DataFrame:
@@ -176,12 +195,26 @@ def annotated_lines(rows: DataFrame, form: str, fields: list[str], anno: str = "
 
 
 def top_annotation(annotated: DataFrame, priority: list[str] | None = None, keys: tuple[str, ...] = ("marker",)) -> DataFrame:
-    """Of each variant the most severe type and its genes: anno 'TYPE:G1|G2', and annofull of all."""
+    """Of each variant the most severe type and its genes: anno 'TYPE:G1|G2'; annofull of all types; by_transcript of all transcripts.
+
+    by_transcript is 'GENE/TRANSCRIPT:STRAND:TYPE(detail):TYPE|...': transcripts by their most
+    severe type, of equal ones those of more exons first, then by name; as far as annotated has
+    transcript, strand, n_exons and detail. It is null where no gene is near.
+    """
     order = {t: i for i, t in enumerate(priority or PRIORITY)}
     rank = F.coalesce(F.element_at(F.create_map(*[x for t, i in order.items() for x in (F.lit(t), F.lit(i))]), F.col("type")), F.lit(len(order)))
-    x = annotated.withColumn("_r", rank).groupBy(*keys, "type").agg(F.first("_r").alias("_r"), F.array_join(F.array_sort(F.collect_set("gene")), "|").alias("genes"))
+    has = lambda c, kind: (F.col(c) if c in annotated.columns else F.lit(None)).cast(kind)
+    ranked = annotated.withColumn("_r", rank)
+    x = ranked.groupBy(*keys, "type").agg(F.first("_r").alias("_r"), F.array_join(F.array_sort(F.collect_set("gene")), "|").alias("genes"))
     item = F.struct("_r", F.when(F.col("genes") == "", F.col("type")).otherwise(F.concat_ws(":", "type", "genes")).alias("t"))
-    return x.groupBy(*keys).agg(F.min(item)["t"].alias("anno"), F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda e: e["t"]), ",").alias("annofull"))
+    top = x.groupBy(*keys).agg(F.min(item)["t"].alias("anno"), F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda e: e["t"]), ",").alias("annofull"))
+    one = F.struct("_r", F.concat(F.col("type"), F.coalesce(F.concat(F.lit("("), has("detail", "string"), F.lit(")")), F.lit(""))).alias("t"))
+    named = ranked.where("gene is not null").select(*keys, "gene", has("transcript", "string").alias("_tr"), has("strand", "string").alias("_st"), has("n_exons", "int").alias("_ex"), one.alias("_one"))
+    per = named.groupBy(*keys, "gene", "_tr", "_st", "_ex").agg(F.array_sort(F.collect_set("_one")).alias("types"))
+    name = F.concat_ws(":", F.concat_ws("/", "gene", F.when(F.col("_tr") != F.col("gene"), F.col("_tr"))), "_st", F.array_join(F.transform("types", lambda e: e["t"]), ":"))
+    line = F.struct(F.col("types")[0]["_r"].alias("r"), (-F.coalesce("_ex", F.lit(0))).alias("less"), F.col("gene").alias("g"), F.col("_tr").alias("tr"), name.alias("s"))
+    full = per.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda e: e["s"]), "|").alias("by_transcript"))
+    return top.join(full, list(keys), "left")
 
 
 def frequency_table(df: DataFrame, *cols: str) -> DataFrame:

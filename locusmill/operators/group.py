@@ -14,7 +14,7 @@ from ..session import written
 from .matrixfree import Kinship, Model, Projected, Whitening, top_eigen
 from .mixed import Rotation, mixed_scan
 from .qc import running_counts
-from .single import fit_logistic, rank_sum, residualise, run_test
+from .single import fit_logistic, rank_sum, residualise, run_test, with_rank_sum_p
 
 
 def collapse(calls: DataFrame, group: str = "grp", sample: str = "sample", min_dosage: float = 0.0) -> DataFrame:
@@ -41,9 +41,10 @@ def burden_test(collapsed: DataFrame, samples: DataFrame, name: str = "b.collaps
     col = {"b.collapse": "carrier", "q.reverse": "carrier", "q.wilcox": "carrier", "b.burden": "burden"}.get(name, "weighted")
     x = collapsed.select(group, sample, F.col(col).cast("double").alias("g")).join(samples, sample)
     if name == "b.madsen":
-        return rank_sum(x, [group], "g", F.col(y) == 1)
-    if name == "q.wilcox":
-        return rank_sum(x, [group], y)
+        return with_rank_sum_p(rank_sum(x, [group], "g", F.col(y) == 1))
+    if name == "q.wilcox":  # of what covariates leave
+        left = residualise(samples, y, list(xs), "_rest").select(sample, "_rest")
+        return with_rank_sum_p(rank_sum(x.join(left, sample), [group], "_rest"))
     return run_test(x, "q.reverse" if name == "q.reverse" else "b.wald", [group], y, xs)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: F401
 from pyspark.sql import functions as F
 
 from ..functions import special as sp
@@ -111,13 +111,42 @@ def score_scan(calls: DataFrame, samples: DataFrame, by: list[str], y: str = "st
     return s.withColumn("score", F.col("u") / F.sqrt(F.col("v") + 1e-10))
 
 
+def flipped(calls: DataFrame, by: list[str]) -> DataFrame:
+    """calls with g counting the rarer allele: 2 - g for markers whose called alleles are mostly the counted one."""
+    m = calls.groupBy(*by).agg((F.sum("g") > F.count("g")).alias("_flip"))
+    x = calls.join(m, by)
+    return x.withColumn("g", F.when(F.col("_flip"), 2 - F.col("g")).otherwise(F.col("g"))).select(calls.columns)
+
+
 def rank_sum(calls: DataFrame, by: list[str], y: str = "y", carrier: Column | None = None) -> DataFrame:
-    """Wilcoxon's W of y for carriers against others: n1, n0, w, z (ties corrected in the mean ranks only)."""
+    """Wilcoxon's W of y for carriers against others: n1, n0, w, z, ties, stat.
+
+    stat is the W of the others, the first of both groups; ties the sum of t^3 - t over equal
+    values of y; z has no correction. with_rank_sum_p() adds p. Carriers have g > 0, so call
+    flipped() first where g may count the common allele.
+    """
     c = (F.col("g") > 0 if carrier is None else carrier).cast("int")
-    x = calls.where(F.col("g").isNotNull() & F.col(y).isNotNull()).withColumn("_c", c).withColumn("_k", average_rank(y, part=by))
-    s = x.groupBy(*by).agg(F.sum("_c").alias("n1"), F.sum(1 - F.col("_c")).alias("n0"), F.sum(F.col("_c") * F.col("_k")).alias("ranks"))
+    same = F.count(F.lit(1)).over(Window.partitionBy(*by, y))
+    x = calls.where(F.col("g").isNotNull() & F.col(y).isNotNull()).withColumn("_c", c).withColumn("_k", average_rank(y, part=by)).withColumn("_t", same * same - 1)
+    s = x.groupBy(*by).agg(F.sum("_c").alias("n1"), F.sum(1 - F.col("_c")).alias("n0"), F.sum(F.col("_c") * F.col("_k")).alias("ranks"), F.sum("_t").alias("ties"))
     s = s.where("n1 > 0 and n0 > 0").withColumn("w", F.col("ranks") - F.col("n1") * (F.col("n1") + 1) / 2.0)
-    return s.withColumn("z", (F.col("w") - F.col("n1") * F.col("n0") / 2.0) / F.sqrt(F.col("n1") * F.col("n0") * (F.col("n1") + F.col("n0") + 1) / 12.0)).drop("ranks")
+    z = (F.col("w") - F.col("n1") * F.col("n0") / 2.0) / F.sqrt(F.col("n1") * F.col("n0") * (F.col("n1") + F.col("n0") + 1) / 12.0)
+    return s.withColumn("z", z).withColumn("stat", F.col("n1") * F.col("n0") - F.col("w")).select(*by, "n1", "n0", "w", "z", "ties", "stat")
+
+
+def with_rank_sum_p(ranked: DataFrame, small: int = 50) -> DataFrame:
+    """rank_sum()'s rows with exact (whether p is the exact distribution's) and pvalue, two-sided.
+
+    Exact where both groups are smaller than small and nothing is tied; else normal, with the
+    variance corrected for ties and the difference for continuity.
+    """
+
+    @F.pandas_udf("double")
+    def p(n1: pd.Series, n0: pd.Series, ties: pd.Series, stat: pd.Series) -> pd.Series:
+        return pd.Series(sp.rank_sum_p(*(x.to_numpy(float) for x in (n1, n0, ties, stat)), small))
+
+    exact = (F.col("n1") < small) & (F.col("n0") < small) & (F.col("ties") == 0)
+    return ranked.withColumn("exact", exact).withColumn("pvalue", p("n1", "n0", "ties", "stat"))
 
 
 def residualise(samples: DataFrame, y: str, xs: list[str], out: str = "resid") -> DataFrame:

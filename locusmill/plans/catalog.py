@@ -188,11 +188,22 @@ def logistic_score_with_covariate(spark, sf):
     return single.score_scan(shapes.calls(spark, sf), shapes.samples(spark, sf), ["marker"], xs=("x1",))
 
 
-@query(with_("calls", "samples") + """, k AS (SELECT marker, CASE WHEN g > 0 THEN 1 ELSE 0 END AS c, rank() OVER (PARTITION BY marker ORDER BY y) + (count(*) OVER (PARTITION BY marker, y) - 1) / 2.0 AS r FROM calls JOIN samples USING (sample) WHERE g IS NOT NULL),
-    s AS (SELECT marker, CAST(sum(c) AS BIGINT) AS n1, CAST(sum(1 - c) AS BIGINT) AS n0, sum(c * r) AS ranks FROM k GROUP BY 1), w AS (SELECT *, ranks - n1 * (n1 + 1) / 2.0 AS w FROM s WHERE n1 > 0 AND n0 > 0)
-    SELECT marker, n1, n0, """ + _r("w", "(w - n1 * n0 / 2.0) / sqrt(n1 * n0 * (n1 + n0 + 1) / 12.0) AS z") + " FROM w")
+# residuals of the covariate's fit, ranked by whether a sample carries the rarer allele
+@query(with_("calls", "samples") + """, r AS (SELECT sample, round(y - (regr_intercept(y, x1) OVER () + regr_slope(y, x1) OVER () * x1), 6) AS y FROM samples), f AS (SELECT marker, sum(g) > count(g) AS flip FROM calls GROUP BY 1), c AS (SELECT marker, y, CASE WHEN flip THEN CASE WHEN g < 2 THEN 1 ELSE 0 END WHEN g > 0 THEN 1 ELSE 0 END AS c FROM calls JOIN f USING (marker) JOIN r USING (sample) WHERE g IS NOT NULL),
+    k AS (SELECT marker, c, rank() OVER (PARTITION BY marker ORDER BY y) + (count(*) OVER (PARTITION BY marker, y) - 1) / 2.0 AS r, power(count(*) OVER (PARTITION BY marker, y), 2) - 1 AS t FROM c), s AS (SELECT marker, CAST(sum(c) AS BIGINT) AS n1, CAST(sum(1 - c) AS BIGINT) AS n0, sum(c * r) AS ranks, CAST(sum(t) AS BIGINT) AS ties FROM k GROUP BY 1), w AS (SELECT *, ranks - n1 * (n1 + 1) / 2.0 AS w FROM s WHERE n1 > 0 AND n0 > 0)
+    SELECT marker, n1, n0, ties, """ + _r("w", "n1 * n0 - w AS stat", "(w - n1 * n0 / 2.0) / sqrt(n1 * n0 * (n1 + n0 + 1) / 12.0) AS z") + " FROM w")
 def rank_sum_test(spark, sf):
-    return rounded(single.rank_sum(shapes.phenotyped(spark, sf), ["marker"]))
+    return rounded(_ranked(spark, sf))
+
+
+def _ranked(spark, sf) -> DataFrame:
+    s = single.residualise(shapes.samples(spark, sf), "y", ["x1"]).select("sample", F.round("resid", 6).alias("resid"))
+    return single.rank_sum(single.flipped(shapes.calls(spark, sf), ["marker"]).join(s, "sample"), ["marker"], "resid")
+
+
+@query()
+def rank_sum_pvalues(spark, sf):
+    return single.with_rank_sum_p(_ranked(spark, sf))
 
 
 @query("SELECT c_custkey AS sample, " + _r("c_acctbal - (regr_intercept(c_acctbal, c_nationkey) OVER () + regr_slope(c_acctbal, c_nationkey) OVER () * c_nationkey) AS resid", digits=4) + " FROM customer")
@@ -254,12 +265,12 @@ def likelihood_ratio(spark, sf):
 
 
 def _group_calls(spark, sf) -> DataFrame:
-    c = shapes.calls(spark, sf)
+    c = single.flipped(shapes.calls(spark, sf), ["marker"])
     m = qc.marker_qc(c, ["marker"]).select("marker", "ns", "maf", "mac").join(shapes.markers(spark, sf).select("marker", "grp"), "marker")
     return c.join(m, "marker")
 
 
-_COL = ", x AS (SELECT c.*, f.ns, f.maf, f.mac, grp FROM calls c JOIN freq f USING (marker) JOIN markers USING (marker)), col AS (SELECT grp, sample, max(CASE WHEN coalesce(g, 0) > 0 THEN 1 ELSE 0 END) AS carrier, CAST(sum(coalesce(g, 0)) AS DOUBLE) AS burden, sum(coalesce(g, 0) * CASE WHEN maf > 0 AND maf < 1 THEN 1 / sqrt(ns * maf * (1 - maf)) ELSE 0 END) AS weighted, min(CASE WHEN g > 0 THEN mac END) AS min_mac FROM x GROUP BY 1, 2) "
+_COL = ", x AS (SELECT marker, sample, CASE WHEN f.ac > f.ns THEN 2 - c.g ELSE c.g END AS g, f.ns, f.maf, f.mac, grp FROM calls c JOIN freq f USING (marker) JOIN markers USING (marker)), col AS (SELECT grp, sample, max(CASE WHEN coalesce(g, 0) > 0 THEN 1 ELSE 0 END) AS carrier, CAST(sum(coalesce(g, 0)) AS DOUBLE) AS burden, sum(coalesce(g, 0) * CASE WHEN maf > 0 AND maf < 1 THEN 1 / sqrt(ns * maf * (1 - maf)) ELSE 0 END) AS weighted, min(CASE WHEN g > 0 THEN mac END) AS min_mac FROM x GROUP BY 1, 2) "
 
 
 @query(with_("calls", "qc", "freq", "markers") + _COL + "SELECT grp, sample, carrier, " + _r("burden", "weighted", "min_mac") + " FROM col")
@@ -298,7 +309,7 @@ def threshold_permutations(spark, sf):
     return group.threshold_test(c)
 
 
-@query(with_("calls", "qc", "freq", "markers", "samples") + """, res AS (SELECT sample, y - avg(y) OVER () AS resid FROM samples), m AS (SELECT grp, marker, sum(g * resid) AS u, first(maf) AS maf FROM calls JOIN freq USING (marker) JOIN markers USING (marker) JOIN res USING (sample) WHERE g IS NOT NULL GROUP BY 1, 2)
+@query(with_("calls", "qc", "freq", "markers", "samples") + """, res AS (SELECT sample, y - avg(y) OVER () AS resid FROM samples), m AS (SELECT grp, marker, sum(CASE WHEN freq.ac > freq.ns THEN 2 - g ELSE g END * resid) AS u, first(maf) AS maf FROM calls JOIN freq USING (marker) JOIN markers USING (marker) JOIN res USING (sample) WHERE g IS NOT NULL GROUP BY 1, 2)
     SELECT grp, count(*) AS n_vars, round(sum(power(25 * power(1 - maf, 24) * u, 2)), 2) + 0.0 AS q, round(sum(25 * power(1 - maf, 24) * u), 2) + 0.0 AS burden FROM m GROUP BY 1""")
 def kernel_statistic(spark, sf):
     s = single.residualise(shapes.samples(spark, sf), "y", [])
@@ -492,7 +503,7 @@ def index_ld(spark, sf):
 @query()
 def ld_prune(spark, sf):
     v, n = _supplier_variants(spark, sf)
-    return ld.prune(v.join(shapes.markers(spark, sf).select("marker", "contig", "pos"), "marker"), n, 5, 0.2)
+    return ld.prune(v.join(shapes.markers(spark, sf).select("marker", "contig", "pos"), "marker"), n, 50, 0.2)
 
 
 @query()
@@ -754,14 +765,23 @@ def bed_enrichment(spark, sf):
     return enrich.bed_enrichment(z, reg, 3_000_000)
 
 
+def _bases(spark, sf) -> DataFrame:
+    """contig, pos, base around each variant: the variants' own reference base, and neighbours by their position."""
+    v = _alleles(spark, sf)
+    near = v.select("contig", F.explode(F.sequence(F.col("pos") - 2, F.col("pos") + 2)).alias("pos"), F.col("pos").alias("own"), "ref")
+    pick = F.element_at(F.array(*[F.lit(b) for b in "ACGT"]), (F.col("pos") * 7 % 11 % 4 + 1).cast("int"))
+    return near.select("contig", "pos", F.when(F.col("pos") == F.col("own"), F.substring("ref", 1, 1)).otherwise(pick).alias("base"))
+
+
 @query()
 def annotations(spark, sf):
-    return annotate.annotate(_alleles(spark, sf), _models(spark, sf), 500, 20_000)
+    """Every variant against every gene near it, with what its codon becomes there."""
+    return annotate.annotate(_alleles(spark, sf), _models(spark, sf), 500, 20_000, _bases(spark, sf))
 
 
 @query()
 def top_annotations(spark, sf):
-    return annotate.top_annotation(annotate.annotate(_alleles(spark, sf), _models(spark, sf), 500, 20_000))
+    return annotate.top_annotation(annotations(spark, sf))
 
 
 @query("SELECT grp, count(*) AS n, string_agg(CAST(marker AS VARCHAR), ' ' ORDER BY contig, pos, marker) AS markers FROM (SELECT DISTINCT p_partkey AS marker, CAST(1 + p_partkey % 22 AS VARCHAR) AS contig, p_partkey * 1000 + 1 AS pos, unnest([p_brand, 'S' || p_size]) AS grp FROM part WHERE split_part(p_type, ' ', 1) IN ('STANDARD', 'PROMO', 'ECONOMY')) GROUP BY 1")
