@@ -484,6 +484,19 @@ def simulated_traits(spark, sf):
     return mixed.simulated_trait(shapes.supplier_calls(spark, sf), s, 0.5, binary=True).withColumnRenamed("y", "status")
 
 
+@query(with_("markers") + "SELECT contig, pos, CAST(marker AS VARCHAR) AS id, grp AS info FROM markers WHERE contig = '7' AND pos BETWEEN 100000 AND 900000")
+def block_gzip_region(spark, sf):
+    """Markers written as block-gzip site files, indexed, and a region read back by its blocks."""
+    from ..session import shared_path
+    from ..sources import blockgzip, readers
+
+    m = shapes.markers(spark, sf).repartitionByRange(4, "contig", "pos").sortWithinPartitions("contig", "pos")
+    path = shared_path(spark, "sites")
+    blockgzip.write_block_lines(m.select(F.concat_ws("\t", "contig", "pos", "marker", F.lit("A"), F.lit("G"), F.lit("."), F.lit("PASS"), "grp").alias("value")), path, block=4096)
+    blockgzip.write_block_index(spark, path)
+    return readers.read_vcf(spark, path, region="7:100000-900000", blocks=True).select("contig", "pos", "id", "info")
+
+
 # ---------------------------------------------------------------- linkage disequilibrium
 
 _LD = """, s AS (SELECT {by}, count(*) AS n, sum(ga) AS sx, sum(gb) AS sy, sum(ga * ga) AS sxx, sum(gb * gb) AS syy, sum(ga * gb) AS sxy FROM prs GROUP BY ALL), t AS (SELECT *, sxy - sx * sy / CAST(n AS DOUBLE) AS c, sxx - sx * sx / CAST(n AS DOUBLE) AS vx, syy - sy * sy / CAST(n AS DOUBLE) AS vy FROM s)

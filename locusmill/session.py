@@ -25,19 +25,19 @@ def session(app: str = "locusmill", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written as Parquet and read back: what is read many times is made once, and a lost executor costs its tasks only.
-
-    The place is the folder in spark.checkpoint.dir, which driver and executors share; a local
-    master may go without and gets a temporary one.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str = "table") -> str:
+    """A new place in the folder in spark.checkpoint.dir, which driver and executors share; a local master may go without and gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-written-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written as Parquet in shared_path() and read back: what is read many times is made once, and a lost executor costs its tasks only."""
+    path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

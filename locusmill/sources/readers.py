@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.genotype import decode_gt, phase_of
+from .blockgzip import read_block_lines
 
 VCF_FIXED = ("contig", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 
@@ -14,21 +15,25 @@ def _lines(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path)
 
 
-def vcf_samples(spark: SparkSession, path) -> list[str]:
+def vcf_samples(spark: SparkSession, path, blocks: bool = False) -> list[str]:
     """Names of the samples, from the first header line of the files (one row is read to the driver)."""
-    row = _lines(spark, path).where(F.col("value").startswith("#CHROM")).first()
+    row = (read_block_lines(spark, path) if blocks else _lines(spark, path)).where(F.col("value").startswith("#CHROM")).first()
     return row[0].split("\t")[9:] if row else []
 
 
-def read_vcf(spark: SparkSession, path, samples: list[str] | None = None, field: str = "GT", pass_only: bool = False, region: str | None = None, max_alleles: int = 2) -> DataFrame:
+def read_vcf(spark: SparkSession, path, samples: list[str] | None = None, field: str = "GT", pass_only: bool = False, region: str | None = None, max_alleles: int = 2, blocks: bool = False) -> DataFrame:
     """One row a marker: contig, pos, id, ref, alt, qual, filter, info, g (dosages, null: missing), phase, pl, file.
 
+    With blocks, path is block-gzip and read by many tasks a file; a region then reads only
+    its blocks, if write_block_index() has been there.
+
     field GT, PL or GL, else a number per call. Rows are filtered before their calls are split.
     samples picks and orders calls by name. Several files (one a contig) are read by one glob.
     A call whose field is absent, or starts with '.', is missing; so is a GT of which any part is.
     """
-    names = vcf_samples(spark, path)
-    x = _lines(spark, path).where(~F.col("value").startswith("#")).withColumn("file", F.input_file_name())
+    names = vcf_samples(spark, path, blocks)
+    x = read_block_lines(spark, path, region) if blocks else _lines(spark, path).withColumn("file", F.input_file_name())
+    x = x.where(~F.col("value").startswith("#") & (F.col("value") != ""))
     head = F.split("value", "\t", 10)
     x = x.select(*[F.get(head, i).alias(c) for i, c in enumerate(VCF_FIXED)], F.get(head, 9).alias("_calls"), "file").withColumn("pos", F.col("pos").cast("long"))
     if pass_only:
