@@ -372,11 +372,24 @@ def skat_p(u: np.ndarray, k: np.ndarray, optimal: bool = False) -> tuple[float,
     z = np.concatenate([(y - x) / 2 * nodes + (x + y) / 2 for x, y in zip(cuts[:-1], cuts[1:])])
     w = np.concatenate([(y - x) / 2 * weights for x, y in zip(cuts[:-1], cuts[1:])])
     level = np.min((quantile - tau * z[:, None] ** 2) / (1 - rho), axis=1)
-    tail = sp.mixture_sf((level - centre) * scale + centre, left) if left.max() > 1e-12 * values.max() else (level < 0).astype(float)
+    tail = _smooth_tail((level - centre) * scale + centre, left) if left.max() > 1e-12 * values.max() else (level < 0).astype(float)
     p = float(np.sum(w * np.sqrt(2 / np.pi) * np.exp(-z * z / 2) * tail) + 2 * sp.norm_sf(edge))
     return float(min(1.0, max(p, low), low * len(rho))), float(RHOS[best])
 
 
+def _smooth_tail(q: np.ndarray, lam: np.ndarray, nodes: int = 48) -> np.ndarray:
+    """mixture_sf() of many q: the logarithm of the tail at Chebyshev nodes, and the polynomial through them."""
+    high = q.max()
+    if len(q) <= nodes or high <= 0:
+        return sp.mixture_sf(q, lam)
+    low = max(float(q[q > 0].min()), 1e-3 * high)
+    x = np.cos(np.pi * (np.arange(nodes) + 0.5) / nodes)
+    at = sp.mixture_sf((high + low) / 2 + (high - low) / 2 * x, lam)
+    poly = np.polynomial.chebyshev.chebfit(x, np.log(np.maximum(at, 1e-320)), nodes - 1)
+    out = np.exp(np.polynomial.chebyshev.chebval(np.clip((2 * q - high - low) / (high - low), -1, 1), poly))
+    return np.where(q <= 0, 1.0, np.minimum(out, 1.0))
+
+
 def phenotype_table(calls: DataFrame, y: str = "y", bins: int = 4, few: int = 10, marker: str = "marker") -> DataFrame:
     """Genotype by phenotype-bin counts: values themselves where fewer than few are distinct, else bins of equal mass."""
     v = running_counts(calls.select("sample", y).distinct(), y)

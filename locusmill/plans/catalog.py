@@ -503,9 +503,9 @@ _LD = """, s AS (SELECT {by}, count(*) AS n, sum(ga) AS sx, sum(gb) AS sy, sum(g
     SELECT {by}, n, round(c / sqrt(vx * vy), 6) + 0.0 AS r, round(c * c / (vx * vy), 6) + 0.0 AS r2 FROM t WHERE vx > 1e-9 AND vy > 1e-9"""
 
 
-@query(with_("scalls", "markers") + ", o AS (SELECT marker, contig, row_number() OVER (PARTITION BY contig ORDER BY pos, marker) AS rn FROM markers), x AS (SELECT contig, sample, marker, rn, g FROM scalls JOIN o USING (marker) WHERE g IS NOT NULL), prs AS (SELECT a.contig, a.marker AS m1, b.marker AS m2, a.g AS ga, b.g AS gb FROM x a JOIN x b ON a.contig = b.contig AND a.sample = b.sample AND b.rn > a.rn AND b.rn - a.rn <= 5)" + _LD.format(by="contig, m1, m2"))
+@query(with_("scalls", "markers") + ", o AS (SELECT marker, contig, row_number() OVER (PARTITION BY contig ORDER BY pos, marker) AS rn FROM markers), x AS (SELECT contig, sample, marker, rn, g FROM scalls JOIN o USING (marker) WHERE g IS NOT NULL), prs AS (SELECT a.contig, a.marker AS m1, b.marker AS m2, a.g AS ga, b.g AS gb FROM x a JOIN x b ON a.contig = b.contig AND a.sample = b.sample AND b.rn > a.rn AND b.rn - a.rn <= 1000)" + _LD.format(by="contig, m1, m2"))
 def pair_ld(spark, sf):
-    return rounded(ld.pair_ld(shapes.supplier_calls(spark, sf), shapes.markers(spark, sf), 5))
+    return rounded(ld.pair_ld(shapes.supplier_calls(spark, sf), shapes.markers(spark, sf), 1000))
 
 
 @query(with_("scalls", "markers") + ", prs AS (SELECT x.marker, b.g AS gb, a.g AS ga FROM scalls a JOIN scalls b ON a.sample = b.sample AND a.marker = 7 AND b.marker <> 7 JOIN markers x ON x.marker = b.marker JOIN markers i ON i.marker = 7 AND i.contig = x.contig AND abs(x.pos - i.pos) <= 1000000 WHERE a.g IS NOT NULL AND b.g IS NOT NULL)" + _LD.format(by="marker"))

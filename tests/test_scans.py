@@ -134,3 +134,23 @@ def test_each_gene_has_its_own_codon(spark):
     assert [p.split(":")[0] for p in parts] == ["P/P.2", "P/P.1", "M/M.1"] and parts[2].startswith("M/M.1:-:Nonsynonymous(GTA->TTA:V3L)")
     same = annotate.annotate(annotate.with_codons(v, genes.where("transcript <> 'P.2'"), bases), genes.where("transcript <> 'P.2'"), 2)
     assert {(r.marker, r.gene, r.type) for r in same.collect() if r.marker == 1} == {(1, "P", "Stop_Gain"), (1, "M", "Nonsynonymous")} | {(1, r.gene, r.type) for r in rows if r.marker == 1 and not r.detail and r.transcript != "P.2"}
+
+
+@pytest.mark.parametrize("window,tile,block", [(7, 1024, 32_768), (7, 3, 11), (30, 8, 9), (1, 4, 50)])
+def test_pairwise_ld_for_any_tiles_and_blocks(spark, window, tile, block):
+    rng = np.random.default_rng(6)
+    g = rng.binomial(2, 0.4, (35, 26)).astype(float)
+    g[rng.random(g.shape) < 0.15] = np.nan
+    g[:, 4] = 1.0
+    contig = ["1"] * 20 + ["2"] * 6
+    calls = spark.createDataFrame([(f"m{j}", i, None if np.isnan(g[i, j]) else float(g[i, j])) for j in range(26) for i in range(35)], "marker string, sample long, g double")
+    order = spark.createDataFrame([(c, 10 * (40 - j), f"m{j}") for j, c in enumerate(contig)], "contig string, pos long, marker string")
+    want = {}
+    for a, b in itertools.combinations(range(25, -1, -1), 2):  # positions fall with the number
+        ok = ~np.isnan(g[:, a]) & ~np.isnan(g[:, b])
+        if contig[a] == contig[b] and a - b <= window and np.ptp(g[ok, a]) and np.ptp(g[ok, b]):
+            want[f"m{a}", f"m{b}"] = (ok.sum(), np.corrcoef(g[ok, a], g[ok, b])[0, 1])
+    got = {(r.m1, r.m2): (r.n, r.r) for r in ld.pair_ld(calls, order, window, tile=tile, block=block).collect()}
+    assert got.keys() == want.keys()
+    for k, (n, r) in want.items():
+        assert got[k][0] == n and got[k][1] == pytest.approx(r, abs=1e-9)
