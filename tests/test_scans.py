@@ -154,3 +154,26 @@ def test_pairwise_ld_for_any_tiles_and_blocks(spark, window, tile, block):
     assert got.keys() == want.keys()
     for k, (n, r) in want.items():
         assert got[k][0] == n and got[k][1] == pytest.approx(r, abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 100, 101])
+def test_best_paths_in_stretches_are_whole_ones(n):
+    rng = np.random.default_rng(n)
+    l = rng.dirichlet([0.3] * 3, (5, n))
+    l[1, n // 3 :] = l[0, n // 3 :]
+    pos, af = np.cumsum(rng.integers(1, 1000, n)).astype(float), rng.uniform(0.1, 0.9, n)
+    i, j = np.triu_indices(5, 1)
+    joint, step = ld._joint(af), np.log(np.clip((np.diff(pos) + 0.01) * 1e-4, 1e-12, 0.3))
+    for a, b, got in zip(i, j, ld._segments(l, i, j, pos, af, 1e-4)):
+        e = np.log(np.einsum("msab,ma,mb->ms", joint, l[a], l[b]) + 1e-300)
+        score, back = np.log([0.949, 0.05, 0.001]) + e[0], []
+        for t in range(1, n):
+            move = np.full((3, 3), step[t - 1])
+            np.fill_diagonal(move, np.log1p(-2 * np.exp(step[t - 1])))
+            back.append((score[:, None] + move).argmax(0))
+            score = (score[:, None] + move).max(0) + e[t]
+        path = [int(score.argmax())]
+        for c in reversed(back):
+            path.append(int(c[path[-1]]))
+        runs = [(s, [k for k, _ in g]) for s, g in itertools.groupby(enumerate(path[::-1]), key=lambda x: x[1])]
+        assert got == [(int(pos[ks[0]]), int(pos[ks[-1]]), s) for s, ks in runs]
