@@ -3,16 +3,41 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_intervals(df: DataFrame, contig: str = "contig", beg: str = "beg", end: str = "end") -> DataFrame:
-    """Overlapping intervals (shared bases, not mere neighbours) merged: contig, beg, end, n. Gaps and islands by contig."""
-    w = Window.partitionBy(contig).orderBy(beg, end)
-    top = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = df.withColumn("_new", F.coalesce((F.col(beg) > top).cast("int"), F.lit(1)))
-    x = x.withColumn("_isle", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+#: Positions of a stretch: scans run within stretches and take over a summary of those before.
+STRETCH = 5_000_000
+
+
+def _carried(x: DataFrame, contig: str, ahead: bool = False, **summary: Column) -> DataFrame:
+    """x (with _stretch) and, of each summary, that of all stretches of its contig before x's own (with ahead: after), as a maximum (with ahead: minimum).
+
+    A contig has as many stretches as its length allows, so the window over their summaries is
+    over few rows; x meets its stretch's by the key on which it is partitioned already.
+    """
+    best = F.min if ahead else F.max
+    parts = x.groupBy(contig, "_stretch").agg(*[best(c).alias(k) for k, c in summary.items()])
+    w = Window.partitionBy(contig).orderBy("_stretch")
+    w = w.rowsBetween(1, Window.unboundedFollowing) if ahead else w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col(contig).alias("_key"), F.col("_stretch").alias("_of"), *[best(k).over(w).alias(k) for k in summary])
+    return x.join(parts, F.col(contig).eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_of"))).drop("_key", "_of")
+
+
+def merge_intervals(df: DataFrame, contig: str = "contig", beg: str = "beg", end: str = "end", stretch: int = STRETCH) -> DataFrame:
+    """Overlapping intervals (shared bases, not mere neighbours) merged: contig, beg, end, n.
+
+    Gaps and islands in two passes: within each stretch of a contig, windows over its own
+    intervals; from the stretches before, the largest end and where the open island began.
+    """
+    w = Window.partitionBy(contig, "_stretch").orderBy(beg, end)
+    x = df.select(contig, beg, end).withColumn("_stretch", F.floor(F.col(beg) / stretch))
+    x = _carried(x, contig, _top=F.col(end))
+    top = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_top"))
+    x = x.withColumn("_fresh", F.when(F.coalesce(F.col(beg) > top, F.lit(True)), F.col(beg)))
+    x = _carried(x, contig, _open=F.col("_fresh"))
+    x = x.withColumn("_isle", F.coalesce(F.max("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open")))
     return x.groupBy(contig, "_isle").agg(F.min(beg).alias(beg), F.max(end).alias(end), F.count("*").alias("n")).drop("_isle")
 
 
@@ -38,19 +63,22 @@ def overlap_join(left: DataFrame, right: DataFrame, contig: str, lbeg: str, lend
     return a.join(b, hit).drop("_b", "_c", "_contig")
 
 
-def interpolate(points: DataFrame, table: DataFrame, contig: str = "contig", pos: str = "pos", value: str = "cm", at: str = "at", out: str = "cm") -> DataFrame:
+def interpolate(points: DataFrame, table: DataFrame, contig: str = "contig", pos: str = "pos", value: str = "cm", at: str = "at", out: str = "cm", stretch: int = STRETCH) -> DataFrame:
     """points with value interpolated between the last entry of table at or before pos and the next one.
 
-    An as-of join by one sorted union per contig and two window functions; beyond the last
+    An as-of join by one sorted union per stretch of a contig and two window functions; the last
+    entry of the stretches before and the first of those after are taken over. Beyond the last
     entry its value holds, before the first there is none.
     """
     cols = points.columns
     p = points.select(*cols, F.col(pos).alias("_at"), F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_kind"))
     t = table.select(*[F.col(c) if c == contig else F.lit(None).cast(points.schema[c].dataType).alias(c) for c in cols], F.col(at).alias("_at"), F.col(value).cast("double").alias("_v"), F.lit(0).alias("_kind"))
-    w = Window.partitionBy(contig).orderBy("_at", "_kind")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
     knot = F.when(F.col("_kind") == 0, F.struct(F.col("_at").alias("x"), F.col("_v").alias("v")))
-    x = p.unionByName(t).withColumns({"_lo": F.last(knot, True).over(back), "_hi": F.first(knot, True).over(ahead)}).where("_kind = 1")
+    x = p.unionByName(t).withColumn("_stretch", F.floor(F.col("_at") / stretch)).withColumn("_knot", knot)
+    x = _carried(_carried(x, contig, _from=F.col("_knot")), contig, ahead=True, _to=F.col("_knot"))
+    w = Window.partitionBy(contig, "_stretch").orderBy("_at", "_kind")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    x = x.withColumns({"_lo": F.coalesce(F.last("_knot", True).over(back), F.col("_from")), "_hi": F.coalesce(F.first("_knot", True).over(ahead), F.col("_to"))}).where("_kind = 1")
     step = (F.col("_hi.v") - F.col("_lo.v")) / (F.col("_hi.x") - F.col("_lo.x"))
     return x.select(*cols, F.coalesce(F.col("_lo.v") + (F.col(pos) - F.col("_lo.x")) * step, F.col("_lo.v")).alias(out))
 

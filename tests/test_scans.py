@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from locusmill.functions import special as sp
-from locusmill.operators import annotate, enrich, group, ld, single
+from locusmill.operators import annotate, enrich, group, ld, ranges, single
 
 
 def plain_rank_sum(y, carrier):
@@ -177,3 +177,25 @@ def test_best_paths_in_stretches_are_whole_ones(n):
             path.append(int(c[path[-1]]))
         runs = [(s, [k for k, _ in g]) for s, g in itertools.groupby(enumerate(path[::-1]), key=lambda x: x[1])]
         assert got == [(int(pos[ks[0]]), int(pos[ks[-1]]), s) for s, ks in runs]
+
+
+@pytest.mark.parametrize("stretch", [3, 17, 10**9])
+def test_scans_are_the_same_for_any_stretches(spark, stretch):
+    rng = np.random.default_rng(8)
+    spans = [(c, int(a), int(a + rng.integers(0, 12))) for c in "12" for a in rng.integers(0, 400, 60)] + [("1", 90, 200), ("3", 5, 5)]
+    want = []
+    for c in "123":
+        for a, b in sorted((a, b) for x, a, b in spans if x == c):
+            if want and want[-1][0] == c and a <= want[-1][2]:
+                want[-1][2], want[-1][3] = max(want[-1][2], b), want[-1][3] + 1
+            else:
+                want.append([c, a, b, 1])
+    got = ranges.merge_intervals(spark.createDataFrame(spans, "contig string, beg long, end long"), stretch=stretch).collect()
+    assert sorted(map(list, got)) == want
+    knots = [(c, int(x), float(v)) for c in "12" for x, v in zip(np.sort(rng.choice(300, 15, False)), np.cumsum(rng.random(15)))]
+    points = [(k, c, int(x)) for k, (c, x) in enumerate((c, x) for c in "123" for x in rng.integers(0, 320, 40))]
+    out = {r.id: r.cm for r in ranges.interpolate(spark.createDataFrame(points, "id int, contig string, pos long"), spark.createDataFrame(knots, "contig string, at long, cm double"), stretch=stretch).collect()}
+    for k, c, x in points:
+        mine = [(a, v) for d, a, v in knots if d == c]
+        low = [m for m in mine if m[0] <= x]
+        assert (out[k] is None) if not low else out[k] == pytest.approx(np.interp(x, *zip(*mine)))
