@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import genotype, rules
-from ..operators import annotate, enrich, group, ld, matrixfree, mixed, qc, ranges, report, single
+from ..operators import annotate, enrich, group, ld, matrixfree, mixed, phasing, qc, ranges, report, single
 from ..session import written
 from . import shapes
 from .shapes import with_
@@ -519,15 +519,28 @@ def ld_prune(spark, sf):
     return ld.prune(v.join(shapes.markers(spark, sf).select("marker", "contig", "pos"), "marker"), n, 50, 0.2)
 
 
-@query()
-def ibd_segments(spark, sf):
-    """Segments shared by any two suppliers on any contig, from likelihoods of their calls."""
+def _supplier_likes(spark, sf):
+    """Likelihoods of suppliers' calls, and the markers with their frequencies."""
     m = shapes.markers(spark, sf).select("marker", "contig", "pos")
     c = shapes.supplier_calls(spark, sf).join(m, "marker")
     af = c.groupBy("contig", "pos").agg((F.coalesce(F.avg("g"), F.lit(0.0)) / 2).alias("af"))
     line = m.select("contig", "pos").join(af, ["contig", "pos"], "left").fillna(0.1, ["af"]).withColumn("af", F.least(F.greatest("af", F.lit(0.01)), F.lit(0.99)))
     one = lambda k: F.when(F.col("g") == k, 0.9).otherwise(0.05)
-    return ld.all_pair_states(c.where("g is not null").select("contig", "sample", "pos", F.array(one(0), one(1), one(2)).alias("l")), line, 1e-6)
+    return c.where("g is not null").select("contig", "sample", "pos", F.array(one(0), one(1), one(2)).alias("l")), line
+
+
+@query()
+def ibd_segments(spark, sf):
+    """Segments shared by any two suppliers on any contig, from likelihoods of their calls."""
+    return ld.all_pair_states(*_supplier_likes(spark, sf), 1e-6)
+
+
+@query()
+def phased_haplotypes(spark, sf):
+    """Phased alleles of all suppliers at all markers of their stretches of 5 million bases, in three rounds over partners of their shared segments."""
+    likes, line = _supplier_likes(spark, sf)
+    segments = ld.all_pair_states(likes, line, 1e-6).where("state > 0")
+    return phasing.phase(likes, line, segments, rounds=3, most=12, draws=12, theta=1e-6, bases=5_000_000, halo=500_000)
 
 
 # ---------------------------------------------------------------- intervals
