@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import special as sp
+from ..model import parse_marker_id
 from ..session import written
 from .matrixfree import Kinship, Model, Projected, Whitening, top_eigen
 from .mixed import Rotation, mixed_scan
@@ -17,6 +18,34 @@ from .qc import running_counts
 from .single import fit_logistic, rank_sum, residualise, run_test, with_rank_sum_p
 
 
+def group_markers(groups: DataFrame, group: str = "grp", ids: str = "ids") -> DataFrame:
+    """One row a group and different marker of its list ids (texts CHR:POS_REF/ALT): group, contig, pos, ref, alt.
+
+    A text of another form is an error when read. Repeated and null texts count once and not at all.
+    """
+    x = groups.select(group, F.explode(F.array_distinct(ids)).alias("_id")).where(F.col("_id").isNotNull()).withColumn("_m", parse_marker_id(F.col("_id")))
+    whole = F.col("_m.contig").isNotNull() & F.col("_m.beg").isNotNull() & F.col("_m.ref").isNotNull() & F.col("_m.alt").isNotNull()
+    contig = F.when(whole, F.col("_m.contig")).otherwise(F.raise_error(F.concat(F.lit("not a marker: "), F.col("_id"))).cast("string"))
+    return x.select(group, contig.alias("contig"), F.col("_m.beg").alias("pos"), F.col("_m.ref").alias("ref"), F.col("_m.alt").alias("alt")).distinct()
+
+
+def marker_lookup(rows: DataFrame, members: DataFrame, group: str = "grp") -> DataFrame:
+    """rows (contig, pos, ref, alt and any others) of the markers in members (group_markers()), once for each group that names them.
+
+    Place and both alleles must be the same: another allele at the place isn't found. An equi-join
+    on all four, so the many rows of a marker lie together and Spark may split or broadcast.
+    """
+    return rows.join(members.select(group, "contig", "pos", "ref", "alt"), ["contig", "pos", "ref", "alt"]).select(group, *rows.columns)
+
+
+def group_names(members: DataFrame, group: str = "grp") -> DataFrame:
+    """group, contig, beg, end and name (CONTIG:BEG-END_GROUP) of each group; one on several contigs is on multichrs, from 0 to 0."""
+    x = members.groupBy(group).agg(F.min("contig").alias("a"), F.max("contig").alias("b"), F.min("pos").alias("beg"), F.max("pos").alias("end"))
+    one = F.col("a") == F.col("b")
+    x = x.select(group, F.when(one, F.col("a")).otherwise("multichrs").alias("contig"), *[F.when(one, F.col(c)).otherwise(0).alias(c) for c in ("beg", "end")])
+    return x.withColumn("name", F.concat("contig", F.lit(":"), F.col("beg").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit("_"), F.col(group).cast("string")))
+
+
 def collapse(calls: DataFrame, group: str = "grp", sample: str = "sample", min_dosage: float = 0.0) -> DataFrame:
     """Per group and sample: carrier (any g above min_dosage), burden, weighted (1/sqrt(ns maf (1-maf))) and min_mac of its carried markers.
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import special as sp
 from ..functions.genotype import neg_log10
+from .ranges import range_join
 
 
 def qq_histogram(df: DataFrame, label: str | None = None, p: str = "pvalue", width: float = 0.01) -> DataFrame:
@@ -59,12 +60,33 @@ def scored(df: DataFrame, least: float, score: str = "score") -> DataFrame:
     return df.where(F.col(score) >= least)
 
 
-def locus_view(assoc: DataFrame, ld: DataFrame, marker: str = "marker") -> DataFrame:
-    """assoc of a locus with r2 to its index marker (0 where unknown) and its class for colours."""
-    x = assoc.join(ld.select(marker, "r2"), marker, "left").withColumn("r2", F.coalesce("r2", F.lit(0.0)))
+def locus_view(assoc: DataFrame, ld: DataFrame, marker: str | tuple[str, ...] = "marker") -> DataFrame:
+    """assoc of a locus with r2 to its index marker (0 where unknown) and its class for colours.
+
+    marker: the column, or columns such as contig and pos, that both have in common.
+    """
+    on = [marker] if isinstance(marker, str) else list(marker)
+    x = assoc.join(ld.select(*on, "r2"), on, "left").withColumn("r2", F.coalesce("r2", F.lit(0.0)))
     return x.withColumn("ld_class", F.when(F.col("r2") >= 0.8, ">=0.8").when(F.col("r2") >= 0.5, ">=0.5").when(F.col("r2") >= 0.1, ">=0.1").otherwise("<0.1"))
 
 
+def functional_classes(points: DataFrame, exons: DataFrame, states: DataFrame, enhancer: str = r"Enhancer|^[4567]$", promoter: str = r"Promoter|^[123]$", bin_size: int = 100_000) -> DataFrame:
+    """points (contig, pos) with place: promoter, enhancer, exon or other.
+
+    exons: contig, beg, end; states: contig, beg, end, label of one cell type (all bounds
+    1-based, closed), whose labels or state numbers match enhancer or else promoter. Where several hold a
+    point, a promoter goes before an enhancer, and that before an exon. Different positions are
+    looked up once each; positions on which nothing lies are other, null ones too.
+    """
+    is_enhancer, is_promoter = F.coalesce(F.col("label").rlike(enhancer), F.lit(False)), F.coalesce(F.col("label").rlike(promoter), F.lit(False))
+    rank = F.when(is_enhancer, 1).when(is_promoter, 0)
+    spans = states.select("contig", "beg", "end", rank.alias("_rank")).where("_rank is not null").union(exons.select("contig", "beg", "end", F.lit(2))).where("beg <= end").distinct()
+    at = points.select("contig", "pos").where("contig is not null and pos is not null").distinct()
+    best = range_join(at, spans, bin_size=bin_size).groupBy("contig", "pos").agg(F.min("_rank").alias("_rank"))
+    name = F.when(F.col("_rank") == 0, "promoter").when(F.col("_rank") == 1, "enhancer").when(F.col("_rank") == 2, "exon").otherwise("other")
+    return points.join(best, ["contig", "pos"], "left").select(*points.columns, name.alias("place"))
+
+
 def label_join(df: DataFrame, labels: DataFrame, on: str, label: str, unknown: str | None = "UNKNOWN") -> DataFrame:
     """df with labels joined; rows without one get unknown, or go if that is None."""
     x = df.join(labels.select(on, label), on, "left" if unknown is not None else "inner")

@@ -123,6 +123,30 @@ def marker_set_semi_join(spark, sf):
     return shapes.calls(spark, sf).join(keep, "marker", "left_semi").select("marker", "g", "sample")
 
 
+_LISTED = "al AS (SELECT marker, contig, pos, grp, size, CASE marker % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'G' ELSE 'T' END AS ref, CASE marker % 3 WHEN 0 THEN 'AT' WHEN 1 THEN 'GC' ELSE 'TG' END AS alt FROM markers), named AS (SELECT grp, contig, pos, ref, CASE WHEN size % 5 = 0 THEN 'CC' ELSE alt END AS alt FROM al WHERE size % 2 = 0)"
+
+
+def _listed_alleles(spark, sf):
+    """Markers with two alleles, and the lists of the brands, in which every fifth size names another allele."""
+    k, one = F.col("marker"), lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (F.col("marker") % n + 1).cast("int"))
+    m = shapes.markers(spark, sf).withColumns({"ref": one(4, "A", "C", "G", "T"), "alt": one(3, "AT", "GC", "TG")})
+    said = F.when(F.col("size") % 5 == 0, "CC").otherwise(F.col("alt"))
+    lists = m.where("size % 2 = 0").groupBy("grp").agg(F.collect_list(model.marker_id(F.col("contig"), F.col("pos"), F.col("ref"), said)).alias("ids"))
+    return m.select(k, "contig", "pos", "ref", "alt"), lists
+
+
+@query(with_("markers", "calls") + f", {_LISTED} SELECT n.grp AS grp, a.marker AS marker, a.contig AS contig, a.pos AS pos, a.ref AS ref, a.alt AS alt, sample, g FROM named n JOIN al a ON a.contig = n.contig AND a.pos = n.pos AND a.ref = n.ref AND a.alt = n.alt JOIN calls c ON c.marker = a.marker")
+def marker_group_lookup(spark, sf):
+    """All calls of the markers that the groups' lists name with the right alleles."""
+    m, lists = _listed_alleles(spark, sf)
+    return group.marker_lookup(m.join(shapes.calls(spark, sf), "marker"), group.group_markers(lists)).select("grp", "marker", "contig", "pos", "ref", "alt", "sample", "g")
+
+
+@query(with_("markers") + f", {_LISTED}, s AS (SELECT grp, CASE WHEN min(contig) = max(contig) THEN min(contig) ELSE 'multichrs' END AS contig, CASE WHEN min(contig) = max(contig) THEN min(pos) ELSE 0 END AS beg, CASE WHEN min(contig) = max(contig) THEN max(pos) ELSE 0 END AS \"end\" FROM named GROUP BY grp) SELECT *, contig || ':' || beg || '-' || \"end\" || '_' || grp AS name FROM s")
+def marker_group_names(spark, sf):
+    return group.group_names(group.group_markers(_listed_alleles(spark, sf)[1]))
+
+
 @query("SELECT p_partkey AS marker, contig || ':' || pos || CASE WHEN length(ref) > 1 THEN '-' || (pos + length(ref) - 1) ELSE '' END || '_' || ref || '/A' AS id, 1 + p_partkey % 22 AS contig_no, CASE WHEN contig = '1' THEN 0 WHEN contig = '2' THEN 249250621 END + pos AS upos FROM (SELECT p_partkey, CAST(1 + p_partkey % 22 AS VARCHAR) AS contig, p_partkey * 1000 + 1 AS pos, repeat('G', CAST(1 + p_size % 3 AS INT)) AS ref FROM part)")
 def marker_names(spark, sf):
     """Markers written as text and parsed back, with contig numbers and genome-wide positions (contigs 1 and 2)."""
@@ -655,6 +679,15 @@ def locus_view(spark, sf):
     return rounded(report.locus_view(_assoc(spark, sf).drop("grp"), l))
 
 
+@query(with_("markers", "genes") + ", st AS (SELECT contig, greatest(pos - 300 * size, 1) AS beg, pos + 300 * size AS \"end\", size % 10 AS state FROM markers), h AS (SELECT m.marker, min(CASE WHEN state BETWEEN 1 AND 3 THEN 0 ELSE 1 END) AS k FROM markers m JOIN st ON st.contig = m.contig AND m.pos BETWEEN beg AND \"end\" WHERE state BETWEEN 1 AND 7 GROUP BY 1) SELECT marker, m.contig AS contig, pos, CASE k WHEN 0 THEN 'promoter' WHEN 1 THEN 'enhancer' ELSE CASE WHEN EXISTS (SELECT 1 FROM genes g WHERE g.contig = m.contig AND pos BETWEEN tx_start AND tx_end) THEN 'exon' ELSE 'other' END END AS place FROM markers m LEFT JOIN h USING (marker)")
+def functional_classes(spark, sf):
+    """Where each marker lies: states are the sizes' last digits around the markers, exons the suppliers' spans."""
+    m = shapes.markers(spark, sf)
+    states = m.select("contig", F.greatest(F.col("pos") - 300 * F.col("size"), F.lit(1)).alias("beg"), (F.col("pos") + 300 * F.col("size")).alias("end"), (F.col("size") % 10).cast("string").alias("label"))
+    exons = shapes.genes(spark, sf).select("contig", F.col("tx_start").alias("beg"), F.col("tx_end").alias("end"))
+    return report.functional_classes(m.select("marker", "contig", "pos"), exons, states)
+
+
 @query()
 def gene_rows(spark, sf):
     return report.gene_rows(shapes.genes(spark, sf))

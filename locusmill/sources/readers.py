@@ -101,6 +101,24 @@ def read_ped(spark: SparkSession, path, dat: str | None = None, missing: str = "
     return rows.select(*fixed, *[F.when(F.get("w", 5 + i) != missing, F.get("w", 5 + i).try_cast("double")).alias(t) for i, t in enumerate(traits)])
 
 
+def phenotypes(ped: DataFrame, traits: list[str] | None = None, covariates: list[str] | tuple[str, ...] = (), samples: DataFrame | None = None) -> DataFrame:
+    """read_ped() as one row a person and trait: ind_id, the covariates, trait, y.
+
+    Without traits they are all columns from the sixth on that aren't covariates. A name that
+    isn't there, or that is both trait and covariate, is an error; so is a missing value of a
+    trait or covariate when it is read, of the people in samples (ind_id) if given.
+    """
+    fields = ped.columns[5:]
+    traits = [c for c in fields if c not in covariates] if traits is None else list(traits)
+    unknown, both = [c for c in [*traits, *covariates] if c not in fields], [c for c in traits if c in covariates]
+    if unknown or both or not traits:
+        raise ValueError(f"not in the file: {unknown}; trait and covariate at once: {both}" if unknown or both else "no traits left")
+    x = ped if samples is None else ped.join(samples.select("ind_id").distinct(), "ind_id", "left_semi")
+    there = lambda c: F.coalesce(F.col(c), F.raise_error(F.concat(F.lit(f"missing value of {c} in "), F.coalesce("ind_id", F.lit("a row without an id")))).cast("double")).alias(c)
+    x = x.select("ind_id", *[there(c) for c in covariates], *[there(c) for c in traits])
+    return x.unpivot(["ind_id", *covariates], traits, "trait", "y")
+
+
 def read_bed(spark: SparkSession, path) -> DataFrame:
     """contig (without chr), beg (1-based), end, label (null without a fourth column)."""
     w = F.split("value", r"\s+")
