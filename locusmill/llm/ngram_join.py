@@ -232,8 +232,8 @@ class _Roots:
         return x
 
 
-def linked_in_block(sets: list[np.ndarray], queries: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links between sets that connect all that the queries' links connect.
+def linked_in_block(sets: list[np.ndarray], queries: list[int], percent: int, cluster: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between sets (of the same cluster, where these are given) that connect all that the queries' links connect.
 
     Where every set is a query, the first one's component is the main one: queries already in it
     are passed over, as a link between two of its members connects nothing new and sets outside
@@ -256,6 +256,8 @@ def linked_in_block(sets: list[np.ndarray], queries: list[int], percent: int) ->
         t = -(-percent * len(sets[q]) // 100)
         ids, count = t_occurrence([posts[a:b] for a, b in zip(start[at], stop[at])], t)
         good = 100 * count >= percent * (size[q] + size[ids] - count)
+        if cluster is not None:
+            good &= cluster[ids] == cluster[q]
         for y in ids[good]:
             a, b = roots.find(q), roots.find(int(y))
             if a != b:
@@ -272,7 +274,7 @@ def _search(blocks: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between keys, from rows cluster, block, key, s, first (order of search, null: only searched).
 
     The rows of a (cluster, block) lie together; tasks read group after group. Small ones share
-    an index, which finds nothing between them, as their clusters have nothing in common.
+    an index; links between different clusters don't count, so none depends on which share a task.
     """
 
     def links(groups):
@@ -282,7 +284,7 @@ def _search(blocks: DataFrame, percent: int) -> DataFrame:
         for rows in [*out, *([small] if small else [])]:
             first = np.array([np.nan if r[2] is None else r[2] for r in rows], float)
             queries = [int(i) for i in np.argsort(first, kind="stable") if not np.isnan(first[i])]
-            for i, j in linked_in_block([r[1] for r in rows], queries, percent) if queries else []:
+            for i, j in linked_in_block([r[1] for r in rows], queries, percent, np.array([r[3] for r in rows])) if queries else []:
                 yield rows[i][0], rows[j][0]
 
     def batch_of(found):
@@ -302,7 +304,7 @@ def _search(blocks: DataFrame, percent: int) -> DataFrame:
                     groups.append([])
                     last = c, b
                 if not groups[-1] or groups[-1][-1][0] != k:
-                    groups[-1].append((k, flat[at[i] : at[i + 1]].copy(), f))
+                    groups[-1].append((k, flat[at[i] : at[i + 1]].copy(), f, c))
                     held += int(at[i + 1] - at[i])
         if groups:
             yield batch_of(links(groups))
