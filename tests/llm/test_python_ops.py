@@ -85,6 +85,27 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_join.link_components(d.limit(0)).count() == 0
 
 
+def test_ngram_join_takes_one_worker_a_task_and_short_batches(spark, monkeypatch):
+    r = random.Random(6)
+    d = spark.createDataFrame([(i, " ".join(r.choices(WORDS, k=1000))) for i in range(2500)], "doc_id long, text string").coalesce(1)
+    wanted = d.where("doc_id < 9").select("doc_id", F.lit(0).cast("long").alias("key"))
+    sets = ngram_join._sets_of(d, wanted, 3)
+    assert sets._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert 9 <= sets.count() < 100
+    cut = ngram_join.slices
+
+    def watched(batches, rows=1024):
+        for batch in batches:
+            assert batch.nbytes < 4_000_000, "a batch of any number of bytes came to the worker"
+            yield from cut([batch], rows)
+
+    monkeypatch.setattr(ngram_join, "slices", watched)
+    assert d.select(F.sum(F.length("text"))).first()[0] > 8_000_000
+    ours = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    assert {x.component_id for x in ngram_join.link_components(d).collect()} == set(range(2500))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == ours
+
+
 def test_t_occurrence_is_a_count():
     r = random.Random(1)
     for _ in range(200):
