@@ -228,9 +228,12 @@ def tag_intervals(points: DataFrame, spans: DataFrame, tag: str, label: str = "l
     return points.join(hit, list(keys), "left")
 
 
-def exact_lookup(variants: DataFrame, table: DataFrame, value: str, on: tuple[str, ...] = ("contig", "pos", "ref", "alt"), order: str = "line", missing: str = "NA") -> DataFrame:
-    """variants with value of the first matching row of table, missing where there is none."""
-    w = Window.partitionBy(*on).orderBy(order)
+def exact_lookup(variants: DataFrame, table: DataFrame, value: str, on: tuple[str, ...] = ("contig", "pos", "ref", "alt"), order: str | tuple[str, ...] = "line", missing: str = "NA") -> DataFrame:
+    """variants with value of the first matching row of table, missing where there is none.
+
+    order must tell the matching rows of a key apart: which of equal ones comes first is left to the shuffle otherwise.
+    """
+    w = Window.partitionBy(*on).orderBy(*([order] if isinstance(order, str) else order))
     one = table.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(*on, value)
     return variants.join(one, list(on), "left").withColumn(value, F.coalesce(F.col(value).cast("string"), F.lit(missing)))
 

@@ -41,3 +41,30 @@ def test_traits_one_below_another(spark):
     for bad in (dict(traits=["T9"]), dict(traits=["T1"], covariates=["T1"]), dict(covariates=["T1", "T2", "AGE"])):
         with pytest.raises(ValueError):
             readers.phenotypes(ped, **bad)
+
+
+def test_of_equal_lines_the_first_in_the_table_counts(spark, tmp_path):
+    """The query's lines are equal for many orders; the table's order decides, however rows are dealt."""
+    rows = [(k, k % 7, k % 5, n % 2, 30.0, "NAR"[(k * 31 + n * n) % 3]) for n in range(6) for k in range(400)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string"
+    spark.createDataFrame(rows, names).coalesce(1).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in range(401)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {400: "NA"}
+    for k, _, _, line, _, flag in sorted(rows, key=lambda r: r[3]):
+        want.setdefault(k, flag)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        from locusmill.plans import catalog
+
+        assert {r.o_orderkey: r.flag for r in catalog.exact_lookup(spark, str(tmp_path)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_the_order_of_a_lookup_may_have_several_columns(spark):
+    from locusmill.operators import annotate
+
+    t = spark.createDataFrame([(k, 1, n, f"{(7 * n + k) % 5}") for k in range(50) for n in range(9, -1, -1)], "key long, line int, row long, flag string").repartition(7, "row")
+    got = annotate.exact_lookup(spark.range(51).withColumnRenamed("id", "key"), t, "flag", ("key",), ("line", "row"))
+    assert {r.key: r.flag for r in got.collect()} == {k: f"{k % 5}" for k in range(50)} | {50: "NA"}
