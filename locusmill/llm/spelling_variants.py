@@ -131,7 +131,9 @@ def near_pairs(vocab: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     one edit apart, so the full neighbourhood of a word's reduced form holds that of each near
     word. Neighbours that no reduced form can equal are left out by a filter of at most 16 MB
     before the join, which is by code, split by Spark where many words share one. Different
-    reduced forms of one code only cost a verification.
+    reduced forms of one code only cost a verification. Spark sizes the staged vocabulary by its
+    compressed files and would broadcast it at several times that size through the driver, hence
+    the hints for a merge join here and below.
     """
 
     def code(batches):
@@ -151,7 +153,7 @@ def near_pairs(vocab: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
 
     met = known.select("word").mapInArrow(meet, "word string, code long")
     other = known.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "code")
-    return met.join(other, "code").where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1)).select("word", "near", "near_n")
+    return met.join(other.hint("merge"), "code").where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1)).select("word", "near", "near_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -163,7 +165,7 @@ def roots(forms: DataFrame) -> DataFrame:
     far = stage(forms.select("word", F.coalesce("form", "word").alias("root"), F.col("form").isNotNull().alias("open")), "roots")
     while far.where("open").limit(1).count():
         on = far.select(F.col("word").alias("w"), F.col("root").alias("next"), F.col("open").alias("more"))
-        new = stage(far.join(on, F.col("root") == F.col("w")).select("word", F.col("next").alias("root"), (F.col("open") & F.col("more")).alias("open")), "roots")
+        new = stage(far.join(on.hint("merge"), F.col("root") == F.col("w")).select("word", F.col("next").alias("root"), (F.col("open") & F.col("more")).alias("open")), "roots")
         unstage(far)
         far = new
     return far.select("word", "root")
@@ -181,7 +183,7 @@ def variants(docs: DataFrame, least_length: int = 6, least: int = 5, times: int
     best = F.min(F.struct((-F.col("near_n")).alias("m"), F.col("near").alias("near"))).alias("best")
     near = near_pairs(vocab, symbols).groupBy("word").agg(F.count("*").alias("n_near"), best)
     long = F.lit(0).cast("long")
-    joined = vocab.join(near, "word", "left").select("word", "n", F.coalesce("n_near", long).alias("n_near"), F.col("best.near").alias("near"), (-F.col("best.m")).alias("near_n"))
+    joined = vocab.join(near.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", long).alias("n_near"), F.col("best.near").alias("near"), (-F.col("best.m")).alias("near_n"))
     fits = F.col("near_n") >= times * F.col("n")
     formed = stage(joined.select("word", F.when(fits, F.col("near")).alias("form"), "n", "n_near", F.when(fits, F.col("near_n")).alias("form_n")), "forms")
-    return formed.join(roots(formed), "word").select("word", "form", "root", "n", "n_near", "form_n")
+    return formed.join(roots(formed).hint("merge"), "word").select("word", "form", "root", "n", "n_near", "form_n")

@@ -226,3 +226,20 @@ def test_neighbourhoods_hold_every_edit(word, k, c, how):
     if other:
         (code,) = v.word_codes([other])
         assert any(code in codes for _, codes in v.word_neighbours([word]))
+
+
+def test_spelling_joins_send_no_table_through_the_driver(spark):
+    """Staged vocabularies are small as files, so that Spark would broadcast them, and several times larger in memory."""
+    import contextlib
+    import io
+
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "colour color colours favour favor " * (1 + i % 3)) for i in range(20)], "doc_id long, text string")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20
+    vocab = spark.createDataFrame([("colour", 9), ("colours", 50), ("favour", 7)], "word string, n long")
+    for df in (v.variants(docs, 5), v.near_pairs(vocab), v.roots(vocab.select("word", F.lit(None).cast("string").alias("form")))):
+        df.collect()
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            df.explain()
+        assert "Broadcast" not in plan.getvalue()
