@@ -6,6 +6,8 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from locusmill.functions import special as sp
 from locusmill.operators import annotate, enrich, group, ld, ranges, single
 
@@ -199,3 +201,19 @@ def test_scans_are_the_same_for_any_stretches(spark, stretch):
         mine = [(a, v) for d, a, v in knots if d == c]
         low = [m for m in mine if m[0] <= x]
         assert (out[k] is None) if not low else out[k] == pytest.approx(np.interp(x, *zip(*mine)))
+
+
+def test_burden_counts_equal_samples(spark):
+    """The Wald test of a group from counts is that from its samples, and a group of many samples reaches Python as a few rows."""
+    rng = np.random.default_rng(5)
+    rows = [(f"G{k % 3}", int(rng.binomial(3, 0.2)), int(rng.random() < 0.4), int(rng.integers(0, 5)) if k % 50 else None) for k in range(3000)]
+    c = spark.createDataFrame(rows + [("G9", 0, 1, 2)] * 9, "grp string, g int, status int, x1 int")
+    a = {r.grp: r for r in single.run_test(c, "b.wald", ["grp"], "status", ("x1",)).collect()}
+    b = {r.grp: r for r in single.counted_wald(c, ["grp"], "status", ("x1",)).collect()}
+    assert a.keys() == b.keys() == {"G0", "G1", "G2", "G9"} and b["G9"].beta is None
+    for k in ("G0", "G1", "G2"):
+        assert b[k].ns == a[k].ns and [*b[k]][2:] == pytest.approx([*a[k]][2:], rel=1e-7)
+    col = c.where("x1 is not null").withColumn("sample", F.monotonically_increasing_id())
+    d = group.burden_test(col.select("grp", "sample", F.col("g").alias("burden"), "g", F.lit(1).alias("carrier"), F.lit(1.0).alias("weighted")), col.select("sample", "status", "x1"), "b.burden", "status", ("x1",))
+    assert "_n" in d._jdf.queryExecution().analyzed().toString()
+    assert {r.grp: r.ns for r in d.collect()} == {k: r.ns for k, r in b.items()}
