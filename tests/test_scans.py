@@ -217,3 +217,22 @@ def test_burden_counts_equal_samples(spark):
     d = group.burden_test(col.select("grp", "sample", F.col("g").alias("burden"), "g", F.lit(1).alias("carrier"), F.lit(1.0).alias("weighted")), col.select("sample", "status", "x1"), "b.burden", "status", ("x1",))
     assert "_n" in d._jdf.queryExecution().analyzed().toString()
     assert {r.grp: r.ns for r in d.collect()} == {k: r.ns for k, r in b.items()}
+
+
+def test_permutations_of_large_groups_are_those_of_the_dense_form(spark, monkeypatch):
+    """Sums by label give the ranks that the matrix of thresholds and samples gives, drawn a few permutations at a time; blocks carry no more copies of a group than allowed."""
+    rng = np.random.default_rng(8)
+    n = 30_000  # fewer than SEEDED permutations at a time
+    mac, y = rng.integers(1, 9, n), rng.standard_normal(n)
+    y = y + 0.008 * (mac <= 3)
+    d = spark.createDataFrame([("g", k, float(v), int(m) if m < 7 else None) for k, (m, v) in enumerate(zip(mac, y))], "grp string, sample int, y double, min_mac int").repartition(3)
+    c = np.array([mac <= t for t in range(1, 7)], float)
+    c -= c.mean(1, keepdims=True)
+    c /= np.sqrt((c * c).sum(1))[:, None]
+    v = (y - y.mean()) / np.sqrt(((y - y.mean()) ** 2).sum())
+    have = ((c @ v) ** 2).max()
+    rank = sum(int((((c @ np.random.default_rng([1, k, *b"g"]).permuted(np.tile(v, (100, 1)), axis=1).T) ** 2).max(0) >= have - 1e-12).sum()) for k in range(1))
+    got = group.threshold_test(d, most=100).first()
+    assert (got.ns, got.permutations) == (n, 100) and got.r2 == pytest.approx(have, rel=1e-9) and got.pvalue == pytest.approx((rank + 1) / 101)
+    monkeypatch.setattr(group, "MOST_COPIED", n)
+    assert group.threshold_test(d, most=1000, least=10_000).first().r2 == pytest.approx(have, rel=1e-9)
