@@ -127,3 +127,17 @@ def test_optimal_test_is_calibrated():
     assert abs((p < 0.1).mean() - 0.1) < 0.06 and abs((p < 0.5).mean() - 0.5) < 0.11
     u = root @ np.ones(6) * 5
     assert group.skat_p(u, k, True)[0] < 1e-6
+
+
+def test_covariance_by_calls():
+    """Products and both traces of the covariance of a large group's scores, from its calls alone."""
+    rng = np.random.default_rng(4)
+    z = rng.standard_normal((30, 70)) * (rng.random((30, 70)) < 0.15)
+    z[0] += 0.1
+    sample, k = np.nonzero(z)
+    b, signs = rng.standard_normal((70, 3)) * 0.1, np.array([1.0, -1.0, 1.0])
+    mix = rng.permutation(len(k))
+    c = group.CallCovariance(k[mix], 7 * sample[mix], z[sample, k][mix], b, signs)
+    want, x = z.T @ z - (b * signs) @ b.T, rng.standard_normal((70, 4))
+    assert np.allclose(c.times(x), want @ x)
+    assert c.moments() == pytest.approx((np.trace(want), (want**2).sum()))
